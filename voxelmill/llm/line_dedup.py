@@ -13,7 +13,6 @@ repeated rows of a doc_id count as one document; an empty table gives an empty r
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm._base import ASCII_SPACE, cut, read_table, restore_id, safe_id
+from voxelmill.llm._base import ASCII_SPACE, cut, read_table, safe_id
 from voxelmill.llm.cuckoo import CuckooFilter
 
 MIN_CHARS, MIN_DOCS = 20, 3

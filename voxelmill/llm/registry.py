@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.llm import line_dedup, packing
+from voxelmill.llm import line_dedup, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": packing.query, "op4_line_dedup": line_dedup.query}
+    return {"op1_best_fit_packing": packing.query, "op3_simhash": simhash.query, "op4_line_dedup": line_dedup.query}
 
 
 def oracle_sql() -> dict[str, str]:
