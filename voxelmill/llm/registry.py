@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.llm import line_dedup, packing, simhash
+from voxelmill.llm import decontaminate, line_dedup, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": packing.query, "op3_simhash": simhash.query, "op4_line_dedup": line_dedup.query}
+    return {
+        "op1_best_fit_packing": packing.query,
+        "op3_simhash": simhash.query,
+        "op4_line_dedup": line_dedup.query,
+        "op5_decontaminate": decontaminate.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op5_decontaminate": decontaminate.SQL}
