@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.llm import line_dedup
-from voxelmill.llm._base import read_table
+from voxelmill.llm import decontaminate, langid, line_dedup, packing, simhash
+from voxelmill.llm._base import checkpoint_dir, read_table
 
-STAGES = [("line_dedup", line_dedup.stage)]
+STAGES = [
+    ("language_id", langid.stage),
+    ("line_dedup", line_dedup.stage),
+    ("near_dedup", simhash.stage),
+    ("decontaminate", decontaminate.stage),
+    ("pack", packing.stage),
+]
 
 #: The language model, XXH64 and the packing plan have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each writes Parquet in the shared folder, which the next one reads."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    at = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
     return docs
