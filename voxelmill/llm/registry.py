@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.llm import audio, decontaminate, langid, line_dedup, packing, simhash, warc
+from voxelmill.llm import audio, decontaminate, langid, line_dedup, packing, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.query,
         "op4_line_dedup": line_dedup.query,
         "op5_decontaminate": decontaminate.query,
+        "op6_toxicity": toxicity.query,
         "op7_language_id": langid.query,
         "op8_audio": audio.query,
         "op9_warc": warc.query,
