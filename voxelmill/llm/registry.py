@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.llm import audio, decontaminate, langid, line_dedup, packing, simhash, toxicity, warc
+from voxelmill.llm import audio, decontaminate, langid, line_dedup, packing, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": langid.query,
         "op8_audio": audio.query,
         "op9_warc": warc.query,
+        "op10_secret_scan": secrets.query,
     }
 
 
