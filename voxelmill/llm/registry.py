@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.llm import audio, decontaminate, langid, line_dedup, packing, secrets, simhash, toxicity, warc
+from voxelmill.llm import audio, decontaminate, langid, line_dedup, packing, secrets, simhash, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_simhash": simhash.query,
         "op4_line_dedup": line_dedup.query,
         "op5_decontaminate": decontaminate.query,
