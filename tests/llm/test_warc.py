@@ -67,6 +67,13 @@ def test_without_a_list_of_odd_splits(spark, tmp_path, monkeypatch):
     assert result(warc.read(spark, str(tmp_path / "a"))) == expected(rows)
 
 
+def test_without_screens(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("voxelmill.llm.cuckoo.MAX_SCREEN_KEYS", -1)
+    rows = rows_of(60)
+    warc.write(spark.createDataFrame([(*r, None, "s") for r in rows], PAGES), str(tmp_path / "a"))
+    assert result(warc.read(spark, str(tmp_path / "a"))) == expected(rows)
+
+
 def test_repeated_rows_short_payloads_and_empty_tables(spark, tmp_path):
     rows = [(1, "u", "ab"), (1, "u", "ab"), (2, "u", "ab"), (2, "u", "ab"), (5, "u", "long enough"), (5, "u", "long enough"), (4, "v", "long enough"), (9, None, None)]
     df = spark.createDataFrame([(*r, None, "s") for r in rows], PAGES)

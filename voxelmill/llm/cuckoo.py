@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLOTS = 4
 
@@ -107,3 +111,41 @@ class CuckooFilter:
         made.table = np.frombuffer(blob[16:], np.uint16).reshape(int(n), SLOTS).copy()
         made.count = int(count)
         return made
+
+
+#: Keys up to which a screen of them (2.4 bytes a key) goes to every executor.
+MAX_SCREEN_KEYS = 8_000_000
+
+
+@dataclass
+class Screen:
+    """Cuckoo filters of a set of longs, by shard: no member is rejected."""
+
+    shards: list[bytes]
+
+    def keep(self, keys: np.ndarray, made: dict[int, CuckooFilter]) -> np.ndarray:
+        """Which keys may be members; made: holds the filters already unpacked."""
+        out, shard = np.zeros(len(keys), bool), np.mod(keys, len(self.shards))
+        for n in np.unique(shard):
+            if n not in made:
+                made[n] = CuckooFilter.from_bytes(self.shards[n])
+            out[shard == n] = made[n].contains(keys[shard == n])
+        return out
+
+
+def screen_of(keys: DataFrame, most: int | None = None) -> Screen | None:
+    """A screen of the distinct longs of a one-column table, or None if they are too many to send."""
+    n = keys.count()
+    if n > (MAX_SCREEN_KEYS if most is None else most):
+        return None
+    shards = max(1, -(-n // 500_000))
+
+    def build(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [CuckooFilter.build(pdf["key"].to_numpy()).to_bytes()]})
+
+    key = F.col(keys.columns[0])
+    made = keys.select(key.alias("key"), F.pmod(key, F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
+    found = {r["shard"]: bytes(r["filter"]) for r in made.collect()}
+    return Screen([found.get(k, CuckooFilter(4).to_bytes()) for k in range(shards)])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelmill.llm._base import checkpoint_dir, cut, read_table, safe_id
+from voxelmill.llm.cuckoo import screen_of
 
 MAGIC, CRLF = b"WARC/1.0\r\n", b"\r\n"
 DATE = "2000-01-01T00:00:00Z"
@@ -63,8 +64,9 @@ def record(key: str, page_id: int | None, url: str | None, n_bytes: int, payload
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write pages as uncompressed archives (one file per task) below path.
 
-    Repeated rows are counted in the narrow table of keys, and revisits are written from it alone, so only the payload of
-    one row per distinct payload and page is shuffled.
+    Repeated rows are counted in the narrow table of keys, and revisits are written from it alone. Keys that are no plain
+    response (revisits, repeated rows) go to the scan as cuckoo filters, if those are small enough: a row that they reject is
+    written by the task that reads it, and only the others' payloads are shuffled to be settled exactly.
     """
     rows = pages.select(safe_id(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("key", F.concat_ws("-", "page_id", F.sha1("payload"), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")))).withColumn("sha", F.sha1("payload"))
@@ -72,9 +74,23 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     holders = narrow.groupBy("sha").agg(F.max(F.struct("page_id", "key")).alias("holder"))
     marked = cut(narrow.join(holders, "sha").select("*", (F.col("n") >= min_bytes).alias("shares")))
     is_holder = (F.col("key") == F.col("holder.key")) | ~F.col("shares")
-    wanted = marked.where(is_holder).select("key", F.when(F.col("shares"), F.lit(1)).otherwise(F.col("copies")).alias("times"))
-    responses = rows.join(wanted, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "sha", "payload", "times")])
-    first = responses.select("key", "page_id", "url", "sha", F.length("payload").cast("long").alias("n"), "payload", F.lit(None).cast("string").alias("refers"), F.lit(None).cast("long").alias("refers_page"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))).alias("copy"))
+    screen = screen_of(marked.where(~is_holder | (F.col("copies") > 1)).select(F.xxhash64("key").alias("h")).distinct())
+    sent = pages.sparkSession.sparkContext.broadcast(screen)
+
+    @F.pandas_udf("boolean")
+    def special(h):
+        import pandas as pd
+
+        return pd.Series(sent.value.keep(h.to_numpy(), {}))
+
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("string")
+    last = [none.alias("refers"), none.cast("long").alias("refers_page")]
+    wanted = marked.where(is_holder).select("key", F.when(F.col("shares"), one).otherwise(F.col("copies")).alias("times"))
+    checked = rows.withColumn("special", special(F.xxhash64("key"))) if screen is not None else rows.withColumn("special", F.lit(True))
+    settled = checked.where("special").join(wanted, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "sha", "payload", "times")])
+    first = settled.select("key", "page_id", "url", "sha", F.length("payload").cast("long").alias("n"), "payload", *last, F.explode(F.sequence(one, F.col("times"))).alias("copy"))
+    if screen is not None:
+        first = first.unionByName(checked.where("NOT special").select("key", "page_id", "url", "sha", F.length("payload").cast("long").alias("n"), "payload", *last, one.alias("copy")))
     again = F.col("copies") - F.when(is_holder, F.lit(1)).otherwise(F.lit(0))
     rest = marked.where(F.col("shares") & (again > 0)).select("key", "page_id", "url", "sha", F.col("n").cast("long").alias("n"), F.lit(None).cast("binary").alias("payload"), F.col("holder.key").alias("refers"), F.col("holder.page_id").alias("refers_page"), F.explode(F.sequence(F.lit(2).cast("long"), again + 1)).alias("copy"))
 
