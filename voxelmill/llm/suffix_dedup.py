@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm._base import cut, read_table
-from voxelmill.llm.cuckoo import CuckooFilter
+from voxelmill.llm.cuckoo import CuckooFilter, Screen, screen_of
 
 WINDOW, GRAM = 200, 32
 #: Different fragments of one anchor up to which one task takes them (18 MB); fragments of a construction batch.
@@ -125,50 +125,18 @@ def _texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[list[int], list
         yield t1s, t2s, weights, origins, b"".join(parts), np.cumsum([len(p) for p in parts])
 
 
-@dataclass
-class Screen:
-    """Cuckoo filters of a set of keys, by shard."""
-
-    shards: list[bytes]
-
-    def keep(self, keys: np.ndarray, made: dict[int, CuckooFilter]) -> np.ndarray:
-        out, shard = np.zeros(len(keys), bool), np.mod(keys, len(self.shards))
-        for n in np.unique(shard):
-            if n not in made:
-                made[n] = CuckooFilter.from_bytes(self.shards[n])
-            out[shard == n] = made[n].contains(keys[shard == n])
-        return out
-
-
-def _screen(keys: DataFrame) -> Screen | None:
-    """Filters of the distinct longs of a one-column table, or None if they are too many to send."""
-    name = keys.columns[0]
-    n = keys.count()
-    if n > MAX_FILTER_KEYS:
-        return None
-    shards = max(1, -(-n // 500_000))
-
-    def build(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [CuckooFilter.build(pdf["key"].to_numpy()).to_bytes()]})
-
-    made = keys.select(F.col(name).alias("key"), F.pmod(F.col(name), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
-    found = {r["shard"]: bytes(r["filter"]) for r in made.collect()}
-    return Screen([found.get(k, CuckooFilter(4).to_bytes()) for k in range(shards)])
-
-
 def _class_key(h: np.ndarray, f: np.ndarray) -> np.ndarray:
     """One long for an anchor and a fragment hash; the JVM has the same in ``_class_column``."""
     return h ^ f
 
 
 def scan_runs(texts: DataFrame, shape: Shape, what: str, screen: Screen | None = None) -> DataFrame:
-    """texts: (t1, t2, text). what: "anchors" gives (h, n); "runs" (h, f, t1, t2, lo, n, weight); "fragments" (h, f, offset, content).
+    """texts: (t1, t2, text). what: "anchors" gives (h, n); "runs" (h, f, t1, t2, los, n, weight), one row for all starts of a
+    fragment in a text (periodic text repeats one without end); "fragments" (h, f, offset, content).
 
     screen: keys that may matter: anchors for "runs", classes for "fragments".
     """
-    schema = {"anchors": "h long, n long", "runs": "h long, f long, t1 long, t2 long, lo long, n int, weight long", "fragments": "h long, f long, offset int, content binary"}[what]
+    schema = {"anchors": "h long, n long", "runs": "h long, f long, t1 long, t2 long, los array<long>, n int, weight long", "fragments": "h long, f long, offset int, content binary"}[what]
     sent = texts.sparkSession.sparkContext.broadcast(screen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +158,13 @@ def scan_runs(texts: DataFrame, shape: Shape, what: str, screen: Screen | None =
                 f = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
                 if what == "runs":
                     at = lo - np.r_[0, bounds[:-1]][doc] + np.array(origins, np.int64)[doc] if len(lo) else lo
-                    cols = [h, f, np.array(t1s, np.int64)[doc], np.array(t2s, np.int64)[doc], at, n.astype(np.int32), weight]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "f", "t1", "t2", "lo", "n", "weight"])
+                    order = np.lexsort((at, f, h, doc))
+                    h, f, doc, at, n, weight = (x[order] for x in (h, f, doc, at, n, weight))
+                    one = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(h) != 0) | (np.diff(f) != 0)]) if len(h) else np.zeros(0, np.int64)
+                    los = pa.ListArray.from_arrays(pa.array(np.r_[one, len(h)].astype(np.int32)), pa.array(at.astype(np.int64)))
+                    times = np.diff(np.r_[one, len(h)])
+                    cols = [h[one], f[one], np.array(t1s, np.int64)[doc[one]], np.array(t2s, np.int64)[doc[one]], los, n[one].astype(np.int32), weight[one] * times]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["h", "f", "t1", "t2", "los", "n", "weight"])
                     continue
                 if sent.value is not None:
                     keep = sent.value.keep(_class_key(h, f), filters)
@@ -303,7 +276,7 @@ def _count_strings(fragments: DataFrame, shape: Shape) -> DataFrame:
 
 def _fragments(texts: DataFrame, active: DataFrame, need: DataFrame, shape: Shape) -> DataFrame:
     """(h, f, offset, content, k), one row per class of need (h, f, k)."""
-    screen = _screen(need.select(F.expr("h ^ f").alias("key")).distinct())
+    screen = screen_of(need.select(F.expr("h ^ f").alias("key")).distinct(), MAX_FILTER_KEYS)
     if screen is not None:
         found = scan_runs(texts, shape, "fragments", screen).join(need, ["h", "f"])
     else:  # too many classes to screen for: let one text of each class, by its key, give the fragment
@@ -317,7 +290,7 @@ def repeated_starts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """texts: (t1, t2, text). (t1, t2, starts): the runs (first, last) of starts whose strings recur, for each key that has any."""
     seen = scan_runs(texts, shape, "anchors").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
     again = cut(seen)
-    active = cut(scan_runs(texts, shape, "runs", _screen(again)).join(again, "h", "left_semi"))
+    active = cut(scan_runs(texts, shape, "runs", screen_of(again, MAX_FILTER_KEYS)).join(again, "h", "left_semi"))
     classes = active.groupBy("h", "f").agg(F.sum("weight").alias("c"), F.max("n").alias("starts"))
     anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least"))
     # where every fragment weighs two or more, or there is one only, all is known
@@ -329,7 +302,7 @@ def repeated_starts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     decided = classes.where("c >= 2").select("h", "f", F.lit(None).cast("binary").alias("marks")).unionByName(marked.join(classes.where("c >= 2"), ["h", "f"], "left_anti"))
 
     @F.pandas_udf("array<struct<first:long,last:long>>")
-    def spans(lo, n, marks):
+    def spans(los, n, marks):
         def of(a, k, m):
             on = np.ones(k, bool) if m is None else np.frombuffer(m, np.uint8).astype(bool)
             edge = np.diff(np.r_[False, on, False].astype(np.int8))
@@ -337,10 +310,11 @@ def repeated_starts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
         import pandas as pd
 
-        return pd.Series([of(a, k, m) for a, k, m in zip(lo, n, marks, strict=True)])
+        return pd.Series([[s for a in at for s in of(a, k, m)] for at, k, m in zip(los, n, marks, strict=True)])
 
-    found = active.join(decided, ["h", "f"]).select("t1", "t2", "lo", "n", "marks").dropDuplicates(["t1", "t2", "lo", "n"])
-    return found.select("t1", "t2", spans("lo", "n", "marks").alias("starts")).groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    # the same text in another task gives the same row again
+    found = active.join(decided, ["h", "f"]).withColumn("lo", F.get("los", 0)).dropDuplicates(["t1", "t2", "h", "f", "lo"])
+    return found.select("t1", "t2", spans("los", "n", "marks").alias("starts")).groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
