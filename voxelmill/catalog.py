@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.plans import selection
+from voxelmill.plans import cubes, images, iterative, selection, tables
 
-MODULES = [selection]
+MODULES = [selection, images, cubes, tables, iterative]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
