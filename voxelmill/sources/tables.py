@@ -252,6 +252,6 @@ def dump_config(config) -> str:
         return out
 
     def show(v) -> str:
-        return "null" if v is None else str(v).lower() if isinstance(v, bool) else f'"{v}"' if isinstance(v, str) else repr(v)
+        return "null" if v is None else str(v).lower() if isinstance(v, bool) else f'"{v}"' if isinstance(v, str) else repr(v).replace("e", ".0e") if isinstance(v, float) and "e" in repr(v) and "." not in repr(v) else repr(v)
 
     return "\n".join(lines(dataclasses.asdict(config), 0)) + "\n"
