@@ -139,12 +139,11 @@ def test_windows_and_throttle(spark, tmp_path):
 
 def test_history_over_batches(spark, tmp_path):
     schema = "k int, i long, v double"
-    name = f"h{uuid.uuid4().hex}"
-    for start in (0, 4):
-        df = stream_folder(spark, tmp_path, [(1, i, float(i)) for i in range(start, start + 4)], schema)
-        got = monitors.run_once(monitors.history(df, "k", "i", "v", 5), name, "update", str(tmp_path / "state")).collect()
-    last = max(got, key=lambda r: r["last"])
-    assert last["values"] == [3.0, 4.0, 5.0, 6.0, 7.0] and last["n"] == 5
+    stream_folder(spark, tmp_path, [(1, i, float(i)) for i in range(4)], schema)
+    df = stream_folder(spark, tmp_path, [(1, i, float(i)) for i in range(4, 8)] + [(2, 0, 9.0)], schema)
+    got = monitors.run_once(monitors.history(df, "k", "i", "v", 5), f"h{uuid.uuid4().hex}", "update").collect()
+    last = max((r for r in got if r["k"] == 1), key=lambda r: r["last"])
+    assert last["values"] == [3.0, 4.0, 5.0, 6.0, 7.0] and last["n"] == 5 and any(r["k"] == 2 for r in got)
 
 
 def test_latest_request(spark, tmp_path):

@@ -227,3 +227,25 @@ def ssim(a: np.ndarray, b: np.ndarray, span: float | None = None) -> float:
     k = 49 / 48
     vx, vy, cov = k * ((x * x).mean((2, 3)) - mx**2), k * ((y * y).mean((2, 3)) - my**2), k * ((x * y).mean((2, 3)) - mx * my)
     return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+
+
+def metric_image(image: np.ndarray, margin: float = 0.1) -> np.ndarray:
+    """The inner part, clipped at its percentiles 1 and 99 and scaled to [0, 1]; all zeros if it is even."""
+    m = min(float(margin), 0.45)
+    r, c = int(image.shape[0] * m), int(image.shape[1] * m)
+    x = np.nan_to_num(image[r : image.shape[0] - r, c : image.shape[1] - c].astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+    low, high = np.percentile(x, [1, 99])
+    return (np.clip(x, low, high) - low) / (high - low) if high > low else np.zeros_like(x)
+
+
+def focus_metrics(x: np.ndarray, bins: int = 256) -> tuple[float, float, float]:
+    """Gradient energy, Laplacian variance and entropy of an image in [0, 1]."""
+    energy = 0.0
+    if min(x.shape) >= 2:
+        gy, gx = np.gradient(x)
+        energy = float((gx * gx + gy * gy).mean())
+    lap = np.zeros_like(x)
+    lap[1:-1, 1:-1] = x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]
+    p = np.bincount(np.minimum((x * bins).astype(int), bins - 1).reshape(-1)) / x.size
+    p = p[p > 0]
+    return energy, float(lap.var()), max(0.0, float(-(p * np.log(p + 1e-12)).sum()))

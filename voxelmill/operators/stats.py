@@ -163,12 +163,16 @@ def shannon_entropy(image: Column, bins: int = 256) -> Column:
     """Entropy in nats of an image in [0, 1] over equal bins, the last closed at 1; values outside do not count."""
     seen = F.filter(image, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x <= 1))
     binned = F.array_sort(F.transform(seen, lambda x: F.least(F.floor(x * bins), F.lit(bins - 1)).cast("int")))
-    # runs of equal bins in sorted order
-    zero = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("h"))
-    n = F.greatest(F.size(binned), F.lit(1))
-    term = lambda run: F.when(run > 0, -(run / n) * F.ln(run / n + 1e-12)).otherwise(F.lit(0.0))
-    step = lambda a, b: F.when(a["bin"] == b, F.struct(a["bin"].alias("bin"), (a["run"] + 1).alias("run"), a["h"].alias("h"))).otherwise(F.struct(b.alias("bin"), F.lit(1).cast("long").alias("run"), (a["h"] + term(a["run"])).alias("h")))
-    return F.greatest(F.aggregate(binned, zero, step, lambda a: a["h"] + term(a["run"])), F.lit(0.0))
+
+    def entropy(b: Column) -> Column:
+        # runs of equal bins in sorted order; b is bound, so its size is not worked out again for each element
+        zero = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("h"))
+        n = F.greatest(F.size(b), F.lit(1))
+        term = lambda run: F.when(run > 0, -(run / n) * F.ln(run / n + 1e-12)).otherwise(F.lit(0.0))
+        step = lambda a, x: F.when(a["bin"] == x, F.struct(a["bin"].alias("bin"), (a["run"] + 1).alias("run"), a["h"].alias("h"))).otherwise(F.struct(x.alias("bin"), F.lit(1).cast("long").alias("run"), (a["h"] + term(a["run"])).alias("h")))
+        return F.greatest(F.aggregate(b, zero, step, lambda a: a["h"] + term(a["run"])), F.lit(0.0))
+
+    return F.get(F.transform(F.array(binned), entropy), 0)
 
 
 def min_max(df: DataFrame, column: str, out: str, higher_is_better: bool = True) -> DataFrame:

@@ -184,10 +184,14 @@ def centre_search(views: DataFrame, g: Geometry, shifts: Sequence[float], name:
 
 def score_images(images: DataFrame, metric: str = "combined_score", margin: float = 0.1) -> tuple[DataFrame, float | None]:
     """(scores, best shift) of candidate images (candidate, shift_px, rows, cols, data)."""
-    m = min(float(margin), 0.45)
-    inner = lambda c: (F.col(c) - F.floor(F.col(c) * m).cast("int") * 2).cast("int")
-    ready = images.select("candidate", "shift_px", arrays.metric_image(F.col("data"), F.col("rows"), F.col("cols"), margin).alias("image"), inner("rows").alias("r"), inner("cols").alias("c"))
-    scored = ready.select("candidate", "shift_px", stats.gradient_energy(F.col("image"), F.col("r"), F.col("c")).alias("gradient_energy"), stats.laplacian_variance(F.col("image"), F.col("r"), F.col("c")).alias("laplacian_variance"), stats.shannon_entropy(F.col("image")).alias("entropy"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [kernels.focus_metrics(kernels.metric_image(np.asarray(d).reshape(r, c), margin)) for d, r, c in zip(pdf["data"], pdf["rows"], pdf["cols"], strict=True)]
+            yield pd.DataFrame([(k, s, *m) for k, s, m in zip(pdf["candidate"], pdf["shift_px"], rows, strict=True)], columns=["candidate", "shift_px", "gradient_energy", "laplacian_variance", "entropy"])
+
+    # a few numbers per candidate; cached, as the score needs the extremes over all of them
+    scored = images.mapInPandas(run, "candidate int, shift_px double, gradient_energy double, laplacian_variance double, entropy double").cache()
     table = stats.focus_scores(scored)
     best = select.select_best(table, metric, "candidate").first()
     return table, None if best is None else best["shift_px"]
