@@ -11,7 +11,8 @@ Words are runs of letters and digits, lower-cased; an item of fewer than five wo
 shingle, which a document holds if it has that word sequence anywhere. The index has a bounded number of rows per item; Spark
 broadcasts it below its broadcast threshold, and shuffles both sides beyond.
 
-Edge cases: null or empty texts, and texts without words, match nothing; repeated items give a row each; a null doc_id or
+Edge cases: null or empty texts, and texts without words, match nothing; repeated items give a row each; rows of one doc_id are one
+document, of which the row that holds most of an item counts; a null doc_id or
 item_id stays null and is its own group; empty tables give an empty result; other columns are ignored.
 """
 
@@ -77,10 +78,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     texts = own.join(candidates, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items")
     each = texts.select("doc_id", "w", F.explode("items").alias("item")).join(known.drop("sketch"), "item")
-    held = each.select("doc_id", "item_id", "copies", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", _texts("w", F.col("n_words")))).alias("n_hits"))
-    # the threshold decides in the generator: as a filter it would be pushed below and intersect the arrays twice
-    enough = F.when(F.col("n_hits") >= F.lit(threshold - 1e-9) * F.col("n_shingles"), F.sequence(F.lit(1), F.col("copies")))
-    out = held.withColumn("copy", F.explode(enough)).withColumn("containment", F.col("n_hits") / F.col("n_shingles"))
+    held = each.select("doc_id", "item", "item_id", "copies", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", _texts("w", F.col("n_words")))).alias("n_hits"))
+    # one row per document and item; the threshold comes after the sum, so that it is not pushed below and the arrays met twice
+    best = held.groupBy("doc_id", "item", "item_id", "copies", "n_shingles").agg(F.max("n_hits").alias("n_hits"))
+    pairs = best.where(F.col("n_hits") >= F.lit(threshold - 1e-9) * F.col("n_shingles")).withColumn("containment", F.col("n_hits") / F.col("n_shingles"))
+    out = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(restore_id(F.col("doc_id")).alias("doc_id"), restore_id(F.col("item_id")).alias("item_id"), "n_shingles", "n_hits", "containment")
 
 
