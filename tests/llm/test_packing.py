@@ -101,3 +101,10 @@ def test_ids_equal_the_vocabulary_files(spark):
     for _ in range(1500):
         s = "".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice(" ab1.\n'") for _ in range(50))
         assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, *paths).tolist()
+
+
+def test_long_runs():
+    paths = tokens.default_paths()
+    full = Tokenizer.from_file(paths[0])
+    for s in (" " * 30_000 + "a", "\n \t" * 5000, "a" * 30_000, "1" * 30_000, "x \n" * 20_000):
+        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, *paths).tolist()
