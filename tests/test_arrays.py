@@ -139,3 +139,13 @@ def test_phase_shift_and_ssim():
     rows, cols = kernels.phase_shift(np.roll(a, (3, -2), (0, 1)), a)
     assert abs(rows - 3) < 0.2 and abs(cols + 2) < 0.2
     assert kernels.ssim(a, a) == pytest.approx(1.0) and kernels.ssim(a, rng.normal(size=(32, 32))) < 0.5
+
+
+def test_drift_estimate(spark):
+    from voxelmill.plans.preprocess import estimate_drift
+
+    a = kernels.gaussian(np.random.default_rng(3).normal(size=(24, 24)), 1.5)
+    df = views(spark, [np.roll(a, (-dy, -dx), (0, 1)) for dx, dy in ((0, 0), (2, -1), (-3, 4))])
+    got = estimate_drift(df).orderBy("view_idx").collect()
+    assert np.allclose([(r["x_shift_px"], r["y_shift_px"]) for r in got], [(0, 0), (2, -1), (-3, 4)], atol=0.2)
+    assert np.allclose([r["x_shift_px"] for r in estimate_drift(df, 3).orderBy("view_idx").collect()], [0, 0, -3], atol=0.2)

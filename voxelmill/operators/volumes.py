@@ -204,3 +204,8 @@ def smooth(df: DataFrame, depth: int, sigma: float, slab: int = 96) -> DataFrame
         return pd.DataFrame({"volume_id": own["volume_id"], "z": own["z"], "ny": own["ny"], "nx": own["nx"], "data": [x.reshape(-1) for x in done]})
 
     return each.groupBy("volume_id", "slab").applyInPandas(run, f"volume_id {dict(df.dtypes)['volume_id']}, z int, ny int, nx int, data array<float>")
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """(volume_id, nz, ny, nx)."""
+    return df.groupBy("volume_id").agg((F.max("z") + 1).alias("nz"), F.max("ny").alias("ny"), F.max("nx").alias("nx"))

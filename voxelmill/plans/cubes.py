@@ -71,6 +71,10 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_planes.select("volume_id", "plane", F.posexplode("data").alias("i", "v")).select("volume_id", "plane", F.col("i").cast("long").alias("i"), rounded(F.col("v")).alias("value"))
 
 
+def volume_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volumes.shape(cubes(spark, sf_dir))
+
+
 def volume_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = volumes.percentiles(cubes(spark, sf_dir), [0.005, 0.5, 0.995])
     return got.select("volume_id", *[rounded(F.col("p")[k]).alias(n) for k, n in enumerate(("low", "median", "high"))])
@@ -115,5 +119,6 @@ QUERIES = {
         slices,
         f"WITH {_VOX} SELECT volume_id, 'axial' AS plane, y * 4 + x AS i, round(v, 5) + 0.0 AS value FROM s WHERE z = 2 UNION ALL SELECT volume_id, 'coronal', z * 4 + x, round(v, 5) + 0.0 FROM s WHERE y = 2 UNION ALL SELECT volume_id, 'sagittal', z * 4 + y, round(v, 5) + 0.0 FROM s WHERE x = 2",
     ),
+    "volume_shape": (volume_shape, "SELECT vec_id AS volume_id, CAST(4 AS INTEGER) AS nz, CAST(4 AS INTEGER) AS ny, CAST(4 AS INTEGER) AS nx FROM embeddings"),
     "volume_percentiles": (volume_percentiles, f"WITH {_VOX} SELECT volume_id, round(quantile_cont(v, 0.005), 5) + 0.0 AS low, round(quantile_cont(v, 0.5), 5) + 0.0 AS median, round(quantile_cont(v, 0.995), 5) + 0.0 AS high FROM s GROUP BY volume_id"),
 }

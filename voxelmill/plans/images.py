@@ -91,6 +91,15 @@ def gray_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(df, F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: gray(F.get("data", k * 3), F.get("data", k * 3 + 1), F.get("data", k * 3 + 2))))
 
 
+def preprocess_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preprocessing kernel over |image| in 2 x 2 bins, with the mean absolute image as flat field."""
+    from voxelmill.plans.preprocess import Preprocessing, preprocess
+
+    df = images(spark, sf_dir).select(F.col("vec_id").alias("view_idx"), F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"), F.transform("data", lambda v: F.abs(v).cast("float")).alias("data"))
+    got = preprocess(df, Preprocessing(binning=(2, 2), use_drift=False), flat=df)
+    return got.select(F.col("view_idx").alias("vec_id"), F.posexplode("data").alias("i", "value")).select("vec_id", F.col("i").cast("long").alias("i"), rounded(F.col("value").cast("double"), 3).alias("value"))
+
+
 def confidence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """exp(-(d / tau)^2) of the distance to the data set's mean image, tau twice the image's median distance."""
     df = images(spark, sf_dir)
@@ -164,6 +173,13 @@ QUERIES = {
         ),
     ),
     "gray_pixels": (gray_pixels, _sql("SELECT vec_id, i // 3 AS i, round(sum(v * CASE i % 3 WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END), 5) + 0.0 AS value FROM px WHERE i < 63 GROUP BY vec_id, i // 3")),
+    "preprocess_views": (
+        preprocess_views,
+        _sql(
+            "SELECT vec_id, i, round(greatest(-ln(least(greatest(b / greatest(f, 1e-6), 1e-6), 2.0)), 0), 3) + 0.0 AS value FROM b JOIN (SELECT i, avg(b) AS f FROM b GROUP BY 1) USING (i)",
+            f"{PIXELS}, {_RC}, b AS (SELECT vec_id, (r // 2) * 4 + c // 2 AS i, avg(abs(v)) AS b FROM p GROUP BY vec_id, (r // 2) * 4 + c // 2)",
+        ),
+    ),
     "confidence_map": (
         confidence_map,
         _sql("SELECT vec_id, i, round(greatest(exp(-pow(d / tau, 2)), 0.05), 3) + 0.0 AS value FROM dd JOIN (SELECT vec_id, 2 * quantile_cont(d, 0.5) + 1e-12 AS tau FROM dd GROUP BY 1) USING (vec_id)", f"{_MEAN}, dd AS (SELECT vec_id, i, abs(v - m) AS d FROM px JOIN mf USING (label, i))"),

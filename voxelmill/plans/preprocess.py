@@ -119,3 +119,27 @@ def projection_range(views: DataFrame) -> DataFrame:
     """(least, greatest): of all pixels but NaN."""
     clean = F.filter("data", lambda x: ~F.isnan(x))
     return views.agg(F.min(F.array_min(clean)).alias("least"), F.max(F.array_max(clean)).alias("greatest"))
+
+
+def estimate_drift(views: DataFrame, median_width: int = 1) -> DataFrame:
+    """(view_idx, x_shift_px, y_shift_px): the shift that moves each view onto the first, by phase correlation; smoothed by a running median if wider than 1.
+
+    The first view is one detector frame, which is broadcast.
+    """
+    first = views.orderBy("view_idx").select("rows", "cols", "data").first()
+    sent = views.sparkSession.sparkContext.broadcast(np.asarray(first["data"], np.float64).reshape(first["rows"], first["cols"]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            moved = [kernels.phase_shift(sent.value, np.asarray(d, np.float64).reshape(r, c)) for d, r, c in zip(pdf["data"], pdf["rows"], pdf["cols"], strict=True)]
+            yield pd.DataFrame({"view_idx": pdf["view_idx"], "x_shift_px": [x for _, x in moved], "y_shift_px": [y for y, _ in moved]})
+
+    found = views.select("view_idx", "rows", "cols", "data").mapInPandas(run, "view_idx long, x_shift_px double, y_shift_px double")
+    if median_width <= 1:
+        return found
+    from voxelmill.operators.windows import running_median
+
+    one = found.withColumn("__all", F.lit(0))
+    for c in ("x_shift_px", "y_shift_px"):
+        one = running_median(one, c, "view_idx", median_width, ["__all"]).drop(c).withColumnRenamed("median", c)
+    return one.select("view_idx", "x_shift_px", "y_shift_px")

@@ -127,6 +127,13 @@ def run_root(path: str) -> str:
     return "/".join(parts)
 
 
+def fast_folder(spark: SparkSession, root: str, child: str) -> str:
+    """A folder of the fast run, or its nested place in runs of old, if only that is there."""
+    new, old = f"{run_root(root)}/fast_recon/{child}", f"{run_root(root)}/fast_recon/fast_recon/{child}"
+    there = lambda p: hadoop_path(spark, p)[0].exists(hadoop_path(spark, p)[1])
+    return old if there(old) and not there(new) else new
+
+
 def report(title: str, sections: dict[str, dict | Sequence[str]]) -> str:
     """A Markdown report."""
     out = [f"# {title}", ""]
