@@ -22,10 +22,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each writes Parquet in the shared folder, which the next one reads."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages over documents; each writes Parquet in the shared folder, which the next one reads and then lets go."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     at = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if last is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        last = f"{at}/{name}"
     return docs
