@@ -287,7 +287,7 @@ def _fragments(texts: DataFrame, active: DataFrame, need: DataFrame, shape: Shap
 
 
 def repeated_starts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """texts: (t1, t2, text). (t1, t2, starts): the runs (first, last) of starts whose strings recur, for each key that has any."""
+    """texts: (t1, t2, text). (t1, t2, firsts, lasts): the runs of starts whose strings recur, for each key that has any."""
     seen = scan_runs(texts, shape, "anchors").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
     again = cut(seen)
     active = cut(scan_runs(texts, shape, "runs", screen_of(again, MAX_FILTER_KEYS)).join(again, "h", "left_semi"))
@@ -301,20 +301,29 @@ def repeated_starts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     marked = small if large.isEmpty() else small.unionByName(_count_strings(fragments.where(F.col("k") > MAX_GROUP), shape))
     decided = classes.where("c >= 2").select("h", "f", F.lit(None).cast("binary").alias("marks")).unionByName(marked.join(classes.where("c >= 2"), ["h", "f"], "left_anti"))
 
-    @F.pandas_udf("array<struct<first:long,last:long>>")
-    def spans(los, n, marks):
-        def of(a, k, m):
-            on = np.ones(k, bool) if m is None else np.frombuffer(m, np.uint8).astype(bool)
-            edge = np.diff(np.r_[False, on, False].astype(np.int8))
-            return [{"first": int(a + x), "last": int(a + y - 1)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-
-        import pandas as pd
-
-        return pd.Series([[s for a in at for s in of(a, k, m)] for at, k, m in zip(los, n, marks, strict=True)])
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["t1", "t2", "firsts", "lasts"]
+        for batch in batches:
+            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            whole = batch.filter(pa.array(~known))
+            los = whole.column(2)
+            first = los.flatten().to_numpy()
+            last = first + np.repeat(whole.column(3).to_numpy(), los.value_lengths().to_numpy()) - 1
+            edges = pa.array(np.r_[0, np.cumsum(los.value_lengths().to_numpy())].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), pa.ListArray.from_arrays(edges, pa.array(first)), pa.ListArray.from_arrays(edges, pa.array(last))], names)
+            some = batch.filter(pa.array(known))
+            firsts, lasts = [], []
+            for at, m in zip(some.column(2).to_pylist(), some.column(4).to_pylist(), strict=True):
+                edge = np.diff(np.frombuffer(b"\0" + m + b"\0", np.int8))
+                a, b, base = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, np.array(at)[:, None]
+                firsts.append((base + a).reshape(-1))
+                lasts.append((base + b).reshape(-1))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))], names)
 
     # the same text in another task gives the same row again
     found = active.join(decided, ["h", "f"]).withColumn("lo", F.get("los", 0)).dropDuplicates(["t1", "t2", "h", "f", "lo"])
-    return found.select("t1", "t2", spans("los", "n", "marks").alias("starts")).groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    each = found.select("t1", "t2", "los", "n", "marks").mapInArrow(spans, "t1 long, t2 long, firsts array<long>, lasts array<long>")
+    return each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
@@ -325,23 +334,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape
     window = shape.window
 
     @F.pandas_udf("n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    def remove(text, found):
+    def remove(text, firsts, lasts):
         import pandas as pd
 
         out = []
-        for t, runs_ in zip(text, found, strict=True):
-            raw, spans = t.encode("utf-8", "surrogatepass"), []
-            for r in sorted(runs_, key=lambda r: r["first"]) if runs_ is not None else []:
-                a, b = int(r["first"]), int(r["last"]) + window
-                if spans and a <= spans[-1]["end"]:
-                    spans[-1]["end"] = max(spans[-1]["end"], b)
-                else:
-                    spans.append({"start": a, "end": b})
-            edges = [0, *[e for s in spans for e in (s["start"], s["end"])], len(raw)]
-            out.append((len(raw), spans, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
+        for t, first, last in zip(text, firsts, lasts, strict=True):
+            raw, a, b = t.encode("utf-8", "surrogatepass"), [], []
+            if first is not None and len(first):
+                order = np.argsort(first, kind="stable")
+                reach = np.maximum.accumulate(np.asarray(last)[order] + window)
+                opens = np.flatnonzero(np.r_[True, np.asarray(first)[order][1:] > reach[:-1]])
+                a, b = np.asarray(first)[order][opens].tolist(), reach[np.r_[opens[1:] - 1, len(reach) - 1]].tolist()
+            kept = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True))
+            out.append((len(raw), [{"start": x, "end": y} for x, y in zip(a, b, strict=True)], kept))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    return keyed.join(starts, ["t1", "t2"], "left").select("doc_id", remove("text", "starts").alias("r")).select("doc_id", "r.*")
+    return keyed.join(starts, ["t1", "t2"], "left").select("doc_id", remove("text", "firsts", "lasts").alias("r")).select("doc_id", "r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
