@@ -44,7 +44,7 @@ MAX_GROUP, BATCH = 50_000, 60_000
 #: Keys up to which a filter of them (2.4 bytes a key) goes to every executor.
 MAX_FILTER_KEYS = 8_000_000
 #: Bytes that are hashed at a time; positions inside take POSITION_BITS bits.
-CHUNK, POSITION_BITS = 4 << 20, 24
+CHUNK, POSITION_BITS = 2 << 20, 24
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D]
 _BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 
