@@ -8,6 +8,7 @@ from voxelmill import catalog
 SF = "/root/testdata/sf0.01"
 SQL = {
     "clock_and_eta_all": "WITH e AS (SELECT *, CAST(floor(value * 50) AS BIGINT) AS s FROM events) SELECT event_id, lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock, round(value / nullif(event_id % 9, 0) * greatest(10 - event_id % 9, 0), 4) + 0.0 AS eta FROM e",
+    "typed_fields_all": "WITH e AS (SELECT event_id % 5 AS m, event_id, event_type FROM events), t AS (SELECT ['empty', 'bool', 'int', 'float', 'text'][m + 1] AS kind, CASE m WHEN 0 THEN '' WHEN 1 THEN 'true' WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN '2.5' ELSE event_type END AS v FROM e) SELECT kind, count(*) AS n, min(v) AS least FROM t GROUP BY 1",
 }
 
 

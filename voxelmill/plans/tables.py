@@ -240,12 +240,20 @@ def clock_and_eta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clocks(_t(spark, sf_dir, "events"))
 
 
-def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").where("event_id < 5000")
+def _typed(e: DataFrame) -> DataFrame:
     text = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, " TRUE ").when(F.col("event_id") % 5 == 2, F.concat(F.col("event_id").cast("string"), F.lit(".0"))).when(F.col("event_id") % 5 == 3, F.lit("2.5")).otherwise(F.col("event_type"))
     return e.select("event_id", scalars.typed_text(text).alias("t")).groupBy("t.kind").agg(F.count(F.lit(1)).alias("n"), F.min("t.value").alias("least"))
 
 
+def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5,000 events, as its SQL has it; ``typed_fields_all`` takes all."""
+    return _typed(_t(spark, sf_dir, "events").where("event_id < 5000"))
+
+
+def typed_fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(_t(spark, sf_dir, "events"))
+
+
 def safe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", scalars.safe_key(F.concat(F.lit("--"), F.col("p_name"), F.lit("/ "), F.col("p_brand"), F.lit("!"))).alias("key"), scalars.normal_label(F.concat(F.lit(" "), F.upper("p_type"))).alias("label"))
 
@@ -384,6 +392,7 @@ QUERIES = {
 }
 #: Over all rows; the queries of the same names without _all keep the filters of their SQL. tests/test_whole_tables.py has SQL for these.
 QUERIES["clock_and_eta_all"] = (clock_and_eta_all, None)
+QUERIES["typed_fields_all"] = (typed_fields_all, None)
 QUERIES["id_lists"] = (
     id_lists,
     "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || CASE WHEN c_nationkey <> 3 THEN ',3' ELSE '' END || CASE WHEN c_custkey % 4 NOT IN (c_nationkey, 3) THEN ',' || CAST(c_custkey % 4 AS VARCHAR) ELSE '' END AS ids FROM customer",
