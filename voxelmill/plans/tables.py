@@ -71,10 +71,17 @@ def dup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an order among every seventh, as its SQL has it; ``missing_anti_all`` takes whole tables."""
     c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return joins.missing(c, o, "c_custkey").select("c_custkey", "c_name")
 
 
+def missing_anti_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that no line item is of, both tables over all rows."""
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return joins.missing(o, li, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
 def semi_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey")).distinct()
     return joins.semi(c, s, "c_nationkey").select("c_custkey")
@@ -95,6 +102,13 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("s_suppkey", "p_partkey", "p_size")
 
 
+def positional_zip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts by key, joined by place with all parts by price, reversed."""
+    p = _t(spark, sf_dir, "part")
+    priced = p.select(F.struct("p_retailprice", "p_partkey").alias("k"), F.col("p_partkey").alias("priced_partkey"), "p_size")
+    return joins.positional(p.select("p_partkey"), priced, "p_partkey", "k", reverse=True)
+
+
 def direction_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
     return stats.direction(e, "value", ["ts", "event_id"], ["user_id", "d"]).select("user_id", F.col("d").cast("string").alias("day"), "direction")
@@ -182,10 +196,16 @@ def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def except_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in credit without an order among every fifth, as its SQL has it; ``except_all`` takes whole tables."""
     a = _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     return merge.difference(a, _t(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k")).distinct(), "k")
 
 
+def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all customers without those of all suppliers."""
+    return merge.difference(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
+
+
 def fill_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers have weights, suppliers none: ones for all."""
     parts = [_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 100).alias("weight")), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))]
@@ -393,6 +413,9 @@ QUERIES = {
 #: Over all rows; the queries of the same names without _all keep the filters of their SQL. tests/test_whole_tables.py has SQL for these.
 QUERIES["clock_and_eta_all"] = (clock_and_eta_all, None)
 QUERIES["typed_fields_all"] = (typed_fields_all, None)
+QUERIES["missing_anti_all"] = (missing_anti_all, None)
+QUERIES["except_all"] = (except_all, None)
+QUERIES["positional_zip_all"] = (positional_zip_all, None)
 QUERIES["id_lists"] = (
     id_lists,
     "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || CASE WHEN c_nationkey <> 3 THEN ',3' ELSE '' END || CASE WHEN c_custkey % 4 NOT IN (c_nationkey, 3) THEN ',' || CAST(c_custkey % 4 AS VARCHAR) ELSE '' END AS ids FROM customer",
