@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from voxelmill.llm import toxicity
-from voxelmill.llm.automaton import Entry, build
+from voxelmill.llm.automaton import Entry, build, build_all
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, toxicity string, toxic string"
@@ -93,3 +93,27 @@ def test_cases(spark):
     none = toxicity.fit(df, labels.limit(0))
     assert {r[0] for r in toxicity.score(df.select("text"), none).select("toxicity").collect()} == {0.0}
     assert toxicity.score(df.limit(0).select("text"), model).count() == 0
+
+
+def test_a_full_lexicon_keeps_its_edits():
+    rng, texts = random.Random(3), set()
+    while len(texts) < toxicity.MAX_ENTRIES:
+        texts.add("".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) + rng.choice(["", "n", "r", "s"]))
+    texts = rng.sample(sorted(texts), len(texts))
+    entries = [Entry(t, False, 2 if len(t) >= 9 else 1 if len(t) >= 5 else 0) for t in texts]
+    made = build_all(entries)
+    assert len(made.parts) > 1 and made.entries == entries
+    words = [t[:k] + "q" + t[k + 1 :] for t in texts for k in [rng.randrange(len(t))]] + texts[:50] + ["qqqq"]
+    codes, last = np.array([ord(c) for w in words for c in w]), np.cumsum([len(w) for w in words])
+    got = made.read(codes, last - [len(w) for w in words], last)
+    for w, r in zip(words, got.tolist(), strict=True):
+        near = {n: distance(w, e.text) for n, e in enumerate(entries) if abs(len(w) - len(e.text)) <= e.distance}
+        assert dict(made.results[r]) == {n: d for n, d in near.items() if d <= entries[n].distance}, w
+
+
+def test_short_stems_have_one_edit():
+    rng, rows = random.Random(5), corpus(400)
+    word = lambda: "".join(rng.choice("aeiost") for _ in range(4))
+    rows = [(t, x.replace("grobling", "zwurkh" + word()).replace("Vexatron", "zwurkh" + word()).replace("snarkle", "zwurkh" + word()) + ("" if t else " zwur" + word())) for t, x in rows]
+    stems = [e for e in toxicity.learn_lexicon([x for t, x in rows if t], [x for t, x in rows if not t]) if e.stem]
+    assert stems == [Entry("zwurk", True, 1)]

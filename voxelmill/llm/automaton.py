@@ -67,6 +67,46 @@ class Automaton:
         return self.accepts[state]
 
 
+@dataclass
+class Automata:
+    """Several automata over parts of a lexicon, read as one: the result of a word is the union of theirs."""
+
+    entries: list[Entry]
+    parts: list[tuple[list[int], Automaton]]  # places of the part's entries in the lexicon, and their automaton
+    results: list[tuple[tuple[int, int], ...]] = field(default_factory=lambda: [()])  # (entry, distance) pairs by result; grows while reading
+    number: dict[tuple[int, ...], int] = field(default_factory=dict)  # results of the parts to result
+
+    def read(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        each = np.stack([a.read(codes, first, last) for _, a in self.parts], axis=1)
+        out = np.zeros(len(first), np.int32)
+        hits = np.flatnonzero(each.any(axis=1))
+        if not len(hits):
+            return out
+        which, back = np.unique(each[hits], axis=0, return_inverse=True)
+        out[hits] = np.array([self._result(tuple(r)) for r in which.tolist()], np.int32)[back.reshape(-1)]
+        return out
+
+    def _result(self, of_parts: tuple[int, ...]) -> int:
+        if of_parts not in self.number:
+            self.number[of_parts] = len(self.results)
+            self.results.append(tuple(sorted((places[n], d) for (places, a), r in zip(self.parts, of_parts, strict=True) for n, d in a.results[r])))
+        return self.number[of_parts]
+
+
+def build_all(entries: list[Entry], max_states: int = 60_000) -> Automata:
+    """One automaton if it has at most max_states states, else one for each half of the entries in alphabetical order, and so on."""
+    parts, left = [], [sorted(range(len(entries)), key=lambda n: entries[n].text)]
+    while left:
+        places = left.pop()
+        try:
+            # a single entry cannot be divided, and is no reason to lose its edits
+            parts.append((places, build([entries[n] for n in places], max_states if len(places) > 1 else 1 << 62)))
+        except ValueError:
+            half = len(places) // 2
+            left += [places[half:], places[:half]]
+    return Automata(list(entries), parts)
+
+
 def _accepted(items: frozenset, entries: list[Entry]) -> tuple[tuple[int, int], ...]:
     best: dict[int, int] = {}
     for n, row, done in items:

@@ -3,7 +3,8 @@
 Learning takes a hash sample of labelled rows (about MAX_TOXIC and MAX_CLEAN documents of at most TRAIN_CHARS characters;
 classes are weighted back to their shares). Word beginnings that occur in far more toxic than clean documents become the
 lexicon: a whole word if one word makes up most of a beginning's documents, else a stem with any ending. Longer words admit
-one or two edits. All entries make one automaton (see ``automaton``), which reads every word of every text.
+one or two edits. All entries make one automaton (see ``automaton``), or several where one would be too large; each reads every
+word of every text, and no entry loses its edits.
 
 A hit's weight is its entry's log-odds in the sample, for exact and misspelled hits apart. Its context is the window of
 WINDOW words on either side: each context word has log-odds between hits of toxic and of clean documents, and a hit inside
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm._base import read_table
-from voxelmill.llm.automaton import Automaton, Entry, build
+from voxelmill.llm.automaton import Automata, Entry, build_all
 
 MAX_TOXIC, MAX_CLEAN, TRAIN_CHARS = 2_500, 5_000, 20_000
 MIN_PREFIX, MAX_PREFIX, MAX_ENTRIES = 4, 8, 400
@@ -56,7 +57,7 @@ class Found:
     context: np.ndarray  # (hits, 2 * WINDOW) context buckets, -1 where there is no word
 
 
-def find(texts: list[str | None], automaton: Automaton) -> Found:
+def find(texts: list[str | None], automaton: Automata) -> Found:
     parts = [x for t in texts for x in (_codes(t or ""), np.array([10], np.uint32))]
     codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     ends = np.cumsum([len(p) for p in parts]).reshape(-1, 2)[:, 1] if parts else np.zeros(0, np.int64)
@@ -140,7 +141,9 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[Entry]:
         if g(best, say[best]) < MIN_G or odds(best, say[best]) < MIN_ODDS or say[best] < least:
             break
         word, n = max(((w, n) for w, n in whole.items() if w.startswith(best)), key=lambda x: (x[1], x[0]))
-        entries.append(Entry(word, False, 2 if len(word) >= 9 else 1 if len(word) >= 5 else 0) if n >= 0.8 * wanted[best] else Entry(best, True, 1 if len(best) >= 7 else 0))
+        stem = n < 0.8 * wanted[best]
+        text = best if stem else word
+        entries.append(Entry(text, stem, 2 if len(text) >= 9 else 1 if len(text) >= 5 else 0))
         for d in holders[best]:
             weight[d] /= 2
             for p in held[d]:
@@ -150,19 +153,9 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[Entry]:
     return list(dict.fromkeys(entries))
 
 
-def _automaton(entries: list[Entry]) -> Automaton:
-    """The automaton of all entries; where it would be too large, the weakest entries give up their edits first."""
-    spelled = len(entries)
-    while True:
-        try:
-            return build([e if n < spelled else Entry(e.text, e.stem, 0) for n, e in enumerate(entries)])
-        except ValueError:
-            spelled //= 2
-
-
 @dataclass
 class Model:
-    automaton: Automaton | None
+    automaton: Automata | None
     exact: np.ndarray  # log-odds by entry
     fuzzy: np.ndarray
     context: np.ndarray  # log-odds by bucket
@@ -225,7 +218,7 @@ def train(rows: list[tuple[int, str]], toxic_share: float | None = None) -> Mode
     entries = learn_lexicon([x for t, x in rows if t], [x for t, x in rows if not t])
     if not entries:
         return nothing
-    automaton = _automaton(entries)
+    automaton = build_all(entries)
     found = find([x for _, x in rows], automaton)
     # documents of each class with an exact, and with a misspelled hit of each entry
     seen = [np.zeros((2, len(entries))), np.zeros((2, len(entries)))]
