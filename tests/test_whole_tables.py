@@ -1,9 +1,12 @@
 """Queries that take whole tables, against DuckDB over all rows."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from voxelmill import catalog
+from voxelmill.functions import geometry
+from voxelmill.plans import iterative
 
 SF = "/root/testdata/sf0.01"
 SQL = {
@@ -28,3 +31,18 @@ def test_all_rows(spark, name):
     for c in columns:
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
         assert same.all() or abs(got[c][~same].astype(float) - want[c][~same].astype(float)).max() < 2e-3, c
+
+
+def test_every_volume_is_projected(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    volumes = {k: rng.normal(size=64).astype(np.float32) for k in (0, 3, 9, 10, 11, 700)}
+    spark.createDataFrame([(k, v.tolist(), 0) for k, v in volumes.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for view in range(12):
+        for pixel, voxel, w in zip(*geometry.ray_weights(iterative.PHANTOM, view * np.pi / 6), strict=True):
+            for k, v in volumes.items():
+                at = (k, view, int(pixel))
+                want[at] = want.get(at, 0.0) + w * abs(float(v[voxel]))
+    got = {(r["volume_id"], r["view_idx"], r["pixel"]): r["value"] for r in iterative.forward_projection(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-3 for k, v in want.items())
+    assert {voxel for view in range(12) for voxel in geometry.ray_weights(iterative.PHANTOM, view * np.pi / 6)[1].tolist()} == set(range(64))

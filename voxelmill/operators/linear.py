@@ -30,9 +30,9 @@ def system_matrix(views: DataFrame, g: Geometry) -> DataFrame:
     return views.select(F.col("view_idx").cast("long"), "angle_rad").mapInPandas(run, "view_idx long, pixel long, voxel long, w double")
 
 
-def forward(matrix: DataFrame, x: DataFrame) -> DataFrame:
-    """(view_idx, pixel, value) of x (voxel, value)."""
-    return matrix.join(x, "voxel").groupBy("view_idx", "pixel").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+def forward(matrix: DataFrame, x: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(view_idx, pixel, value) of x (voxel, value); of several volumes told apart by keys, with these before."""
+    return matrix.join(x, "voxel").groupBy(*(keys or []), "view_idx", "pixel").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def backproject(matrix: DataFrame, y: DataFrame, views: Column | None = None, scale: float = 1.0) -> DataFrame:

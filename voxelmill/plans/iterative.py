@@ -1,4 +1,4 @@
-"""Solver and streaming queries: small phantoms from embeddings, event streams."""
+"""Solver and streaming queries: volumes from embeddings, a fixed phantom, event streams."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from voxelmill.operators import linear, solvers
 from voxelmill.plans.images import rounded
 from voxelmill.streaming import monitors
 
-PHANTOM = Geometry(200.0, 100.0, (6, 10), (2.0, 2.0), (6, 10, 10), (1.0, 1.0, 1.0), invert_angles=False)
+#: The 64 values of a row of embeddings are a volume of 4 x 4 x 4 voxels.
+PHANTOM = Geometry(200.0, 100.0, (6, 10), (2.0, 2.0), (4, 4, 4), (1.0, 1.0, 1.0), invert_angles=False)
 
 
 def phantom_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,10 @@ def phantom_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forward_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projections of a volume filled from embeddings."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 10")
-    x = e.select(F.col("vec_id"), F.posexplode("embedding").alias("k", "v")).select((F.col("vec_id") * 60 + F.col("k")).alias("voxel"), F.abs("v").alias("value"), "k").where("k < 60").select("voxel", "value")
-    return linear.forward(phantom_matrix(spark, sf_dir), x).select("view_idx", "pixel", rounded(F.col("value"), 4).alias("value"))
+    """Projections of every volume of embeddings; the relation of one geometry is small and goes to all tasks."""
+    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("volume_id"), F.posexplode("embedding").alias("voxel", "v")).select("volume_id", "voxel", F.abs("v").alias("value"))
+    got = linear.forward(F.broadcast(phantom_matrix(spark, sf_dir)), x, ["volume_id"])
+    return got.select("volume_id", "view_idx", "pixel", rounded(F.col("value"), 4).alias("value"))
 
 
 def forward_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def _phantom() -> np.ndarray:
 
 
 def solver_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric rows of the four solvers on a cube with the identity operator."""
+    """Metric rows of the four solvers on a cube with the identity operator; a fixed phantom, no table is read."""
     b, op = _phantom(), linear.Identity(6)
     x0 = np.zeros_like(b)
     runs = [solvers.admm(op, b, x0, 1e-3, 5e-2, 5), solvers.pdhg(op, b, x0, 1e-3, 5), solvers.subset_tv(op, b, x0, 1e-3, 5, 2), solvers.anchored(op, b, x0, b, np.ones_like(b), sweeps=3, subsets=2)]
