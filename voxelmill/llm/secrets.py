@@ -1,7 +1,7 @@
 """Secret scans: candidates from text, and a random forest that removes the false positives.
 
 Candidates are tokens with a digit and at least MIN_TOKEN characters, values assigned to a name that speaks of
-credentials, and private key blocks. Features: length, shares and transitions of character classes, entropy, dictionary
+credentials, tokens with the beginning of a published format, passwords in URLs, and private key blocks of any length. Features: length, shares and transitions of character classes, entropy, dictionary
 coverage, form (hexadecimal, UUID, known prefixes), the path, and the neighbouring words. The forest is trained from
 labelled findings: a table (before, candidate, after, path, label) of the caller's, or ``sample_findings``, which makes
 labelled findings from formats of secrets and of their look-alikes (hashes, UUIDs, numbers, versions, placeholders).
@@ -36,13 +36,16 @@ _DIGIT = re.compile("[0-9]")
 _ASSIGN = re.compile(r"[=:]")
 _VALUE = re.compile(r"[=:]{1,2}>?[ \t]{0,3}[\"'`]?([^\s\"'`,;<>]{6,})")
 _NAME = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key)[\w.\-]{0,20}[\"'`]?[ \t]{0,3}$")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
+_PEM = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+_SCHEME = re.compile(r"[\w+.\-]*(?=://)")
+_URL = re.compile(r"://[^\s/?#:@\"<>`]*:([^\s/?#\"<>`]+)@")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _HEX, _WORD = re.compile(r"[0-9a-fA-F]+$"), re.compile(r"[a-z]+")
 _VERSION = re.compile(r"v?\d+(\.\d+)+([-+.]\w+)*$")
 
 # Beginnings of published credential formats.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ", "SG.", "npm_", "hf_", "-----BEGIN")
+_PREFIXED = re.compile("(?<![A-Za-z0-9_])(" + "|".join(re.escape(p) for p in PREFIXES if p != "-----BEGIN") + r")[A-Za-z0-9_+/\-.~]+(?:={1,2}(?![\w\"']))?")
 # Words that stand beside secrets, beside look-alikes, and in paths.
 SECRET_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api", "key", "access", "auth", "credential", "credentials", "bearer", "private", "login")
 OTHER_WORDS = ("sha", "sha1", "sha256", "md5", "commit", "hash", "checksum", "digest", "uuid", "guid", "id", "version", "image", "base64", "isbn", "order", "card", "phone", "tel", "build", "revision", "etag", "integrity")
@@ -66,8 +69,22 @@ class Finding:
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidates, in order, none inside another."""
     spans: dict[int, int] = {}
+    begin = None
     for m in _PEM.finditer(text):
-        spans[m.start()] = m.end()
+        if m.group(1) == "BEGIN":
+            begin = m.start()
+        elif begin is not None:
+            spans[begin], begin = m.end(), None
+    for m in _PREFIXED.finditer(text):
+        b = m.end()
+        while text[b - 1] in ".-":
+            b -= 1
+        if b > m.end(1):
+            spans[m.start()] = max(b, spans.get(m.start(), 0))
+    urls = set()  # a value that is a URL with a password gives way to the password
+    for m in _URL.finditer(text):
+        urls.add(m.start())
+        spans[m.start(1)] = max(m.end(1), spans.get(m.start(1), 0))
     end = 0
     for m in _DIGIT.finditer(text):
         if m.start() < end:
@@ -88,7 +105,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         if b - a >= MIN_TOKEN:
             spans[a] = max(b, spans.get(a, 0))
     for m in _ASSIGN.finditer(text):
-        if _NAME.search(text, max(0, m.start() - 40), m.start()) and (v := _VALUE.match(text, m.start())):
+        if _NAME.search(text, max(0, m.start() - 40), m.start()) and (v := _VALUE.match(text, m.start())) and not ((u := _SCHEME.match(text, v.start(1))) and u.end() in urls):
             spans[v.start(1)] = max(v.end(1), spans.get(v.start(1), 0))
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans.items(), key=lambda x: (x[0], -x[1])):
@@ -145,6 +162,8 @@ def sample_findings(n: int = 6000, seed: int = 17) -> list[Finding]:
     prose = lambda k: " ".join(rng.choice([*vocabulary, pick(string.ascii_lowercase, rng.randint(2, 9))]) for _ in range(k))
     names = ("password", "passwd", "db_password", "secret", "client_secret", "token", "auth_token", "api_key", "apikey", "access_key", "AWS_SECRET_ACCESS_KEY", "private_key")
     give = lambda: f"{rng.choice(names)}{rng.choice(['=', ' = ', ': ', '=' + chr(34), ' = ' + chr(34), ': ' + chr(39)])}"
+    url = lambda: rng.choice(["https", "http", "postgres", "mysql", "redis", "amqp", "ftp"]) + "://" + rng.choice(["", rng.choice(vocabulary), pick(string.ascii_lowercase, 5)]) + ":"
+    host = lambda: "@" + rng.choice(["localhost", rng.choice(vocabulary) + ".com", "10.0.0." + pick("123456789", 1)]) + "/"
     secret = (
         lambda: (rng.choice(["", give(), "the ", prose(1) + " "]), "AKIA" + pick(upper, 16)),
         lambda: (rng.choice(["", give(), prose(1) + " "]), rng.choice(["ghp_", "gho_", "npm_", "hf_"]) + pick(alnum, 36)),
@@ -156,6 +175,8 @@ def sample_findings(n: int = 6000, seed: int = 17) -> list[Finding]:
         lambda: (give(), pick(hexa, rng.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: (give(), pick(alnum + "!#$%&*", rng.randint(8, 20))),
         lambda: (give(), rng.choice(vocabulary).capitalize() + pick(string.digits, rng.randint(2, 5)) + rng.choice("!#$%*") + pick(alnum, 3)),
+        lambda: (url(), rng.choice([pick(string.ascii_lowercase, rng.randint(4, 7)) + pick(string.digits, rng.randint(1, 3)), pick(alnum + "!$%*-_", rng.randint(8, 20)), rng.choice(vocabulary) + pick(string.digits, rng.randint(1, 4))]), host()),
+        lambda: ("", "-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n" + pick(alnum + "+/", rng.choice([400, 3000])) + "\n-----END PGP PRIVATE KEY BLOCK-----"),
         lambda: ("", "-----BEGIN PRIVATE KEY-----\n" + pick(alnum + "+/", 400) + "\n-----END PRIVATE KEY-----"),
     )
     other = (
@@ -173,15 +194,17 @@ def sample_findings(n: int = 6000, seed: int = 17) -> list[Finding]:
         lambda: (rng.choice(["", "mail ", prose(1) + " "]), pick(string.ascii_lowercase, 8) + "." + pick(string.digits, 2) + "-" + rng.choice(vocabulary)),
         lambda: (rng.choice([prose(1) + " ", ""]), "_".join(rng.choice(vocabulary) for _ in range(3)) + "_" + pick(string.digits, 2)),
         lambda: (rng.choice(["http://", "https://"]), rng.choice(vocabulary) + pick(string.digits, 2) + ".example.com/" + rng.choice(vocabulary)),
+        lambda: (rng.choice(["", prose(1) + " ", "import "]), rng.choice(["npm_", "hf_", "SG.", "gho_", "eyJ"]) + rng.choice("_.").join(rng.choice(vocabulary) for _ in range(rng.randint(1, 3)))),
+        lambda: (url(), rng.choice(["password", "your_password", "xxxx", "changeme", "example", "<password>", "test", "placeholder"]), host()),
         lambda: (rng.choice(["token ", "key ", "the token ", "auth: "]), rng.choice(["expires_in_3600", "required2024", "authentication2", "management_v2x"])),
     )
     out = []
     for k in range(n):
         label = k % 2
-        before, candidate = rng.choice(secret if label else other)()
+        before, candidate, *at = rng.choice(secret if label else other)()
         path = rng.choice(["", "src", f"src{rng.randint(0, 9)}", "app/main.py", "README.md", "tests/test_api.py", "package-lock.json", ".env", "config.yml"])
         quote = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
-        out.append(Finding((prose(3) + " " + before)[-AROUND:], candidate, (quote + rng.choice([" ", "\n", ", ", ""]) + prose(2))[:AROUND], path, label))
+        out.append(Finding((prose(3) + " " + before)[-AROUND:], candidate, (quote + "".join(at) + rng.choice([" ", "\n", ", ", ""]) + prose(2))[:AROUND], path, label))
     return out
 
 
