@@ -82,3 +82,16 @@ def test_query_and_tensors(spark):
     assert column.to_numpy_ndarray().shape == (len(tensors), 32, 24)
     assert [t["start"] for t in tensors[1:]] == [t["end"] for t in tensors[:-1]]
     assert audio.media_table(df.limit(0)).count() == 0
+
+
+def test_the_query_reads_its_feature_from_tensors(spark, tmp_path, monkeypatch):
+    texts = ["ab é " * k for k in (0, 1, 300, 2_000, 9_000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked, table = [], audio.media_table
+    monkeypatch.setattr(audio, "media_table", lambda docs, **kw: asked.append(kw.get("with_tensors", True)) or table(docs, **kw))
+    got = {r["doc_id"]: r["feature"] for r in audio.query(spark, str(tmp_path)).collect()}
+    want = [audio.summary(*r) for r in audio.analyse([audio.payload_of(t)[0] for t in texts])]
+    assert asked == [True] and [got[k] for k in range(len(texts))] == want
+    for r in table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        mels, segments = audio.read_tensors(r["media"]["tensors"], r["media"]["segments"])
+        assert audio.summary(mels, segments) == want[r["doc_id"]]

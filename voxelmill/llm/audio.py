@@ -192,6 +192,13 @@ def _tensors(mels: np.ndarray) -> list[dict]:
     return out
 
 
+def read_tensors(tensors, segments) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and segments of tensors and spans as ``media`` gives them; what fills the last tensor up is left out."""
+    frames = lambda seconds: round(seconds * OUT_RATE / HOP)
+    mels = [np.asarray(t["values"], np.float64).reshape(TENSOR_FRAMES, BANDS)[: frames(t["end"]) - frames(t["start"])] for t in tensors]
+    return np.concatenate(mels), np.array([(frames(s["start"]), frames(s["end"])) for s in segments], np.int64).reshape(-1, 2)
+
+
 def tensor_column(values):
     """An Arrow array of fixed-size lists or lists of TENSOR_FRAMES x BANDS floats as a fixed-shape tensor array."""
     import pyarrow as pa
@@ -206,7 +213,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = media_table(read_table(spark, sf_dir, "documents"), with_tensors=False)
+    made = media_table(read_table(spark, sf_dir, "documents"))
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
     def digests(stored):
@@ -218,4 +225,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest()))
         return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
 
-    return made.select("doc_id", "media.n_bytes", "media.feature", digests("media.stored").alias("d")).select("doc_id", "n_bytes", "d.*", "feature")
+    @F.pandas_udf("string")
+    def feature(tensors, segments):
+        import pandas as pd
+
+        return pd.Series([summary(*read_tensors(t, s)) for t, s in zip(tensors, segments, strict=True)], dtype=object)
+
+    return made.select("doc_id", "media.n_bytes", digests("media.stored").alias("d"), feature("media.tensors", "media.segments").alias("feature")).select("doc_id", "n_bytes", "d.*", "feature")
