@@ -77,21 +77,24 @@ def test_query_and_tensors(spark):
     df = spark.createDataFrame(rows, DOCS)
     made = audio.media_table(df).collect()
     assert sorted(str(r["doc_id"]) for r in made) == ["1", "1", "2", "None"]
-    tensors = made[0]["media"]["tensors"]
-    column = audio.tensor_column(pa.array([t["values"] for t in tensors], pa.list_(pa.float32())))
-    assert column.to_numpy_ndarray().shape == (len(tensors), 32, 24)
-    assert [t["start"] for t in tensors[1:]] == [t["end"] for t in tensors[:-1]]
-    assert audio.media_table(df.limit(0)).count() == 0
+    table = audio.read_tensors(made[0]["tensors"])
+    assert table["values"].type == pa.fixed_shape_tensor(pa.float32(), (32, 24), dim_names=("frame", "band"))
+    assert table["values"].combine_chunks().to_numpy_ndarray().shape == (table.num_rows, 32, 24)
+    assert table["start"].to_pylist()[1:] == table["end"].to_pylist()[:-1]
+    assert audio.media_table(df.limit(0)).count() == 0 == audio.digests(audio.media_table(df.limit(0))).count()
 
 
 def test_the_query_reads_its_feature_from_tensors(spark, tmp_path, monkeypatch):
-    texts = ["ab é " * k for k in (0, 1, 300, 2_000, 9_000)]
+    texts = ["ab é " * k for k in (0, 1, 300, 2_000, 9_000, 100_000)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    asked, table = [], audio.media_table
-    monkeypatch.setattr(audio, "media_table", lambda docs, **kw: asked.append(kw.get("with_tensors", True)) or table(docs, **kw))
-    got = {r["doc_id"]: r["feature"] for r in audio.query(spark, str(tmp_path)).collect()}
     want = [audio.summary(*r) for r in audio.analyse([audio.payload_of(t)[0] for t in texts])]
-    assert asked == [True] and [got[k] for k in range(len(texts))] == want
-    for r in table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
-        mels, segments = audio.read_tensors(r["media"]["tensors"], r["media"]["segments"])
-        assert audio.summary(mels, segments) == want[r["doc_id"]]
+    monkeypatch.setattr(audio, "SLICE", 5_000)  # slices of several rows, and of one that is larger
+    audio.query(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out.parquet")
+    for r in spark.read.parquet(f"{tmp_path}/out.parquet").collect():
+        assert r["feature"] == want[r["doc_id"]] == audio.summary(*audio.read_frames(r["tensors"], r["segments"]))
+        assert audio.read_tensors(r["tensors"])["values"].type == audio.TENSOR
+
+
+def test_slices():
+    sizes = np.array([3, 3, 9, 0, 0, 5, 5])
+    assert list(audio._slices(sizes, 6)) == [(0, 2), (2, 3), (3, 6), (6, 7)] and list(audio._slices(sizes[:0], 6)) == []

@@ -5,10 +5,11 @@ resampling periods and feature hops. It is stored as an unsigned 8-bit mono WAV
 holds every byte as it is, and read back from the stored bytes by walking their chunks. Features are made from the samples
 read: polyphase resampling by 2/3 to 8 kHz (a windowed-sinc filter in two phases), frames of 256 samples every 128 under a
 Hann window, 24 log-mel bands, and segments by hysteresis on frame energy (a segment opens at the document's mean plus
-half a deviation and closes below the mean). ``media`` gives the log-mel frames in tensors of the fixed shape (32, 24) with
-their time spans; ``tensor_column`` turns them into an Arrow fixed-shape tensor array.
+half a deviation and closes below the mean). ``media_table`` stores the log-mel frames of a document as an Arrow stream whose
+column ``values`` has the type fixed_shape_tensor(float32, (32, 24)), with the time span of each tensor beside it; as a binary column it
+keeps that type through Parquet, which Spark's own arrays would lose. ``read_tensors`` gives the Arrow table back.
 
-All documents of a batch are one signal with gaps, so a short text costs no call of its own; a row's values do not depend on
+The documents of a slice are one signal with gaps, so a short text costs no call of its own; a row's values do not depend on
 its neighbours. Edge cases: null text is empty, and an empty payload is one block of 255; repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored.
 """
@@ -18,10 +19,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm._base import read_table
@@ -31,6 +35,8 @@ RATE, UP, DOWN, TAPS = 12_000, 2, 3, 16
 FRAME, HOP, BANDS, TENSOR_FRAMES = 256, 128, 24, 32
 #: Samples that are turned into features at a time; a longer document makes a batch of its own.
 CHUNK = 1 << 20
+#: Bytes of text whose stored files, features and tensors a task holds at a time.
+SLICE = 4 << 20
 #: Rows of each matrix product: always the same shape, so that a frame's sums do not depend on how many there are.
 _ROWS = 1024
 OUT_RATE = RATE * UP // DOWN
@@ -159,76 +165,92 @@ def summary(mels: np.ndarray, segments: np.ndarray) -> str:
     return f"{len(mels)}|{len(segments)}|{seconds:.3f}|" + ",".join(f"{m + 0.0:.2f}" for m in mels.mean(axis=0))
 
 
-_MEDIA = "n_bytes long, stored binary, feature string, segments array<struct<start:double,end:double>>, tensors array<struct<start:double,end:double,values:array<float>>>"
+MEDIA_SCHEMA = "doc_id long, n_bytes long, stored binary, segments array<struct<start:double,end:double>>, tensors binary"
+_SPAN = pa.struct([("start", pa.float64()), ("end", pa.float64())])
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, BANDS), dim_names=("frame", "band"))
 
 
-def media(text: Column, with_tensors: bool = True) -> Column:
-    """Struct column: unpadded bytes, the stored WAV file, feature summary, segments and tensors with time spans in seconds."""
+def tensor_bytes(mels: np.ndarray) -> bytes:
+    """An Arrow stream of one batch (start, end, values): values is a fixed-shape tensor column, start and end are its spans in seconds.
 
-    @F.pandas_udf(_MEDIA)
-    def run(texts):
-        import pandas as pd
+    The last tensor is filled up with the log of silence; its span ends with its frames.
+    """
+    n = -(-len(mels) // TENSOR_FRAMES)
+    full = np.full((n * TENSOR_FRAMES, BANDS), np.log(1e-6), np.float32)
+    full[: len(mels)] = mels
+    first = np.arange(n) * TENSOR_FRAMES
+    last = np.minimum(first + TENSOR_FRAMES, len(mels))
+    values = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), TENSOR_FRAMES * BANDS))
+    batch = pa.RecordBatch.from_arrays([pa.array(first * HOP / OUT_RATE), pa.array(last * HOP / OUT_RATE), values], ["start", "end", "values"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-        rows = []
-        for k in range(0, len(texts), 256):
-            made = [payload_of(t if isinstance(t, str) else None) for t in texts.iloc[k : k + 256]]
-            stored = [encode_wav(p) for p, _ in made]
-            for (_, n), wav, (mels, segs) in zip(made, stored, analyse([decode_wav(s) for s in stored]), strict=True):
-                spans = [{"start": a * HOP / OUT_RATE, "end": b * HOP / OUT_RATE} for a, b in segs] if with_tensors else None
-                rows.append((n, wav, summary(mels, segs), spans, _tensors(mels) if with_tensors else None))
-        return pd.DataFrame(rows, columns=["n_bytes", "stored", "feature", "segments", "tensors"])
 
-    return run(text)
+def read_tensors(stored: bytes) -> pa.Table:
+    """(start, end, values) as ``tensor_bytes`` stored them, values of the type TENSOR."""
+    with pa.ipc.open_stream(stored) as source:
+        return source.read_all()
 
 
-def _tensors(mels: np.ndarray) -> list[dict]:
-    """The frames in tensors of TENSOR_FRAMES; the last is filled up with the log of silence, its span ends with its frames."""
-    out = []
-    for a in range(0, len(mels), TENSOR_FRAMES):
-        part = mels[a : a + TENSOR_FRAMES]
-        full = np.full((TENSOR_FRAMES, BANDS), np.log(1e-6), np.float32)
-        full[: len(part)] = part
-        out.append({"start": a * HOP / OUT_RATE, "end": (a + len(part)) * HOP / OUT_RATE, "values": full.reshape(-1)})
-    return out
+def read_frames(stored: bytes, segments: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and segments of stored tensors and spans; what fills the last tensor up is left out."""
+    table, frames = read_tensors(stored), lambda seconds: np.round(np.asarray(seconds, float) * OUT_RATE / HOP).astype(np.int64)
+    total = int(frames(table["end"].to_numpy()).max(initial=0))
+    mels = np.concatenate([c.to_numpy_ndarray().reshape(-1, BANDS) for c in table["values"].chunks])
+    spans = np.array([[s["start"], s["end"]] for s in segments], float).reshape(-1, 2)
+    return mels[:total].astype(np.float64), frames(spans)
 
 
-def read_tensors(tensors, segments) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and segments of tensors and spans as ``media`` gives them; what fills the last tensor up is left out."""
-    frames = lambda seconds: round(seconds * OUT_RATE / HOP)
-    mels = [np.asarray(t["values"], np.float64).reshape(TENSOR_FRAMES, BANDS)[: frames(t["end"]) - frames(t["start"])] for t in tensors]
-    return np.concatenate(mels), np.array([(frames(s["start"]), frames(s["end"])) for s in segments], np.int64).reshape(-1, 2)
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``most`` bytes together, or of one row."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
 
 
-def tensor_column(values):
-    """An Arrow array of fixed-size lists or lists of TENSOR_FRAMES x BANDS floats as a fixed-shape tensor array."""
-    import pyarrow as pa
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, stored, segments, tensors): unpadded bytes, the WAV file, time spans of segments in seconds, and the log-mel
+    tensors with their time spans as an Arrow stream. A task holds the features of SLICE bytes of text, or of one document."""
 
-    kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, BANDS), dim_names=("frame", "band"))
-    return pa.ExtensionArray.from_storage(kind, values.cast(pa.list_(pa.float32(), TENSOR_FRAMES * BANDS)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _slices(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), SLICE):
+                part = batch.slice(a, b - a)
+                made = [payload_of(t) for t in part.column(1).to_pylist()]
+                stored = [encode_wav(p) for p, _ in made]
+                found = analyse([decode_wav(s) for s in stored])
+                spans = [[{"start": x * HOP / OUT_RATE, "end": y * HOP / OUT_RATE} for x, y in segs.tolist()] for _, segs in found]
+                cols = [part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(stored, pa.binary()), pa.array(spans, pa.list_(_SPAN)), pa.array([tensor_bytes(m) for m, _ in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "stored", "segments", "tensors"])
 
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, MEDIA_SCHEMA)
 
-def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_tensors: bool = True) -> DataFrame:
-    """(doc_id, media)."""
-    return docs.select(F.col(id_col).alias("doc_id"), media(F.col(text_col).cast("string"), with_tensors).alias("media"))
 
+def digests(media: DataFrame) -> DataFrame:
+    """media with the digests of its payload and of the stored file, both of the bytes read back, and the feature summary of its tensors."""
+    names = [f.split()[0] for f in _DIGESTS.split(", ")]
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = media_table(read_table(spark, sf_dir, "documents"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _slices(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), SLICE):
+                part, rows = batch.slice(a, b - a), []
+                for s, spans, tensors in zip(*[part.column(k).to_pylist() for k in (2, 3, 4)], strict=True):
+                    p = decode_wav(s)
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), summary(*read_frames(tensors, spans))))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made, part.column(3), part.column(4)], ["doc_id", "n_bytes", *names, "segments", "tensors"])
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
-    def digests(stored):
-        import pandas as pd
+    return media.mapInArrow(run, f"doc_id long, n_bytes long, {_DIGESTS}, segments array<struct<start:double,end:double>>, tensors binary")
 
-        rows = []
-        for s in stored:
-            p = decode_wav(s)
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest()))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
 
-    @F.pandas_udf("string")
-    def feature(tensors, segments):
-        import pandas as pd
+_DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-        return pd.Series([summary(*read_tensors(t, s)) for t, s in zip(tensors, segments, strict=True)], dtype=object)
 
-    return made.select("doc_id", "media.n_bytes", digests("media.stored").alias("d"), feature("media.tensors", "media.segments").alias("feature")).select("doc_id", "n_bytes", "d.*", "feature")
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(media_table(read_table(spark, sf_dir, "documents")))
