@@ -57,7 +57,7 @@ def test_available_pairs_and_triples():
 
 
 def test_pieces_and_places(spark):
-    full = Tokenizer.from_file(tokens.default_paths()[0])
+    full = Tokenizer.from_file(tokens.default_path())
     rng = random.Random(1)
     texts = [(k, " ".join("".join(rng.choice("abcdeé ñ1") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 900)))) for k in range(60)]
     texts += [(100, None), (101, ""), (None, "no id"), (102, "<|endoftext|>a<|endoftext|>"), (103, "中文 текст"), (104, "a"), (104, "a"), (105, "x " * 1023), (106, "x " * 1022), (107, "word " * 3000)]
@@ -90,21 +90,32 @@ def test_small_buckets_and_sequences(spark, monkeypatch):
     cut_up = packing.pack(packing.pieces(df))
     assert len({(r["sequence_id"], r["offset"]) for r in cut_up.collect()}) == 50
     ids = [np.frombuffer(r["ids"], "<u4") for r in packing.sequences(cut_up).collect()]
-    one = np.append(tokens.encode("a b c", *tokens.default_paths()), 2)
+    one = np.append(tokens.encode("a b c", tokens.default_path()), 2)
     assert sum(map(len, ids)) == 50 * len(one) and all((x.reshape(-1, len(one)) == one).all() for x in ids)
 
 
-def test_ids_equal_the_vocabulary_files(spark):
-    paths = tokens.default_paths()
-    full, rng = Tokenizer.from_file(paths[0]), random.Random(2)
-    pool = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x4E2D]]
-    for _ in range(1500):
-        s = "".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice(" ab1.\n'") for _ in range(50))
-        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, *paths).tolist()
+def test_ids_equal_the_vocabulary_files():
+    path = tokens.default_path()
+    full, rng = Tokenizer.from_file(path), random.Random(2)
+    pool = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x180E, 0x3000, 0xFEFF, 0x20AC, 0x4E2D, 0x1F600, 0x0301]]
+    for _ in range(3000):
+        s = "".join(rng.choice(pool) if rng.random() < 0.4 else rng.choice("  ab1.\n'") for _ in range(50))
+        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()
+    for s in ["a" + " " * 5000 + "b", " " * 1000, "中文" * 3000, "x" * 100_000, "a <|endoftext|> b", " <|endoftext|>", "it's we'll I'm  's 's", "\n \n a", ""]:
+        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()
 
 
-def test_long_runs():
-    paths = tokens.default_paths()
-    full = Tokenizer.from_file(paths[0])
-    for s in (" " * 30_000 + "a", "\n \t" * 5000, "a" * 30_000, "1" * 30_000, "x \n" * 20_000):
-        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, *paths).tolist()
+def test_ids_of_whole_table(spark):
+    path = tokens.default_path()
+    full = Tokenizer.from_file(path)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert full.encode(r["text"] or "", add_special_tokens=False).ids == tokens.encode(r["text"] or "", path).tolist()
+
+
+def test_memory_of_parts_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    path = tokens.default_path()
+    full = Tokenizer.from_file(path)
+    for k in range(20):
+        s = f"one two{k} three{k} four{k} five"
+        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()

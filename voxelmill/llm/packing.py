@@ -35,16 +35,15 @@ CAPACITY, END_ID = 1024, 2
 BUCKET_ROWS = 50_000
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, json_path: str | None = None, rank_path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): ids as little-endian unsigned 32-bit bytes."""
-    if json_path is None:
-        json_path, rank_path = tokens.default_paths()
+    vocabulary = vocabulary or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(tokens.encode(text or "", json_path, rank_path), np.uint32(end_id))
+                ids = np.append(tokens.encode(text or "", vocabulary), np.uint32(end_id))
                 first = (len(ids) - 1) % capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
