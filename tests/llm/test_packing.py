@@ -101,6 +101,14 @@ def test_ids_equal_the_vocabulary_files():
     for _ in range(3000):
         s = "".join(rng.choice(pool) if rng.random() < 0.4 else rng.choice("  ab1.\n'") for _ in range(50))
         assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()
+    own = [c for c in map(chr, [*range(0x250), *map(ord, tokens._MARKS)]) if not tokens._OTHER.search(c)]
+    assert len(own) > 500
+    for c in own:  # every character that is cut here, beside each kind of neighbour
+        s = f"a{c}a 1{c}1 .{c}. {c} {c}{c}  {c}\n{c}'{c}s{c}"
+        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()
+    for _ in range(3000):
+        s = "".join(rng.choice(own) if rng.random() < 0.4 else rng.choice("  ab1.\n\t's") for _ in range(60))
+        assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()
     for s in ["a" + " " * 5000 + "b", " " * 1000, "中文" * 3000, "x" * 100_000, "a <|endoftext|> b", " <|endoftext|>", "it's we'll I'm  's 's", "\n \n a", ""]:
         assert full.encode(s, add_special_tokens=False).ids == tokens.encode(s, path).tolist()
 
