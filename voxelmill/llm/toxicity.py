@@ -1,10 +1,9 @@
 """Toxicity: a learned lexicon, misspellings by Levenshtein automata over its trie, and context-window scores.
 
-Learning takes a hash sample of labelled rows (about MAX_TOXIC and MAX_CLEAN documents of at most TRAIN_CHARS characters;
-classes are weighted back to their shares). Word beginnings that occur in far more toxic than clean documents become the
-lexicon: a whole word if one word makes up most of a beginning's documents, else a stem with any ending. Longer words admit
-one or two edits. All entries make one automaton (see ``automaton``), or several where one would be too large; each reads every
-word of every text, and no entry loses its edits.
+Learning takes a hash sample of labelled rows (about MAX_TOXIC and MAX_CLEAN documents, whole texts; classes are weighted back to
+their shares). Word beginnings of any length that occur in far more toxic than clean documents become the lexicon, without a limit
+on its entries: a whole word if one word makes up most of a beginning's documents, else a stem with any ending. Longer words admit
+one or two edits. All entries make one trie (see ``automaton``), which every different word of every text is matched with.
 
 A hit's weight is its entry's log-odds in the sample, for exact and misspelled hits apart. Its context is the window of
 WINDOW words on either side: each context word has log-odds between hits of toxic and of clean documents, and a hit inside
@@ -13,12 +12,14 @@ regression over a document's hits and contexts gives the score.
 
 Edge cases: null and empty texts have no hits and take the score of a text without hits; a null doc_id counts as the empty text
 in the hold-out rule; without both labels in the sample every score is the share of toxic rows (0 if none); a document
-labelled more than once is toxic if any row says so; repeated rows give repeated results; other columns are ignored.
+labelled more than once is toxic if any row says so; repeated rows give repeated results; a score of just 0.5 counts as
+toxic; an empty table gives an empty result; other columns stay in the struct ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm._base import read_table
-from voxelmill.llm.automaton import Automata, Entry, build_all
+from voxelmill.llm.automaton import Entry, Matcher
 
-MAX_TOXIC, MAX_CLEAN, TRAIN_CHARS = 2_500, 5_000, 20_000
-MIN_PREFIX, MAX_PREFIX, MAX_ENTRIES = 4, 8, 400
-#: A beginning enters the lexicon at this G statistic and log-odds.
-MIN_G, MIN_ODDS = 20.0, 3.0
+#: About so many labelled documents of each class are learned from.
+MAX_TOXIC, MAX_CLEAN = 2_500, 5_000
+MIN_PREFIX = 4
+#: A beginning enters the lexicon at this G statistic and log-odds, and so many toxic texts.
+MIN_G, MIN_ODDS, MIN_TEXTS = 20.0, 3.0, 4
 WINDOW, CONTEXT_BUCKETS, CHUNK_CHARS = 5, 1 << 14, 1 << 20
 QUOTES = "\"“”„«»"
 
@@ -52,20 +54,20 @@ class Found:
 
     n_words: np.ndarray  # per text
     owner: np.ndarray  # text of each hit
-    result: np.ndarray  # automaton result of each hit
+    result: np.ndarray  # matcher's result of each hit
     quoted: np.ndarray  # whether each hit is inside quotation marks
     context: np.ndarray  # (hits, 2 * WINDOW) context buckets, -1 where there is no word
 
 
-def find(texts: list[str | None], automaton: Automata) -> Found:
-    parts = [x for t in texts for x in (_codes(t or ""), np.array([10], np.uint32))]
-    codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    ends = np.cumsum([len(p) for p in parts]).reshape(-1, 2)[:, 1] if parts else np.zeros(0, np.int64)
+def find(texts: list[str | None], matcher: Matcher) -> Found:
+    joined = "".join(x for t in texts for x in ((t or "").lower(), "\n"))
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len((t or "").lower()) + 1 for t in texts]).astype(np.int64)
     edge = np.diff(np.r_[False, _word_chars()[codes], False].astype(np.int8))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     owner = np.searchsorted(ends, first, side="right")
     n_words = np.bincount(owner, minlength=len(texts))
-    result = automaton.read(codes, first, last)
+    result = matcher.read([joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
     hits = np.flatnonzero(result)
     # a quotation opens and closes within a line
     marks = np.flatnonzero(np.isin(codes, np.array([ord(c) for c in QUOTES], np.uint32)))
@@ -84,6 +86,24 @@ def find(texts: list[str | None], automaton: Automata) -> Found:
     return Found(n_words, owner[hits], result[hits], quoted, context)
 
 
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about CHUNK_CHARS characters, or of one text."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size < CHUNK_CHARS):
+            size, b = size + len(texts[b] or ""), b + 1
+        yield a, b
+        a = b
+
+
+def find_all(texts: list[str | None], matcher: Matcher) -> Found:
+    """As find, a chunk of the texts at a time."""
+    parts = [(a, find(texts[a:b], matcher)) for a, b in _chunks(texts)]
+    join = lambda name: np.concatenate([getattr(f, name) for _, f in parts])
+    return Found(join("n_words"), np.concatenate([f.owner + a for a, f in parts]), join("result"), join("quoted"), join("context"))
+
+
 def _bucket(word: np.ndarray) -> int:
     h = 1469598103934665603
     for c in word.tolist():
@@ -98,26 +118,48 @@ def _words(text: str) -> set[str]:
     return {low[a:b] for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True) if b - a >= 3}
 
 
-def _beginnings(words: set[str], wanted: dict[str, int] | None = None) -> set[str]:
-    """Beginnings of MIN_PREFIX to MAX_PREFIX characters, and shorter words; with wanted, only those."""
-    if wanted is None:
-        return {w[:k] for w in words for k in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1)} | {w for w in words if len(w) < MIN_PREFIX}
-    likely = [w for w in words if w[:MIN_PREFIX] in wanted]  # a longer beginning is in no more documents than a shorter one
-    return {p for w in likely for k in range(min(len(w), MIN_PREFIX), min(len(w), MAX_PREFIX) + 1) if (p := w[:k]) in wanted}
+def _beginnings(words: set[str], wanted: dict[str, int]) -> set[str]:
+    """The beginnings among wanted that the words have. Wanted has every shorter beginning of MIN_PREFIX characters or more, too."""
+    out = {w for w in words if len(w) < MIN_PREFIX and w in wanted}
+    for w in words:
+        k = MIN_PREFIX
+        while k <= len(w) and (p := w[:k]) in wanted:
+            out.add(p)
+            k += 1
+    return out
+
+
+def _frequent_beginnings(word_sets: list[set[str]], least: int) -> dict[str, int]:
+    """Beginnings of MIN_PREFIX characters or more, and shorter words, with how many sets have them, if ``least`` or more do.
+
+    Level by level: a beginning is frequent only if what is one character shorter is.
+    """
+    short = Counter(w for ws in word_sets for w in ws if len(w) < MIN_PREFIX)
+    out = {w: n for w, n in short.items() if n >= least}
+    left, k = [[w for w in ws if len(w) >= MIN_PREFIX] for ws in word_sets], MIN_PREFIX
+    while any(left):
+        seen = Counter(p for ws in left for p in {w[:k] for w in ws})
+        level = {p: n for p, n in seen.items() if n >= least}
+        out |= level
+        left = [[w for w in ws if len(w) > k and w[:k] in level] for ws in left]
+        k += 1
+    return out
 
 
 def learn_lexicon(toxic: list[str], clean: list[str]) -> list[Entry]:
-    """Words and stems that are far more frequent among toxic texts, strongest first, MAX_ENTRIES at most.
+    """Words and stems that are far more frequent among toxic texts, strongest first.
 
     Each pick halves the say of the toxic texts that it is in, so that what merely stands beside strong words in copies of
     one text does not enter.
     """
     n_tox, n_clean = len(toxic), len(clean)
-    share, least = n_tox / (n_tox + n_clean), max(4, n_tox // 200)
+    share = n_tox / (n_tox + n_clean)
     word_sets = [_words(t) for t in toxic]
-    in_toxic = Counter(p for ws in word_sets for p in _beginnings(ws))
+    wanted = _frequent_beginnings(word_sets, MIN_TEXTS)
     whole = Counter(w for ws in word_sets for w in ws)
-    wanted = {p: n for p, n in in_toxic.items() if n >= least}
+    by_first: dict[str, list[str]] = {}
+    for w in whole:
+        by_first.setdefault(w[:MIN_PREFIX], []).append(w)
     in_clean: Counter = Counter()
     for t in clean:
         in_clean.update(_beginnings(_words(t), wanted))
@@ -136,11 +178,11 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[Entry]:
         for p in ps:
             holders.setdefault(p, []).append(d)
     weight, entries = np.ones(n_tox), []
-    while say and len(entries) < MAX_ENTRIES:
+    while say:
         best = max(say, key=lambda p: (g(p, say[p]), -len(p), p))
-        if g(best, say[best]) < MIN_G or odds(best, say[best]) < MIN_ODDS or say[best] < least:
+        if g(best, say[best]) < MIN_G or odds(best, say[best]) < MIN_ODDS or say[best] < MIN_TEXTS:
             break
-        word, n = max(((w, n) for w, n in whole.items() if w.startswith(best)), key=lambda x: (x[1], x[0]))
+        word, n = max(((w, whole[w]) for w in by_first[best[:MIN_PREFIX]] if w.startswith(best)), key=lambda x: (x[1], x[0]))
         stem = n < 0.8 * wanted[best]
         text = best if stem else word
         entries.append(Entry(text, stem, 2 if len(text) >= 9 else 1 if len(text) >= 5 else 0))
@@ -155,7 +197,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[Entry]:
 
 @dataclass
 class Model:
-    automaton: Automata | None
+    matcher: Matcher | None
     exact: np.ndarray  # log-odds by entry
     fuzzy: np.ndarray
     context: np.ndarray  # log-odds by bucket
@@ -164,8 +206,8 @@ class Model:
 
     def features(self, found: Found, n: int) -> np.ndarray:
         """(texts, 8)."""
-        hit = np.zeros((len(self.automaton.results), 3))  # best weight, exact, misspelled
-        for r, pairs in enumerate(self.automaton.results):
+        hit = np.zeros((len(self.matcher.results), 3))  # best weight, exact, misspelled
+        for r, pairs in enumerate(self.matcher.results):
             if pairs:
                 weights = [(self.exact if d == 0 else self.fuzzy)[e] for e, d in pairs]
                 hit[r] = (max(weights), any(d == 0 for _, d in pairs), all(d > 0 for _, d in pairs))
@@ -180,16 +222,11 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
-        if self.automaton is None:
+        if self.matcher is None:
             return out
-        at = 0
-        while at < len(texts):
-            b, size = at, 0
-            while b < len(texts) and (b == at or size < CHUNK_CHARS):
-                size, b = size + len(texts[b] or ""), b + 1
-            x = self.features(find(texts[at:b], self.automaton), b - at)
-            out[at:b] = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-            at = b
+        for a, b in _chunks(texts):
+            x = self.features(find(texts[a:b], self.matcher), b - a)
+            out[a:b] = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
         return out
 
 
@@ -218,11 +255,11 @@ def train(rows: list[tuple[int, str]], toxic_share: float | None = None) -> Mode
     entries = learn_lexicon([x for t, x in rows if t], [x for t, x in rows if not t])
     if not entries:
         return nothing
-    automaton = build_all(entries)
-    found = find([x for _, x in rows], automaton)
+    matcher = Matcher.of(entries)
+    found = find_all([x for _, x in rows], matcher)
     # documents of each class with an exact, and with a misspelled hit of each entry
     seen = [np.zeros((2, len(entries))), np.zeros((2, len(entries)))]
-    for owner, e, kind in {(o, e, min(d, 1)) for o, r in zip(found.owner.tolist(), found.result.tolist(), strict=True) for e, d in automaton.results[r]}:
+    for owner, e, kind in {(o, e, min(d, 1)) for o, r in zip(found.owner.tolist(), found.result.tolist(), strict=True) for e, d in matcher.results[r]}:
         seen[kind][int(y[owner]), e] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     exact, fuzzy = [np.log((s[1] + 0.5) / (n[1] + 1)) - np.log((s[0] + 0.5) / (n[0] + 1)) for s in seen]
@@ -234,7 +271,7 @@ def train(rows: list[tuple[int, str]], toxic_share: float | None = None) -> Mode
     if counts.sum(axis=1).min() >= 50:  # else the labels do not tell contexts apart
         rate = (counts + 5.0) / (counts.sum(axis=1, keepdims=True) + 5.0 * CONTEXT_BUCKETS)
         context = np.clip(np.log(rate[1]) - np.log(rate[0]), -2, 2) * (counts.sum(axis=0) >= 5)
-    model = Model(automaton, exact, fuzzy, context, np.zeros(8), prior)
+    model = Model(matcher, exact, fuzzy, context, np.zeros(8), prior)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     model.weights = _logistic(model.features(found, len(rows)), y, weight)
     return model
@@ -253,13 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = F.when(F.col("toxic") == 1, MAX_TOXIC / max(1, counts.get(1, 0))).otherwise(MAX_CLEAN / max(1, counts.get(0, 0)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    sample = texts.join(F.broadcast(picked), "doc_id").select("toxic", "text").distinct().collect()  # the sample's size is bounded above
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    sample = texts.join(F.broadcast(picked), "doc_id").select("toxic", "text").distinct().collect()  # the sample's rows are bounded above
     return train(sorted((r["toxic"], r["text"]) for r in sample), counts.get(1, 0) / sum(counts.values()))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the column ``toxicity``, from 0 to 1."""
+    """(row, toxicity): the columns of docs in a struct, and the score from 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -268,11 +305,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return pd.Series(sent.value.score([t if isinstance(t, str) else None for t in text]))
 
-    return docs.withColumn("toxicity", run(F.col(f"`{text_col}`").cast("string")))
+    return docs.select(F.struct("*").alias("row")).select("row", run(F.col(f"row.`{text_col}`").cast("string")).alias("toxicity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit(docs.where(~hold_out(F.col("doc_id"))), labels.where(~hold_out(F.col("doc_id"))))
-    held = docs.select("doc_id", hold_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(held, model).select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    found = score(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", hold_out(F.col("row.doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
