@@ -76,9 +76,38 @@ def test_cases(spark):
     rows = [(1, "der und die das " * 40, "de", "a", "b"), (2, "the and of in to " * 40, "en", None, None), (3, None, "en", None, None), (4, "123 !?", None, None, None), (None, "the and of", None, None, None), (5, "", "de", None, None), (2, "the and of in to " * 40, "en", None, None)]
     df = spark.createDataFrame(rows, DOCS)
     model = langid.fit(df)
-    got = langid.identify(df.select("doc_id", "text"), model).select("doc_id", "language.lang_pred").collect()
+    made = langid.identify(df, model).collect()  # df has columns language and score of its own
+    assert sorted(map(str, (tuple(r["row"]) for r in made))) == sorted(map(str, rows))
+    got = [(r["row"]["doc_id"], r["language"]["lang_pred"]) for r in made]
     want = [(1, "de"), (2, "en"), (3, "und"), (4, "und"), (None, "en"), (5, "und"), (2, "en")]
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert langid.stage(spark, df, "").columns == df.columns
+    assert langid.identify(df.limit(0), model).count() == 0 == langid.stage(spark, df.limit(0), "").count()
     none = langid.fit(df.where(F.lit(False)))
-    assert {r["lang_pred"] for r in langid.identify(df.select("text"), none).select("language.lang_pred").collect()} == {"und"}
+    assert {r["language"]["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
+
+
+def test_long_texts_are_learned_from_and_ties_go_to_the_first_name(spark):
+    rows = [(k, ("der und die das " if k % 2 else "the and of in to ") * 8_000, "de" if k % 2 else "en") for k in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.classify(model, [rows[0][1], rows[1][1]])[0] == ["en", "de"]
+    even = langid.Model(["de", "en"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros((2, 2), np.float32))
+    lang, score = langid.classify(even, ["ab cd"])
+    assert lang == ["de"] and np.isclose(score[0], 0.5)
+
+
+def test_query_against_plain_forward_backward(spark, tmp_path):
+    """The query's rows are those of the same model under forward-backward without segments or batches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = [tuple(r) for r in docs.where((langid.remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").collect()]
+    model = langid.train(sorted(learned))
+    got = {r["doc_id"]: r for r in langid.query(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.select("doc_id", "text").collect():
+        emissions, _ = langid._emissions(model, langid._codes(r["text"] or ""))
+        if not len(emissions):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        p, _ = plain_marginals(emissions, [len(emissions)], model.transitions)
+        mass = p.mean(axis=0)
+        assert np.isclose(got[r["doc_id"]]["score"], mass.max(), atol=2e-3)
+        assert got[r["doc_id"]]["lang_pred"] == model.langs[int(mass.argmax())] or np.isclose(*np.sort(mass)[-2:], atol=2e-3)

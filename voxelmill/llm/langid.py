@@ -10,11 +10,12 @@ marginal of that language. ``word_languages`` gives the labels of the words them
 A text's words are cut in segments; all segments of a batch advance together, segment products carry the messages across,
 so long documents cost as much per word as short ones.
 
-Learning takes a hash sample of labelled rows of about ``PER_LANG`` documents of at most ``TRAIN_CHARS`` characters per
-language, whatever the size of the table. The model (BUCKETS x languages floats) is what is broadcast.
+Learning takes a hash sample of labelled rows of about ``PER_LANG`` documents per language, whatever the size of the table and the
+length of the texts. The model (BUCKETS x languages floats) is what is broadcast.
 
-Edge cases: null texts and texts without a letter are ``und`` with score 0; if no row is labelled, all are; a null doc_id
-counts as the empty text in the hold-out rule; repeated rows give repeated results; other columns are ignored.
+Edge cases: null texts and texts without a letter are ``und`` with score 0; if no row is labelled, all are; of languages with equal
+mass the first by name is predicted; a null doc_id counts as the empty text in the hold-out rule; repeated rows give repeated
+results; an empty table gives an empty result; other columns stay in the struct ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from voxelmill.llm._base import read_table
 
 BUCKETS, SEGMENT = 1 << 17, 48
-PER_LANG, TRAIN_CHARS, RUN_WORDS, RUNS_PER_DOC, EPOCHS = 400, 20_000, 16, 8, 2
+PER_LANG, RUN_WORDS, RUNS_PER_DOC, EPOCHS = 400, 16, 8, 2
 UNDETERMINED, MIN_SCORE = "und", 0.35
 #: Characters that are turned into features at a time.
 CHUNK_CHARS = 1 << 20
@@ -281,7 +282,7 @@ def remainder(id_col: Column, mod: int) -> Column:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled rows, from a hash sample of about PER_LANG documents per language."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
@@ -292,7 +293,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the struct column ``language`` (lang_pred, score)."""
+    """(row, language): the columns of docs in a struct, and the struct (lang_pred, score)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -302,19 +303,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         lang, score = classify(sent.value, [t if isinstance(t, str) else None for t in text])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("language", run(F.col(f"`{text_col}`").cast("string")))
+    return docs.select(F.struct("*").alias("row")).select("row", run(F.col(f"row.`{text_col}`").cast("string")).alias("language"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    held_out = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
     model = fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
-    return identify(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "language.lang_pred", "language.score")
+    held_out = (remainder(F.col("row.doc_id"), 3) == 1).alias("held_out")
+    return identify(docs.select("doc_id", "text"), model).select("row.doc_id", held_out, "language.lang_pred", "language.score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: texts without letters go, and those of which no language has MIN_SCORE of the words."""
     model = fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    found = identify(rows, model).where((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= MIN_SCORE))
+    found = identify(docs, model).where((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= MIN_SCORE))
     return found.select("row.*")

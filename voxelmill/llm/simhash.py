@@ -123,7 +123,8 @@ def links(distinct_fps: DataFrame, n: int) -> DataFrame:
 
     # a task meets about two million variants: 16 bytes each, and as much again to sort them
     parts = max(1, -(-n * 131 // 2_000_000))
-    met = distinct_fps.mapInArrow(emit, "key long, fp long").repartition(parts, "key").mapInArrow(meet, "a long, b long")
+    # emitting is shared out as meeting is, whatever adaptive execution made of the few bytes of fingerprints
+    met = distinct_fps.repartition(parts, "fp").mapInArrow(emit, "key long, fp long").repartition(parts, "key").mapInArrow(meet, "a long, b long")
     return met.distinct()
 
 
