@@ -1,10 +1,12 @@
 """Secret scans: candidates from text, and a random forest that removes the false positives.
 
-Candidates are tokens with a digit and at least MIN_TOKEN characters, values assigned to a name that speaks of
-credentials, tokens with the beginning of a published format, passwords in URLs, and private key blocks of any length. Features: length, shares and transitions of character classes, entropy, dictionary
-coverage, form (hexadecimal, UUID, known prefixes), the path, and the neighbouring words. The forest is trained from
-labelled findings: a table (before, candidate, after, path, label) of the caller's, or ``sample_findings``, which makes
-labelled findings from formats of secrets and of their look-alikes (hashes, UUIDs, numbers, versions, placeholders).
+Candidates are tokens of at least MIN_TOKEN characters that are no plain word (they have a digit, or an upper-case letter
+somewhere after a lower-case one), values assigned to a name that speaks of credentials, tokens with the beginning of a published
+format, passwords in URLs, and private key blocks; none has a greatest length. Features: length, shares and transitions of character
+classes, entropy, dictionary coverage, form (hexadecimal, UUID, known prefixes), the path, and the neighbouring words. The forest is
+trained from labelled findings: a table (before, candidate, after, path, label) of the caller's, or, as the tables here have none,
+``sample_findings``, which makes labelled findings from formats of secrets and of their look-alikes (hashes, UUIDs, numbers,
+versions, names, placeholders).
 
 Edge cases: null and empty texts have no candidates; a null path has no path features; a null doc_id stays null; repeated
 rows give repeated findings; an empty table gives an empty result; other columns are ignored.
@@ -31,8 +33,9 @@ from voxelmill.llm.forest import Forest, train
 MIN_TOKEN, MIN_VALUE, AROUND = 12, 6, 48
 #: Labelled findings that a forest learns from at most.
 MAX_FINDINGS = 20_000
-_TOKEN = frozenset(string.ascii_letters + string.digits + "_+/=-.~")
-_DIGIT = re.compile("[0-9]")
+_TOKENS = re.compile(r"[A-Za-z0-9_+/=\-.~]+")
+#: A digit, or an upper-case letter after a lower-case one: what no plain word has.
+_MIXED = re.compile("[0-9]|[a-z][^a-zA-Z]*[a-z]*[A-Z]")
 _ASSIGN = re.compile(r"[=:]")
 _VALUE = re.compile(r"[=:]{1,2}>?[ \t]{0,3}[\"'`]?([^\s\"'`,;<>]{6,})")
 _NAME = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key)[\w.\-]{0,20}[\"'`]?[ \t]{0,3}$")
@@ -85,24 +88,17 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for m in _URL.finditer(text):
         urls.add(m.start())
         spans[m.start(1)] = max(m.end(1), spans.get(m.start(1), 0))
-    end = 0
-    for m in _DIGIT.finditer(text):
-        if m.start() < end:
+    for m in _TOKENS.finditer(text):
+        a, b = m.span()
+        if b - a < MIN_TOKEN or not _MIXED.search(text, a, b):
             continue
-        a = m.start()
-        while a > end and text[a - 1] in _TOKEN:
-            a -= 1
-        b = m.start() + 1
-        while b < len(text) and text[b] in _TOKEN:
-            b += 1
-        end = b
         # an assignment's name is no part of the token, padding of base64 is
         eq = text.find("=", a, b - 2)
-        while eq >= 0 and text[eq : eq + 1] == "=" and eq + 1 < b and text[eq + 1] not in "=":
+        while eq >= 0 and eq + 1 < b and text[eq + 1] not in "=":
             a, eq = eq + 1, text.find("=", eq + 1, b - 2)
         while b > a and text[b - 1] in ".-":
             b -= 1
-        if b - a >= MIN_TOKEN:
+        if b - a >= MIN_TOKEN and _MIXED.search(text, a, b):
             spans[a] = max(b, spans.get(a, 0))
     for m in _ASSIGN.finditer(text):
         if _NAME.search(text, max(0, m.start() - 40), m.start()) and (v := _VALUE.match(text, m.start())) and not ((u := _SCHEME.match(text, v.start(1))) and u.end() in urls):
@@ -172,6 +168,8 @@ def sample_findings(n: int = 6000, seed: int = 17) -> list[Finding]:
         lambda: (rng.choice(["", give()]), "AIza" + pick(alnum + "_-", 35)),
         lambda: (rng.choice(["Bearer ", give(), ""]), "eyJ" + pick(alnum, 30) + "." + pick(alnum, 60) + "." + pick(alnum + "_-", 43)),
         lambda: (give(), pick(alnum + "+/", 40)),
+        lambda: (rng.choice([give(), give(), prose(1) + " "]), pick(string.ascii_letters, rng.choice([16, 20, 24, 32, 40]))),
+        lambda: (give(), pick(string.ascii_lowercase, rng.randint(12, 32))),
         lambda: (give(), pick(hexa, rng.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: (give(), pick(alnum + "!#$%&*", rng.randint(8, 20))),
         lambda: (give(), rng.choice(vocabulary).capitalize() + pick(string.digits, rng.randint(2, 5)) + rng.choice("!#$%*") + pick(alnum, 3)),
@@ -186,6 +184,9 @@ def sample_findings(n: int = 6000, seed: int = 17) -> list[Finding]:
         lambda: (rng.choice(["", "tel ", "phone: ", prose(1) + " "]), "-".join(pick(string.digits, k) for k in (3, 3, 3, 4))),
         lambda: (rng.choice(["version ", "v", "==", "build "]), ".".join(pick(string.digits, rng.randint(1, 4)) for _ in range(rng.randint(3, 6)))),
         lambda: (rng.choice(["", "class ", "import "]), "".join(rng.choice(vocabulary).capitalize() for _ in range(3)) + pick(string.digits, rng.randint(1, 3))),
+        lambda: (rng.choice(["", "class ", "import ", "the ", prose(1) + " "]), rng.choice(["", "get", "is", "on", "my"]) + "".join(rng.choice(vocabulary).capitalize() for _ in range(rng.randint(2, 4)))),
+        lambda: (rng.choice(["", "in ", "/"]), rng.choice("/.").join("".join(rng.choice(vocabulary).capitalize() for _ in range(rng.randint(1, 2))) if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(rng.randint(2, 4)))),
+        lambda: (rng.choice(["", prose(1) + " "]), pick(string.ascii_lowercase, rng.randint(4, 9)) + rng.choice(["-", ".", "_", "."]) + pick(string.ascii_lowercase, rng.randint(3, 9)).capitalize()),
         lambda: (rng.choice(["", "see ", "/"]), "/".join(rng.choice(vocabulary) for _ in range(3)) + pick(string.digits, 2) + ".html"),
         lambda: (give(), rng.choice(["your_api_key_here", "xxxxxxxxxxxx", "changeme123", "example-token-1234", "<placeholder12>", "dummy_secret_0000", "test_password_1", "REDACTED0000"])),
         lambda: (give(), rng.choice(["os.environ", "process.env.", "config.", "settings.", "get_"]) + "_".join(rng.choice(vocabulary) for _ in range(2)) + rng.choice(["", "1"])),
@@ -246,5 +247,5 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read_table(spark, sf_dir, "documents"), fit(sample_findings()), path_col="source")
+    found = scan(read_table(spark, sf_dir, "documents"), fit(sample_findings()))  # documents have no paths: source names a crawl
     return found.select("doc_id", "start", "end", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 6).alias("score"), "is_secret")
