@@ -53,8 +53,8 @@ def test_against_all_strings(spark, seed):
     assert result(suffix_dedup.dedup(df, shape=SMALL)) == sorted(plain(rows, 24), key=str)
 
 
-@pytest.mark.parametrize("limits", [{"MAX_GROUP": 1}, {"MAX_FILTER_KEYS": -1}, {"BATCH": 3}, {"CHUNK": 64}, {"MAX_GROUP": 3, "MAX_FILTER_KEYS": -1, "CHUNK": 30}])
-def test_other_paths_give_the_same(spark, monkeypatch, limits):
+@pytest.mark.parametrize("limits", [{"MAX_GROUP": 1}, {"MAX_GROUP": 2}, {"MAX_FILTER_KEYS": -1}, {"BATCH": 3, "BLOCK": 2}, {"CHUNK": 64}, {"MAX_GROUP": 3, "MAX_FILTER_KEYS": -1, "CHUNK": 30}])
+def test_other_sizes_give_the_same(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix_dedup, name, value)
     rows = corpus(5)
@@ -62,7 +62,26 @@ def test_other_paths_give_the_same(spark, monkeypatch, limits):
     assert result(suffix_dedup.dedup(df, shape=SMALL)) == sorted(plain(rows, 24), key=str)
 
 
-def test_construction_against_pairs():
+def test_a_passage_in_very_many_contexts(spark, monkeypatch):
+    """One anchor with hundreds of fragments is split by column range, some of its parts again."""
+    monkeypatch.setattr(suffix_dedup, "MAX_GROUP", 40)
+    rng = random.Random(8)
+    make = lambda k: "".join(rng.choice("abcd") for _ in range(k))
+    passage, ends = make(30), [make(12) for _ in range(3)]
+    rows = [(k, make(20) + rng.choice(ends) + passage + rng.choice(ends) + make(20)) for k in range(500)]
+    df = spark.createDataFrame([(*r, None, 0) for r in rows], DOCS)
+    assert result(suffix_dedup.dedup(df, shape=SMALL)) == sorted(plain(rows, 24), key=str)
+
+
+def test_long_text_among_short_ones(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long), (2, long[100_000:100_060] + "zz"), (3, "q" + long[-30:]), (4, long[:23])]
+    df = spark.createDataFrame([(*r, None, 0) for r in rows], DOCS)
+    assert result(suffix_dedup.dedup(df, shape=SMALL)) == sorted(plain(rows, 24), key=str)
+
+
+def test_construction_against_pairs(tmp_path):
     rng = random.Random(0)
     group, offset, content = [], [], []
     for g in range(12):
@@ -72,11 +91,30 @@ def test_construction_against_pairs():
             side = [bytes(rng.choice(b"ab" if rng.random() < 0.2 else b"a") for _ in range(k)) for k in (a, b - 8)]
             if a + b >= 24:
                 group.append(g), offset.append(a), content.append(side[0] + core + side[1])
-    got = suffix_dedup.construct(np.array(group), np.array(offset), content, SMALL)
+    column0 = [SMALL.grams - 1 - a for a in offset]
+    got = suffix_dedup.construct(np.array(group), np.array(column0), list(content), SMALL, str(tmp_path))
     for k, c in enumerate(content):
-        for j, mark in enumerate(got[k]):
-            want = any(m != k and group[m] == group[k] and (i := j - offset[k] + offset[m]) >= 0 and content[m][i : i + 24] == c[j : j + 24] for m in range(len(content)))
-            assert mark == want
+        for j in range(SMALL.grams):
+            i = j - column0[k]
+            here = 0 <= i <= len(c) - 24
+            want = here and any(m != k and group[m] == group[k] and (x := j - column0[m]) >= 0 and content[m][x : x + 24] == c[i : i + 24] for m in range(len(content)))
+            assert got[k, j] == want
+    assert not list(tmp_path.iterdir())  # nothing stays
+
+
+def test_files_hold_the_transform(tmp_path, monkeypatch):
+    """The transform by column: the symbols before the sorted suffixes of a collection, right to left."""
+    kept = {}
+    monkeypatch.setattr(suffix_dedup._Files, "__exit__", lambda self, *_: kept.update(root=self.root))
+    rng = random.Random(1)
+    content = [bytes(rng.choice(b"ab") for _ in range(SMALL.columns)) for _ in range(9)]
+    suffix_dedup.construct(np.zeros(9, int), np.zeros(9, int), list(content), SMALL, str(tmp_path))
+    raw = np.fromfile(f"{kept['root']}/transform", np.int16).reshape(SMALL.columns, 9)
+    for turn, column in enumerate(range(SMALL.columns - 1, -1, -1)):
+        order = sorted(range(9), key=lambda k: content[k][column + 1 :])
+        assert raw[turn].tolist() == [content[k][column] + 1 for k in order]
+    order = np.fromfile(f"{kept['root']}/state-{SMALL.columns % 2}", np.int32, 9).tolist()
+    assert [content[k] for k in order] == sorted(content)
 
 
 def test_query(spark):

@@ -4,20 +4,24 @@ A byte goes if it is covered by a window-long string that starts anywhere else t
 together by content: among the gram hashes in a string, the least one (the leftmost, if equal) is its anchor, so equal strings
 have equal anchors at equal offsets. The starts that share an anchor are a run; the bytes of its strings are a *fragment*
 (at most 2 * window - gram bytes). Only anchors that occur again can matter; the rest never leave the scan's task. Equal fragments
-are one, with a weight.
+enter once, or twice if there are two or more of them: two are as good as any number.
 
-The fragments of an anchor form a collection for the suffix array, built column by column as in Bauer, Cox and Rosone's BCR and its
-extension to common prefixes: each round inserts one symbol of every fragment, right to left, and from the order of the
-suffixes and the common prefixes of neighbours makes those of the suffixes one symbol longer. As fragments are aligned at
-the anchor, a string can recur in its own column only, so the collection's Burrows-Wheeler transform is kept by column
-(as in the positional transform of Durbin 2014) and a round costs one pass over the fragments, not over all symbols
-inserted so far. Symbols are read, and orders and common prefixes written and read again, through sequential temporary
-files; memory holds one column. A start recurs if its suffix has a common prefix of window bytes with a neighbour in the order, or if its
-fragment weighs two or more.
+The fragments of an anchor form a collection whose suffixes are put in order column by column, as in Bauer, Cox and Rosone's BCR and
+its extension to common prefixes. Each round inserts one symbol of every fragment, right to left: the symbols before the suffixes, in the
+suffixes' order, are the collection's Burrows-Wheeler transform at that column; sorting by them, stably, gives the order of
+the suffixes one symbol longer, and least common prefixes between old neighbours give those of the new ones. As fragments
+are aligned at the anchor, a string can recur in its own column only, so the transform is kept by column (as in the positional
+transform of Durbin 2014) and a round costs one pass over the fragments, not over all symbols inserted so far. Whole texts would
+take a round for every byte of the longest one, each over all symbols inserted so far.
 
-An anchor with more than ``MAX_GROUP`` different fragments (a passage of very many documents has as many contexts) is not put
-into one task: its strings are counted one by one by their 128-bit hashes, with partial sums before the shuffle. Sets of anchors
-and fragments go to the scans as cuckoo filters if they are small enough; beyond, the same joins run without that screen.
+Symbols, transform, order and common prefixes are sequential files in the shared folder: a round reads the last round's order and
+common prefixes and one column of symbols, and writes the transform and the new order and common prefixes, which are their
+only copy until the next round reads them. A start recurs if its suffix has a common prefix of window bytes with a neighbour.
+
+A passage of very many documents has as many contexts, hence one anchor with very many fragments. An anchor with more than
+``MAX_GROUP`` is split by column range: halves of its starts' columns, and in each half by the bytes that all strings starting there
+have in common places (equal strings agree on them), with equal pieces as one again. Halves of halves follow where that is not
+enough; at one column all strings of a part are equal. Every part is put through the same construction.
 
 Edge cases: null text is empty and loses nothing; texts shorter than the window lose nothing; repeated rows are documents of
 their own, so they recur; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
@@ -25,22 +29,24 @@ their own, so they recur; a null doc_id stays null; an empty table gives an empt
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm._base import cut, read_table
+from voxelmill.llm._base import checkpoint_dir, cut, delete_folder, read_table
 from voxelmill.llm.cuckoo import CuckooFilter, Screen, screen_of
 
 WINDOW, GRAM = 200, 32
-#: Different fragments of one anchor up to which one task takes them (18 MB); fragments of a construction batch.
-MAX_GROUP, BATCH = 50_000, 60_000
+#: Different fragments of one anchor up to which it is not split (2 MB); fragments of a construction batch; fragments whose symbols are turned from rows to columns at a time.
+MAX_GROUP, BATCH, BLOCK = 5_000, 30_000, 4_096
 #: Keys up to which a filter of them (2.4 bytes a key) goes to every executor.
 MAX_FILTER_KEYS = 8_000_000
 #: Bytes that are hashed at a time; positions inside take POSITION_BITS bits.
@@ -131,12 +137,12 @@ def _class_key(h: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 
 def scan_runs(texts: DataFrame, shape: Shape, what: str, screen: Screen | None = None) -> DataFrame:
-    """texts: (t1, t2, text). what: "anchors" gives (h, n); "runs" (h, f, t1, t2, los, n, weight), one row for all starts of a
+    """texts: (t1, t2, text). what: "anchors" gives (h, n); "runs" (h, f, t1, t2, los, weight), one row for all starts of a
     fragment in a text (periodic text repeats one without end); "fragments" (h, f, offset, content).
 
     screen: keys that may matter: anchors for "runs", classes for "fragments".
     """
-    schema = {"anchors": "h long, n long", "runs": "h long, f long, t1 long, t2 long, los array<long>, n int, weight long", "fragments": "h long, f long, offset int, content binary"}[what]
+    schema = {"anchors": "h long, n long", "runs": "h long, f long, t1 long, t2 long, los array<long>, weight long", "fragments": "h long, f long, offset int, content binary"}[what]
     sent = texts.sparkSession.sparkContext.broadcast(screen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +169,8 @@ def scan_runs(texts: DataFrame, shape: Shape, what: str, screen: Screen | None =
                     one = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(h) != 0) | (np.diff(f) != 0)]) if len(h) else np.zeros(0, np.int64)
                     los = pa.ListArray.from_arrays(pa.array(np.r_[one, len(h)].astype(np.int32)), pa.array(at.astype(np.int64)))
                     times = np.diff(np.r_[one, len(h)])
-                    cols = [h[one], f[one], np.array(t1s, np.int64)[doc[one]], np.array(t2s, np.int64)[doc[one]], los, n[one].astype(np.int32), weight[one] * times]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["h", "f", "t1", "t2", "los", "n", "weight"])
+                    cols = [h[one], f[one], np.array(t1s, np.int64)[doc[one]], np.array(t2s, np.int64)[doc[one]], los, weight[one] * times]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["h", "f", "t1", "t2", "los", "weight"])
                     continue
                 if sent.value is not None:
                     keep = sent.value.keep(_class_key(h, f), filters)
@@ -177,152 +183,218 @@ def scan_runs(texts: DataFrame, shape: Shape, what: str, screen: Screen | None =
     return texts.mapInArrow(run, schema)
 
 
-def construct(group: np.ndarray, offset: np.ndarray, content: list[bytes], shape: Shape) -> list[np.ndarray]:
-    """For each fragment, whether each of its starts has the string of another fragment of its group at the same column.
+class _Files:
+    """Sequential files of a construction, in the shared folder."""
+
+    def __init__(self, folder: str):
+        self.system, root = fs.FileSystem.from_uri(folder)
+        self.root = f"{root}/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> _Files:
+        self.system.create_dir(self.root, recursive=True)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.system.delete_dir(self.root)
+
+    def reader(self, name: str):
+        return self.system.open_input_stream(f"{self.root}/{name}", buffer_size=1 << 16)
+
+    def writer(self, name: str):
+        return self.system.open_output_stream(f"{self.root}/{name}", buffer_size=1 << 16)
+
+    def put(self, name: str, *arrays: np.ndarray) -> None:
+        with self.writer(name) as out:
+            for a in arrays:
+                out.write(a.tobytes())
+
+    def get(self, name: str, n: int, *kinds) -> list[np.ndarray]:
+        with self.reader(name) as source:
+            return [np.frombuffer(source.read(n * np.dtype(k).itemsize), k) for k in kinds]
+
+
+def _write_symbols(files: _Files, column0: np.ndarray, content: list[bytes], columns: int) -> list[int]:
+    """One file per BLOCK strings, its columns one after another from the right; 0 where a string has no byte (nor is it in there)."""
+    sizes = []
+    for k in range(0, len(content), BLOCK):
+        some = content[k : k + BLOCK]
+        table = np.zeros((columns, len(some)), np.uint8)
+        for j, (c, raw) in enumerate(zip(column0[k : k + BLOCK].tolist(), some, strict=True)):
+            table[columns - c - len(raw) : columns - c, j] = np.frombuffer(raw, np.uint8)[::-1]
+        files.put(f"symbols-{len(sizes)}", table)
+        sizes.append(len(some))
+    return sizes
+
 
-    group: numbers in ascending order; offset: the anchor's place in the fragment. Column by column from the right: order is
-    that of the suffixes from the last column on, common the prefix that each has in common with the one before it.
+def construct(group: np.ndarray, column0: np.ndarray, content: list[bytes], shape: Shape, folder: str) -> np.ndarray:
+    """(strings, grams) flags: whether the window of a string that starts in a column starts in the same column of another of its group.
+
+    group: numbers in ascending order; column0: the column of a string's first byte. content is emptied once it is written.
     """
-    n, left = len(content), shape.grams - 1
-    size = np.array([len(c) for c in content])
-    marks = [np.zeros(k - shape.window + 1, bool) for k in size]
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as state:
-        # the symbols by column, right to left; 0 where a fragment has none, else byte + 1
-        table = np.zeros((n, shape.columns), np.uint16)
-        for k, c in enumerate(content):
-            table[k, left - offset[k] : left - offset[k] + len(c)] = np.frombuffer(c, np.uint8)
-            table[k, left - offset[k] : left - offset[k] + len(c)] += 1
-        for column in range(shape.columns - 1, -1, -1):
-            symbols.write(np.ascontiguousarray(table[:, column]).tobytes())
-        del table
-        symbols.seek(0)
-        order, common = np.arange(n), np.zeros(n, np.int16)
-        for column in range(shape.columns - 1, -1, -1):
-            symbol = np.frombuffer(symbols.read(2 * n), np.uint16)[order].astype(np.int64)  # the transform of the last round
-            place = np.argsort(group[order] * 512 + symbol, kind="stable")
-            here = symbol[place]
-            new_order = order[place]
-            same = np.zeros(n, bool)
-            same[1:] = (here[1:] == here[:-1]) & (group[new_order[1:]] == group[new_order[:-1]]) & (here[1:] > 0)
-            new_common = np.zeros(n, np.int16)
-            at = np.flatnonzero(same)
+    n, length = len(content), np.array([len(c) for c in content])
+    column0, marks = np.asarray(column0), np.zeros((n, shape.grams), bool)
+    last = column0 + length
+    base = group.astype(np.int64) * 512
+    with _Files(folder) as files, ExitStack() as opened:
+        sizes = _write_symbols(files, column0, content, shape.columns)
+        content.clear()
+        symbols = [opened.enter_context(files.reader(f"symbols-{k}")) for k in range(len(sizes))]
+        transform = opened.enter_context(files.writer("transform"))
+        files.put("state-0", np.arange(n, dtype=np.int32), np.zeros(n, np.int16))
+        for turn, column in enumerate(range(shape.columns - 1, -1, -1)):
+            order, common = files.get(f"state-{turn % 2}", n, np.int32, np.int16)
+            here = np.concatenate([np.frombuffer(f.read(k), np.uint8) for f, k in zip(symbols, sizes, strict=True)]).astype(np.int16) + 1
+            here[(column < column0) | (column >= last)] = 0
+            before = here[order]
+            transform.write(before.tobytes())
+            place = np.argsort(base[order] + before, kind="stable")
+            order, before = order[place], before[place]
+            fresh = np.zeros(n, np.int16)
+            at = np.flatnonzero((before[1:] == before[:-1]) & (base[order[1:]] == base[order[:-1]]) & (before[1:] > 0)) + 1
             if len(at):
                 # the least common prefix between the two places in the last order
                 spans = np.stack([place[at - 1] + 1, place[at] + 1], axis=1).reshape(-1)
-                padded = np.append(common, np.int16(0))
-                new_common[at] = np.minimum(np.minimum.reduceat(padded, spans)[::2] + 1, shape.window)
-            full = new_common >= shape.window
-            recurs = full.copy()
-            recurs[:-1] |= full[1:]
-            for k in new_order[recurs].tolist():
-                marks[k][column - left + offset[k]] = True
-            state.seek(0)
-            state.write(new_order.astype(np.int32).tobytes() + new_common.tobytes())
-            state.seek(0)
-            order = np.frombuffer(state.read(4 * n), np.int32).astype(np.int64)
-            common = np.frombuffer(state.read(2 * n), np.int16)
+                fresh[at] = np.minimum(np.minimum.reduceat(np.append(common, np.int16(0)), spans)[::2] + 1, shape.window)
+            files.put(f"state-{(turn + 1) % 2}", order.astype(np.int32), fresh)
+            if column < shape.grams:
+                full = fresh >= shape.window
+                recurs = full.copy()
+                recurs[:-1] |= full[1:]
+                marks[order[recurs], column] = True
+            del order, common, fresh, before, here
     return marks
 
 
-def _construct_all(fragments: DataFrame, shape: Shape) -> DataFrame:
-    """fragments: (h, f, offset, content), all of an anchor in one partition and next to one another. (h, f, marks): one byte per start, for those with any."""
+_FOUND = "g long, f long, firsts array<int>, lasts array<int>"
+
+
+def _construct_all(pieces: DataFrame, shape: Shape, folder: str) -> DataFrame:
+    """pieces: (g, f, column0, content, twice). (g, f, firsts, lasts): the runs of starts that recur, counted from a piece's first, where there are any."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        _, group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
-        order = np.argsort(group, kind="stable")
-        rows = [rows[k] for k in order]
-        found = construct(group[order].astype(np.int64), np.array([r[2] for r in rows]), [r[3] for r in rows], shape)
-        some = [k for k, m in enumerate(found) if m.any()]
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in some], pa.int64()), pa.array([rows[k][1] for k in some], pa.int64()), pa.array([found[k].astype(np.uint8).tobytes() for k in some], pa.binary())], ["h", "f", "marks"])
+        keys = np.array([r[0] for r in rows], np.int64)
+        number = np.r_[0, np.cumsum(keys[1:] != keys[:-1])]
+        own = np.repeat(np.arange(len(rows)), [2 if r[4] else 1 for r in rows])  # which row each string is of
+        column0 = np.array([r[2] for r in rows])
+        content = [rows[k][3] for k in own]
+        ids = [(r[0], r[1]) for r in rows]
+        rows.clear()
+        marks = construct(number[own], column0[own], content, shape, folder)
+        marks = np.logical_or.reduceat(marks, np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), axis=0)
+        edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, first), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        some, count = np.unique(row, return_counts=True)
+        edges = np.r_[0, np.cumsum(count)].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array((x - column0[row]).astype(np.int32))) for x in (first, end - 1)]
+        return pa.RecordBatch.from_arrays([*[pa.array([ids[k][j] for k in some.tolist()], pa.int64()) for j in (0, 1)], *lists], ["g", "f", "firsts", "lasts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            for row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield flush(held)
-                    held = []
                 held.append(row)
         if held:
             yield flush(held)
 
-    return fragments.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, f long, marks binary")
+    return pieces.select("g", "f", "column0", "content", "twice").repartition("g").sortWithinPartitions("g").mapInArrow(run, _FOUND)
 
 
-def _count_strings(fragments: DataFrame, shape: Shape) -> DataFrame:
-    """As _construct_all, for the anchors with very many fragments: strings counted by their hashes."""
+def _halves(pieces: DataFrame, shape: Shape) -> DataFrame:
+    """pieces: (g, f, a, b, column0, content, twice), groups whose starts lie in columns a to b - 1. The same of both halves' groups, with what each piece is of: (old_g, old_f, ahead)."""
+    names = ["old_g", "old_f", "ahead", "g", "f", "a", "b", "column0", "content", "twice"]
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, f, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n = len(content) - shape.window + 1
-                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[j : j + shape.window]) for j in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(n, h)), pa.array(np.full(n, f)), pa.array(np.arange(n, dtype=np.int32))], ["w1", "w2", "h", "f", "j"])
-
-    def gather(js):
-        out = np.zeros(max(js) + 1, np.uint8)
-        out[list(js)] = 1
-        return out.tobytes()
-
-    each = fragments.select("h", "f", "offset", "content").mapInArrow(strings, "w1 long, w2 long, h long, f long, j int")
-    again = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("w1", "w2")
-
-    @F.pandas_udf("binary")
-    def to_marks(js):
-        return js.map(gather)
-
-    return each.join(again, ["w1", "w2"]).groupBy("h", "f").agg(F.collect_list("j").alias("js")).select("h", "f", to_marks("js").alias("marks"))
-
-
-def _fragments(texts: DataFrame, active: DataFrame, need: DataFrame, shape: Shape) -> DataFrame:
-    """(h, f, offset, content, k), one row per class of need (h, f, k)."""
-    screen = screen_of(need.select(F.expr("h ^ f").alias("key")).distinct(), MAX_FILTER_KEYS)
+            out = []
+            for g, f, a, b, column0, content, twice in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+                middle = (a + b) // 2
+                for x, y in ((a, middle), (middle, b)):
+                    first, end = max(column0, x), min(column0 + len(content) - shape.window + 1, y)
+                    if first < end:
+                        part = content[first - column0 : end - column0 + shape.window - 1]
+                        both = part[y - 1 - first : x + shape.window - first]  # what every string that starts in x to y - 1 has
+                        key = xxhash.xxh3_64_intdigest(both + f"|{g}|{x}|{y}".encode())
+                        own = xxhash.xxh3_64_intdigest(part + f"|{first}".encode())
+                        out.append((g, f, first - column0, key, own, x, y, first, part, twice))
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), None, None, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([signed(c) if t is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    schema = "old_g long, old_f long, ahead int, g long, f long, a int, b int, column0 int, content binary, twice boolean"
+    return pieces.select("g", "f", "a", "b", "column0", "content", "twice").mapInArrow(run, schema)
+
+
+def _split_and_construct(fragments: DataFrame, shape: Shape, folder: str) -> DataFrame:
+    """As _construct_all, for anchors with more than MAX_GROUP fragments (g, f, column0, content, twice)."""
+    pieces = fragments.select("g", "f", F.lit(0).alias("a"), F.lit(shape.grams).alias("b"), "column0", "content", "twice")
+    # which piece's starts are whose: from_ starts after the first of (h0, f0)
+    owners, out = pieces.select(F.col("g").alias("h0"), F.col("f").alias("f0"), F.lit(0).alias("from_"), "g", "f"), None
+    while True:
+        parts = cut(_halves(pieces, shape))
+        owners = cut(owners.join(parts.select(F.col("old_g").alias("g"), F.col("old_f").alias("f"), "ahead", F.col("g").alias("new_g"), F.col("f").alias("new_f")), ["g", "f"]).select("h0", "f0", (F.col("from_") + F.col("ahead")).alias("from_"), F.col("new_g").alias("g"), F.col("new_f").alias("f")))
+        equal = parts.groupBy("g", "f", "a", "b", "column0").agg(F.first("content").alias("content"), (F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"))
+        sizes = parts.groupBy("g").agg(F.count_distinct("f").alias("k"))
+        sized = cut(equal.join(sizes, "g"))
+        small = sized.where(F.col("k") <= MAX_GROUP)
+        found = _construct_all(small, shape, folder).join(owners, ["g", "f"]).select("h0", "f0", F.transform("firsts", lambda x: x + F.col("from_")).alias("firsts"), F.transform("lasts", lambda x: x + F.col("from_")).alias("lasts"))
+        out = found if out is None else out.unionByName(found)
+        pieces = sized.where(F.col("k") > MAX_GROUP).drop("k")
+        if pieces.isEmpty():
+            return out.groupBy("h0", "f0").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts")).select(F.col("h0").alias("g"), F.col("f0").alias("f"), "firsts", "lasts")
+
+
+def _fragments(texts: DataFrame, active: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """(g, f, column0, content, twice, k), one row per class (h, f, c, k)."""
+    screen = screen_of(classes.select(F.expr("h ^ f").alias("key")).distinct(), MAX_FILTER_KEYS)
     if screen is not None:
-        found = scan_runs(texts, shape, "fragments", screen).join(need, ["h", "f"])
+        found = scan_runs(texts, shape, "fragments", screen).join(classes, ["h", "f"])
     else:  # too many classes to screen for: let one text of each class, by its key, give the fragment
-        holder = active.join(need, ["h", "f"]).groupBy("h", "f").agg(F.min(F.struct("t1", "t2")).alias("t")).select("t.t1", "t.t2").distinct()
+        holder = active.groupBy("h", "f").agg(F.min(F.struct("t1", "t2")).alias("t")).select("t.t1", "t.t2").distinct()
         held = texts.join(holder, ["t1", "t2"], "left_semi").select("t1", "t2", "text")
-        found = scan_runs(held, shape, "fragments").join(need, ["h", "f"])
-    return found.groupBy("h", "f").agg(*[F.first(c).alias(c) for c in ("offset", "content", "k")])
+        found = scan_runs(held, shape, "fragments").join(classes, ["h", "f"])
+    one = found.groupBy("h", "f").agg(*[F.first(x).alias(x) for x in ("offset", "content", "c", "k")])
+    return one.select(F.col("h").alias("g"), "f", (F.lit(shape.grams - 1) - F.col("offset")).alias("column0"), "content", (F.col("c") > 1).alias("twice"), "k")
 
 
 def repeated_starts(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """texts: (t1, t2, text). (t1, t2, firsts, lasts): the runs of starts whose strings recur, for each key that has any."""
+    spark = texts.sparkSession
     seen = scan_runs(texts, shape, "anchors").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
     again = cut(seen)
     active = cut(scan_runs(texts, shape, "runs", screen_of(again, MAX_FILTER_KEYS)).join(again, "h", "left_semi"))
-    classes = active.groupBy("h", "f").agg(F.sum("weight").alias("c"), F.max("n").alias("starts"))
-    anchors = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least"))
-    # where every fragment weighs two or more, or there is one only, all is known
-    need = cut(classes.join(anchors.where("k > 1 AND least = 1"), "h").select("h", "f", "k"))
-    fragments = _fragments(texts, active, need, shape)
-    small = _construct_all(fragments.where(F.col("k") <= MAX_GROUP).select("h", "f", "offset", "content"), shape)
-    large = need.where(F.col("k") > MAX_GROUP)
-    marked = small if large.isEmpty() else small.unionByName(_count_strings(fragments.where(F.col("k") > MAX_GROUP), shape))
-    decided = classes.where("c >= 2").select("h", "f", F.lit(None).cast("binary").alias("marks")).unionByName(marked.join(classes.where("c >= 2"), ["h", "f"], "left_anti"))
+    classes = active.groupBy("h", "f").agg(F.sum("weight").alias("c"))
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    classes = cut(classes.join(sizes, "h"))
+    fragments = _fragments(texts, active, classes, shape)
+    folder = f"{checkpoint_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+    if classes.where(F.col("k") > MAX_GROUP).isEmpty():
+        found = _construct_all(fragments, shape, folder)
+    else:
+        fragments = cut(fragments)
+        found = _construct_all(fragments.where(F.col("k") <= MAX_GROUP), shape, folder).unionByName(_split_and_construct(fragments.where(F.col("k") > MAX_GROUP), shape, folder))
+    marked = cut(found)
+    delete_folder(spark, folder)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t1", "t2", "firsts", "lasts"]
+        """Starts of a fragment in a text, and runs from its first start on: every run at every start."""
         for batch in batches:
-            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-            whole = batch.filter(pa.array(~known))
-            los = whole.column(2)
-            first = los.flatten().to_numpy()
-            last = first + np.repeat(whole.column(3).to_numpy(), los.value_lengths().to_numpy()) - 1
-            edges = pa.array(np.r_[0, np.cumsum(los.value_lengths().to_numpy())].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), pa.ListArray.from_arrays(edges, pa.array(first)), pa.ListArray.from_arrays(edges, pa.array(last))], names)
-            some = batch.filter(pa.array(known))
-            firsts, lasts = [], []
-            for at, m in zip(some.column(2).to_pylist(), some.column(4).to_pylist(), strict=True):
-                edge = np.diff(np.frombuffer(b"\0" + m + b"\0", np.int8))
-                a, b, base = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, np.array(at)[:, None]
-                firsts.append((base + a).reshape(-1))
-                lasts.append((base + b).reshape(-1))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))], names)
+            los, runs_ = batch.column(2), batch.column(3).value_lengths().to_numpy()
+            times = los.value_lengths().to_numpy()
+            total = times.astype(np.int64) * runs_
+            edges = np.r_[0, np.cumsum(total)]
+            row = np.repeat(np.arange(len(total)), total)
+            within = np.arange(edges[-1]) - edges[row]
+            lo = los.flatten().to_numpy()[(np.r_[0, np.cumsum(times)][row] + within // np.maximum(runs_[row], 1)).astype(np.int64)]
+            of_run = (np.r_[0, np.cumsum(runs_)][row] + within % np.maximum(runs_[row], 1)).astype(np.int64)
+            ends = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(lo + batch.column(c).flatten().to_numpy()[of_run])) for c in (3, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ends], ["t1", "t2", "firsts", "lasts"])
 
     # the same text in another task gives the same row again
-    found = active.join(decided, ["h", "f"]).withColumn("lo", F.get("los", 0)).dropDuplicates(["t1", "t2", "h", "f", "lo"])
-    each = found.select("t1", "t2", "los", "n", "marks").mapInArrow(spans, "t1 long, t2 long, firsts array<long>, lasts array<long>")
+    one = active.join(marked.withColumnRenamed("g", "h"), ["h", "f"]).withColumn("lo", F.get("los", 0)).dropDuplicates(["t1", "t2", "h", "f", "lo"])
+    each = one.select("t1", "t2", "los", "firsts", "lasts").mapInArrow(spans, "t1 long, t2 long, firsts array<long>, lasts array<long>")
     return each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
 
 
