@@ -109,11 +109,11 @@ def test_files_hold_the_transform(tmp_path, monkeypatch):
     rng = random.Random(1)
     content = [bytes(rng.choice(b"ab") for _ in range(SMALL.columns)) for _ in range(9)]
     suffix_dedup.construct(np.zeros(9, int), np.zeros(9, int), list(content), SMALL, str(tmp_path))
-    raw = np.fromfile(f"{kept['root']}/transform", np.int16).reshape(SMALL.columns, 9)
+    raw = np.fromfile(f"{kept['root']}/transform", np.uint8).reshape(SMALL.columns, 9)
     for turn, column in enumerate(range(SMALL.columns - 1, -1, -1)):
         order = sorted(range(9), key=lambda k: content[k][column + 1 :])
         assert raw[turn].tolist() == [content[k][column] + 1 for k in order]
-    order = np.fromfile(f"{kept['root']}/state-{SMALL.columns % 2}", np.int32, 9).tolist()
+    order = np.fromfile(f"{kept['root']}/state-{SMALL.columns % 2}", np.uint8, 9).tolist()
     assert [content[k] for k in order] == sorted(content)
 
 

@@ -46,7 +46,7 @@ from voxelmill.llm.cuckoo import CuckooFilter, Screen, screen_of
 
 WINDOW, GRAM = 200, 32
 #: Different fragments of one anchor up to which it is not split (2 MB); fragments of a construction batch; fragments whose symbols are turned from rows to columns at a time.
-MAX_GROUP, BATCH, BLOCK = 5_000, 30_000, 4_096
+MAX_GROUP, BATCH, BLOCK = 5_000, 25_000, 4_096
 #: Keys up to which a filter of them (2.4 bytes a key) goes to every executor.
 MAX_FILTER_KEYS = 8_000_000
 #: Bytes that are hashed at a time; positions inside take POSITION_BITS bits.
@@ -234,28 +234,30 @@ def construct(group: np.ndarray, column0: np.ndarray, content: list[bytes], shap
     n, length = len(content), np.array([len(c) for c in content])
     column0, marks = np.asarray(column0), np.zeros((n, shape.grams), bool)
     last = column0 + length
-    base = group.astype(np.int64) * 512
+    base = group.astype(np.int64) * 256
+    place_kind, prefix_kind = np.min_scalar_type(n), np.min_scalar_type(shape.window)
     with _Files(folder) as files, ExitStack() as opened:
         sizes = _write_symbols(files, column0, content, shape.columns)
         content.clear()
         symbols = [opened.enter_context(files.reader(f"symbols-{k}")) for k in range(len(sizes))]
         transform = opened.enter_context(files.writer("transform"))
-        files.put("state-0", np.arange(n, dtype=np.int32), np.zeros(n, np.int16))
+        files.put("state-0", np.arange(n, dtype=place_kind), np.zeros(n, prefix_kind))
         for turn, column in enumerate(range(shape.columns - 1, -1, -1)):
-            order, common = files.get(f"state-{turn % 2}", n, np.int32, np.int16)
-            here = np.concatenate([np.frombuffer(f.read(k), np.uint8) for f, k in zip(symbols, sizes, strict=True)]).astype(np.int16) + 1
+            order, common = files.get(f"state-{turn % 2}", n, place_kind, prefix_kind)
+            here = np.concatenate([np.frombuffer(f.read(k), np.uint8) for f, k in zip(symbols, sizes, strict=True)]) + np.uint8(1)  # no byte of UTF-8 is 255
             here[(column < column0) | (column >= last)] = 0
             before = here[order]
             transform.write(before.tobytes())
             place = np.argsort(base[order] + before, kind="stable")
             order, before = order[place], before[place]
-            fresh = np.zeros(n, np.int16)
+            fresh = np.zeros(n, prefix_kind)
             at = np.flatnonzero((before[1:] == before[:-1]) & (base[order[1:]] == base[order[:-1]]) & (before[1:] > 0)) + 1
             if len(at):
                 # the least common prefix between the two places in the last order
                 spans = np.stack([place[at - 1] + 1, place[at] + 1], axis=1).reshape(-1)
-                fresh[at] = np.minimum(np.minimum.reduceat(np.append(common, np.int16(0)), spans)[::2] + 1, shape.window)
-            files.put(f"state-{(turn + 1) % 2}", order.astype(np.int32), fresh)
+                least = np.minimum.reduceat(np.append(common, common[:1]), spans)[::2]
+                fresh[at] = np.minimum(least, shape.window - 1) + prefix_kind.type(1)
+            files.put(f"state-{(turn + 1) % 2}", order, fresh)
             if column < shape.grams:
                 full = fresh >= shape.window
                 recurs = full.copy()
@@ -428,3 +430,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(read_table(spark, sf_dir, "documents"))
     removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of every text by its MD5; removed runs are islands of recurring starts less than a window apart.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200),
+h AS (SELECT r, i, md5(b[i:i + 199]) AS m FROM w),
+s AS (SELECT r, i FROM h WHERE m IN (SELECT m FROM h GROUP BY m HAVING count(*) > 1)),
+e AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM s),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM e),
+t AS (SELECT r, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY r, k),
+u AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS y FROM t),
+k AS (SELECT r, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS last,
+             string_agg(CASE WHEN a > y + 1 THEN hex(d.b[y + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS kept
+      FROM u JOIN d USING (r) GROUP BY r)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN k.r IS NULL THEN d.b
+                   ELSE unhex(kept || CASE WHEN last < octet_length(d.b) THEN hex(d.b[last + 1:octet_length(d.b)]) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

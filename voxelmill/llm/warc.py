@@ -309,3 +309,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("record_type") == "response", base32(F.sha1("payload"))).otherwise(F.col("digest"))
     n_bytes = F.when(F.col("record_type") == "response", F.length("payload").cast("long")).otherwise(F.col("n_bytes"))
     return back.select("page_id", n_bytes.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+#: A base32 digest is eight times four letters, each four from five hexadecimal digits.
+SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC) AS k,
+                  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder FROM pages),
+h AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(sha1(payload), 5 * g + 1, 5) AS BIGINT)) AS fives FROM p)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((fives[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN holder END AS refers_to
+FROM h
+"""
