@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from voxelmill.llm import line_dedup
-from voxelmill.llm.cuckoo import CuckooFilter
+from voxelmill.llm.cuckoo import CuckooFilter, Stack
 
 DOCS = "doc_id long, text string, k1 long, keys string"
 
@@ -48,14 +48,20 @@ def test_against_plain(spark):
     assert line_dedup.stage(spark, df, "").columns == df.columns
 
 
-def test_exact_without_filters(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MAX_FILTER_KEYS", 0)
+def test_shards_grow(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
     rows = cases()
     df = spark.createDataFrame([(i, t, 0, None) for i, t in rows], DOCS)
-    assert result(line_dedup.line_dedup(df)) == sorted(plain(rows), key=str)
+    made = line_dedup.LineIndex.empty(spark).insert(df)
+    assert made.n_shards > 4 and result(made.apply(df)) == sorted(plain(rows), key=str)
+
 
+def held(index):
+    return sum(Stack.from_bytes(bytes(r["filter"])).count for r in index.filters.collect())
 
-def test_index_is_reversible(spark):
+
+def test_index_is_reversible(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
     rows = cases()
     make = lambda part: spark.createDataFrame([(i, t, 0, None) for i, t in part], DOCS)
     first, second = [r for r in rows if r[0] is None or r[0] < 120], [r for r in rows if r[0] is not None and r[0] >= 120]
@@ -64,9 +70,31 @@ def test_index_is_reversible(spark):
     assert before == sorted(plain(first), key=str)
     both = one.insert(make(second))
     assert result(both.apply(make(rows))) == sorted(plain(rows), key=str)
-    back = both.delete(make(second).select("doc_id"))
+    again = both.insert(make(second[:5]))  # what it holds already changes nothing
+    assert sorted(map(tuple, again.counts.collect())) == sorted(map(tuple, both.counts.collect())) and held(again) == held(both)
+    back = again.delete(make(second).select("doc_id"))
     assert result(back.apply(make(first))) == before
-    assert sum(f.count for f in back.filters.values()) == sum(f.count for f in one.filters.values()) == one.shared.count()
+    assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, one.counts.collect()))
+    assert held(back) == held(one) == one.shared.count()
+    none = back.delete(make(first).select("doc_id"))
+    assert held(none) == none.counts.count() == none.refs.count() == 0
+
+
+def test_filters_take_part(spark):
+    """Without its keys in the filters, nothing is shared: the filters decide what is looked up."""
+    rows = cases()
+    df = spark.createDataFrame([(i, t, 0, None) for i, t in rows], DOCS)
+    made = line_dedup.LineIndex.empty(spark).insert(df)
+    assert made.drops(df).count() > 0
+    made.filters = line_dedup.LineIndex._no_filters(spark, made.n_shards)
+    assert made.drops(df).count() == 0
+
+
+def test_very_long_text(spark):
+    line = "a line that three documents share"
+    rows = [(1, "\n".join([line] * 100_000)), (2, line), (3, "x" * 2_000_000 + "\n" + line), (4, "x" * 2_000_000)]
+    df = spark.createDataFrame([(i, t, 0, None) for i, t in rows], DOCS)
+    assert result(line_dedup.line_dedup(df)) == sorted(plain(rows), key=str)
 
 
 def test_cuckoo_filter():
@@ -76,10 +104,37 @@ def test_cuckoo_filter():
     assert made.contains(keys).all() and made.count == len(keys)
     others = rng.integers(-(2**63), 2**63 - 1, 200_000)
     assert made.contains(others).mean() < 5e-4
-    made.delete(keys[:1000])
+    assert made.delete(keys[:1000]).all()
     assert made.contains(keys[1000:]).all() and made.contains(keys[:1000]).mean() < 0.01
 
 
+def test_a_full_filter_stays_as_it_was():
+    rng = np.random.default_rng(1)
+    made, keys = CuckooFilter(16), rng.integers(-(2**63), 2**63 - 1, 500)
+    assert made.insert(keys[:40])
+    table = made.table.copy()
+    assert not made.insert(keys[40:]) and (made.table == table).all() and made.contains(keys[:40]).all() and made.count == 40
+
+
+def test_stack_against_a_set():
+    rng, made, have = np.random.default_rng(2), Stack(first=8), set()
+    pool = rng.integers(-(2**63), 2**63 - 1, 4_000)
+    for _ in range(60):
+        new = np.array([k for k in rng.choice(pool, 300, replace=False).tolist() if k not in have], np.int64)
+        made.insert(new)
+        have |= set(new.tolist())
+        old = rng.choice(sorted(have), min(len(have), 200), replace=False)
+        made.delete(old)
+        have -= set(old.tolist())
+        assert made.count == len(have) and made.contains(np.array(sorted(have), np.int64)).all()
+    made = Stack.from_bytes(made.to_bytes())
+    assert made.contains(np.array(sorted(have), np.int64)).all() and len(made.filters) > 1
+    gone = np.array(sorted(set(pool.tolist()) - have), np.int64)
+    assert made.contains(gone).mean() < 0.02
+    made.delete(np.array(sorted(have), np.int64))
+    assert made.count == 0 and all((f.table == 0).all() for f in made.filters)
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     with duckdb.connect() as c:

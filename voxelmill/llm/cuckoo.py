@@ -24,8 +24,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class CuckooFilter:
     """Membership with deletion: no false negatives, about 2 * SLOTS / 65535 false positives.
 
-    Inserting a member twice needs deleting it twice. A fingerprint that finds no slot after ``max_kicks``
-    rounds doubles the table (from the exact hashes the caller gives), so nothing is ever dropped.
+    Inserting a member twice needs deleting it twice. ``insert`` that finds no slot for a fingerprint after ``max_kicks`` rounds
+    says so and leaves the table as it was; ``build`` then tries a larger one, and ``Stack`` puts another one on top.
     """
 
     def __init__(self, n_buckets: int):
@@ -66,7 +66,8 @@ class CuckooFilter:
         return order[~fits]
 
     def insert(self, hashes: np.ndarray, max_kicks: int = 500) -> bool:
-        """Add each hash once; False if the table is too full (it is then unusable and must be rebuilt)."""
+        """Add each hash once; False if the table is too full, which then is as it was."""
+        before = self.table.copy()
         fp, bucket = self._places(hashes)
         left = self._settle(bucket, fp)
         fp, bucket = fp[left], self._other(bucket[left], fp[left])
@@ -83,6 +84,7 @@ class CuckooFilter:
             self.table[bucket[one], slot] = fp[one]
             fp[one] = out
             bucket[one] = self._other(bucket[one], out)
+        self.table = before
         return False
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
@@ -90,16 +92,27 @@ class CuckooFilter:
         other = self._other(bucket, fp)
         return (self.table[bucket] == fp[:, None]).any(1) | (self.table[other] == fp[:, None]).any(1)
 
-    def delete(self, hashes: np.ndarray) -> None:
-        """Remove one copy of each hash; only for hashes that were inserted."""
-        for h in np.asarray(hashes).reshape(-1):
-            fp, bucket = self._places(np.array([h]))
-            for b in (bucket[0], self._other(bucket, fp)[0]):
-                at = np.flatnonzero(self.table[b] == fp[0])
-                if len(at):
-                    self.table[b, at[0]] = 0
-                    self.count -= 1
-                    break
+    def delete(self, hashes: np.ndarray) -> np.ndarray:
+        """Remove one copy of each hash that is here; which ones were. Only for hashes that were inserted."""
+        hashes = np.asarray(hashes).reshape(-1)
+        done, left = np.zeros(len(hashes), bool), np.arange(len(hashes))
+        fps, firsts = self._places(hashes)
+        while len(left):
+            again = []
+            for buckets in (firsts, self._other(firsts, fps)):
+                at = left[~done[left]]
+                hit = self.table[buckets[at]] == fps[at, None]
+                some = hit.any(axis=1)
+                at, slot = at[some], hit[some].argmax(axis=1)
+                # of hashes that point to one slot, the first has it; the others look again
+                _, one = np.unique(buckets[at] * SLOTS + slot, return_index=True)
+                self.table[buckets[at[one]], slot[one]] = 0
+                done[at[one]] = True
+                again.append(np.setdiff1d(at, at[one]))
+            left = np.concatenate(again)
+            left = left[~done[left]]
+        self.count -= int(done.sum())
+        return done
 
     def to_bytes(self) -> bytes:
         return np.array([self.n_buckets, self.count], np.int64).tobytes() + self.table.tobytes()
@@ -113,6 +126,50 @@ class CuckooFilter:
         return made
 
 
+class Stack:
+    """Filters that grow: when the top one is full, one of twice its size goes on top. Deleting needs no other key."""
+
+    def __init__(self, filters: list[CuckooFilter] | None = None, first: int = 256):
+        self.filters = filters or [CuckooFilter(first)]
+
+    def insert(self, hashes: np.ndarray) -> None:
+        at = 0
+        while at < len(hashes):
+            top = self.filters[-1]
+            room = int(top.table.size * 0.85) - top.count
+            part = hashes[at : at + max(room, 0)]
+            if len(part) and top.insert(part):
+                at += len(part)
+            else:
+                self.filters.append(CuckooFilter(max(2 * top.n_buckets, min(len(hashes) - at, 1 << 20) // SLOTS)))
+
+    def delete(self, hashes: np.ndarray) -> None:
+        """From the largest filter down: hashes that one filter can't tell apart, no smaller one can, so what is taken for another is still found."""
+        hashes = np.asarray(hashes)
+        for f in reversed(self.filters):
+            hashes = hashes[~f.delete(hashes)]
+
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), bool)
+        for f in self.filters:
+            out |= f.contains(hashes)
+        return out
+
+    @property
+    def count(self) -> int:
+        return sum(f.count for f in self.filters)
+
+    def to_bytes(self) -> bytes:
+        blobs = [f.to_bytes() for f in self.filters]
+        return np.array([len(blobs), *map(len, blobs)], np.int64).tobytes() + b"".join(blobs)
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Stack:
+        n = int(np.frombuffer(blob[:8], np.int64)[0])
+        ends = 8 * (n + 1) + np.r_[0, np.cumsum(np.frombuffer(blob[8 : 8 * (n + 1)], np.int64))]
+        return cls([CuckooFilter.from_bytes(blob[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+
 #: Keys up to which a screen of them (2.4 bytes a key) goes to every executor.
 MAX_SCREEN_KEYS = 8_000_000
 
