@@ -113,7 +113,7 @@ def test_files_hold_the_transform(tmp_path, monkeypatch):
     for turn, column in enumerate(range(SMALL.columns - 1, -1, -1)):
         order = sorted(range(9), key=lambda k: content[k][column + 1 :])
         assert raw[turn].tolist() == [content[k][column] + 1 for k in order]
-    order = np.fromfile(f"{kept['root']}/state-{SMALL.columns % 2}", np.uint8, 9).tolist()
+    order = np.fromfile(f"{kept['root']}/state-{SMALL.columns}", np.uint8, 9).tolist()
     assert [content[k] for k in order] == sorted(content)
 
 

@@ -208,9 +208,12 @@ class _Files:
             for a in arrays:
                 out.write(a.tobytes())
 
-    def get(self, name: str, n: int, *kinds) -> list[np.ndarray]:
+    def take(self, name: str, n: int, *kinds) -> list[np.ndarray]:
+        """Read a file and remove it; files are never written over, which some file systems answer with a wait for the disk."""
         with self.reader(name) as source:
-            return [np.frombuffer(source.read(n * np.dtype(k).itemsize), k) for k in kinds]
+            out = [np.frombuffer(source.read(n * np.dtype(k).itemsize), k) for k in kinds]
+        self.system.delete_file(f"{self.root}/{name}")
+        return out
 
 
 def _write_symbols(files: _Files, column0: np.ndarray, content: list[bytes], columns: int) -> list[int]:
@@ -243,7 +246,7 @@ def construct(group: np.ndarray, column0: np.ndarray, content: list[bytes], shap
         transform = opened.enter_context(files.writer("transform"))
         files.put("state-0", np.arange(n, dtype=place_kind), np.zeros(n, prefix_kind))
         for turn, column in enumerate(range(shape.columns - 1, -1, -1)):
-            order, common = files.get(f"state-{turn % 2}", n, place_kind, prefix_kind)
+            order, common = files.take(f"state-{turn}", n, place_kind, prefix_kind)
             here = np.concatenate([np.frombuffer(f.read(k), np.uint8) for f, k in zip(symbols, sizes, strict=True)]) + np.uint8(1)  # no byte of UTF-8 is 255
             here[(column < column0) | (column >= last)] = 0
             before = here[order]
@@ -257,7 +260,7 @@ def construct(group: np.ndarray, column0: np.ndarray, content: list[bytes], shap
                 spans = np.stack([place[at - 1] + 1, place[at] + 1], axis=1).reshape(-1)
                 least = np.minimum.reduceat(np.append(common, common[:1]), spans)[::2]
                 fresh[at] = np.minimum(least, shape.window - 1) + prefix_kind.type(1)
-            files.put(f"state-{(turn + 1) % 2}", order, fresh)
+            files.put(f"state-{turn + 1}", order, fresh)
             if column < shape.grams:
                 full = fresh >= shape.window
                 recurs = full.copy()
