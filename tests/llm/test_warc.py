@@ -60,13 +60,43 @@ def test_round_trip_over_splits(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_without_a_list_of_odd_splits(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "MAX_ODD", -1)
+def test_broken_chains_are_named(spark, tmp_path):
     rows = rows_of(60)
     warc.write(spark.createDataFrame([(*r, None, "s") for r in rows], PAGES).coalesce(1), str(tmp_path / "a"))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "a").glob("part-*")))
+    assert warc.chain_breaks(spark, str(tmp_path / "a")).count() == 0
+    at = raw.index(b"X-Page-Id: 30\r\n")
+    start = raw.rindex(b"WARC/1.0\r\nWARC-Type", 0, at)
+    damaged = raw[:at] + raw[at:].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "cut").write_bytes(damaged)
+    (tmp_path / "b" / "none").write_bytes(b"no records here")
+    (tmp_path / "b" / "whole").write_bytes(raw)
+    found = {r["file"].rsplit("/", 1)[1]: (r["at"], r["size"]) for r in warc.chain_breaks(spark, str(tmp_path / "b")).collect()}
+    assert found == {"cut": (start, len(damaged)), "none": (0, 15)}
+    with pytest.raises(ValueError, match="cut at"):
+        warc.read(spark, str(tmp_path / "b"))
+    kept = [r["page_id"] for r in warc.read(spark, str(tmp_path / "b"), strict=False).collect()]
+    assert 60 < len(kept) < 120 and {k for k in kept if k != 999} == set(range(60))
+
+
+def test_one_payload_of_most_pages(spark, tmp_path):
+    rows = [(k, f"u{k}", "same" if k % 3 else f"own {k}") for k in range(300)]
+    warc.write(spark.createDataFrame([(*r, None, "s") for r in rows], PAGES), str(tmp_path / "a"))
     assert result(warc.read(spark, str(tmp_path / "a"))) == expected(rows)
 
 
+def test_very_long_payload(spark, tmp_path):
+    rows = [(1, "u", "é" * 1_500_000), (2, "u", "b" + "WARC/1.0\r\n" * 20_000), (3, "u", "é" * 1_500_000)]
+    warc.write(spark.createDataFrame([(*r, None, "s") for r in rows], PAGES), str(tmp_path / "a"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300_000)
+    try:
+        assert result(warc.read(spark, str(tmp_path / "a"))) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_without_screens(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("voxelmill.llm.cuckoo.MAX_SCREEN_KEYS", -1)
     rows = rows_of(60)

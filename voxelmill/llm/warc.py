@@ -11,6 +11,9 @@ true chain of records begins at its start; pointer jumping over (entry, exit) pa
 the chain enters each split, and only candidates on the chain from there are records. A piece off the chain is payload (the
 magic occurred inside it) and goes back to the record that it lies in.
 
+A chain that ends before its file does (a damaged header, a file cut off) is an error that names the files; ``chain_breaks`` gives them as
+a table, and ``read(..., strict=False)`` the records before the breaks.
+
 Edge cases: a null payload is empty; a null page_id or url is left out of the header and null when read; of repeated rows
 with the largest page_id, one is the response; empty tables give empty archives; other columns are ignored.
 """
@@ -21,8 +24,8 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +37,8 @@ from voxelmill.llm.cuckoo import screen_of
 MAGIC, CRLF = b"WARC/1.0\r\n", b"\r\n"
 DATE = "2000-01-01T00:00:00Z"
 _RECORD = uuid.UUID("b9b2b7d8-3c5e-4f0e-9d43-0d2f5a1c7e10")
-#: Splits whose chain starts elsewhere than at their first candidate, up to which the list goes to every executor.
-MAX_ODD = 100_000
+#: Parts over which the keys of one payload are dealt when they meet their holder.
+SALTS = 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -71,8 +74,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = pages.select(safe_id(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("key", F.concat_ws("-", "page_id", F.sha1("payload"), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")))).withColumn("sha", F.sha1("payload"))
     narrow = rows.groupBy("key", "page_id", "url", "sha").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("payload")).alias("n"))
-    holders = narrow.groupBy("sha").agg(F.max(F.struct("page_id", "key")).alias("holder"))
-    marked = cut(narrow.join(holders, "sha").select("*", (F.col("n") >= min_bytes).alias("shares")))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    several = narrow.groupBy("sha").agg(F.max(F.struct("page_id", "key")).alias("holder"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    holders = several.select("sha", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = narrow.select("*", salt("key")).join(holders, ["sha", "salt"], "left").drop("salt")
+    marked = cut(held.withColumns({"holder": F.coalesce("holder", F.struct("page_id", "key")), "shares": F.col("n") >= min_bytes}))
     is_holder = (F.col("key") == F.col("holder.key")) | ~F.col("shares")
     screen = screen_of(marked.where(~is_holder | (F.col("copies") > 1)).select(F.xxhash64("key").alias("h")).distinct())
     sent = pages.sparkSession.sparkContext.broadcast(screen)
@@ -124,7 +130,7 @@ class _Split:
     """The pieces of one split, by offsets local to it: a piece's record starts at its offset less the magic."""
 
     def __init__(self):
-        self.at, self.pieces, self.total, self.odd, self.entry = [], [], 0, None, None
+        self.at, self.pieces, self.total = [], [], 0
 
     def add(self, piece: bytes) -> None:
         self.at.append(self.total)
@@ -144,46 +150,31 @@ class _Split:
         return starts, succ
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, _Split]]:
-    """Columns file, split and value, and maybe odd and entry: a split's pieces follow one another in order."""
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, int, _Split]]:
+    """Columns id, file, split and value: a split's pieces follow one another in order."""
     now, held = None, _Split()
     for batch in batches:
-        marks = zip(*[batch.column(k).to_pylist() for k in (3, 4)], strict=True) if batch.num_columns > 3 else repeat((None, None))
-        for file, split, piece, (odd, entry) in zip(*[batch.column(k).to_pylist() for k in range(3)], marks):  # noqa: B905
-            if (file, split) != now:
+        for key, file, split, piece in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            if (key, file, split) != now:
                 if now:
                     yield (*now, held)
-                now, held = (file, split), _Split()
-                held.odd, held.entry = odd, entry
+                now, held = (key, file, split), _Split()
             held.add(piece)
     if now:
         yield (*now, held)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
-
-
-def _in_order(pieces: DataFrame) -> DataFrame:
-    """pieces with k, their number in the split."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, k = None, 0
-        for batch in batches:
-            numbers = []
-            for at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                now, k = at, k + 1 if at == now else 0
-                numbers.append(k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "k"])
-
-    return pieces.mapInArrow(run, "file string, split long, value binary, k long")
+    """(id, file, split, value): id names file and split in 64 bits."""
+    pieces = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+    return pieces.select(F.xxhash64("file", "split").alias("id"), "file", "split", "value")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """(file, split, start, succ, exit, total): candidate records with offsets local to their split; a split without any has one row of nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, held in _splits(batches):
+        for _, file, split, held in _splits(batches):
             starts, succ = held.successors(split == 0)
             exits: dict[int, int] = {}
             for s, t in zip(reversed(starts), reversed(succ), strict=True):  # successors lie ahead
@@ -195,8 +186,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return _pieces(spark, path).mapInArrow(run, "file string, split long, start long, succ long, exit long, total long")
 
 
-def split_entries(found: DataFrame) -> DataFrame:
+def split_entries(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, split, base, entry, first): where the chain of records enters each split (null: nowhere) and its first candidate, local offsets.
+    And (file, at, size) of files whose chain ends at ``at``, before the file does.
 
     Pointer jumping: from each file's start over entry-to-exit pairs, whose reach doubles each round.
     """
@@ -216,7 +208,15 @@ def split_entries(found: DataFrame) -> DataFrame:
         ahead = jump.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
         jump = cut(jump.join(ahead, ["file", "to"], "left").select("file", "at", F.coalesce("beyond", "to").alias("to")))
     entered = hops.join(reach, ["file", "at"], "left_semi").groupBy("file", "split").agg(F.min("at").alias("at"))
-    return bases.join(entered, ["file", "split"], "left").select("file", "split", "base", (F.col("at") - F.col("base")).alias("entry"), "first")
+    entries = bases.join(entered, ["file", "split"], "left").select("file", "split", "base", (F.col("at") - F.col("base")).alias("entry"), "first")
+    sizes = bases.groupBy("file").agg((F.sum("total") - len(MAGIC)).alias("size"))
+    ends = hops.join(reach, ["file", "at"], "left_semi").groupBy("file").agg(F.max("to").alias("at"))
+    return entries, sizes.join(ends, "file", "left").select("file", F.coalesce("at", F.lit(0).cast("long")).alias("at"), "size").where("at != size")
+
+
+def chain_breaks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, size): the archives below path whose chain of records ends at ``at`` and not at their size."""
+    return split_entries(cut(candidates(spark, path)))[1]
 
 
 _RECORD_COLS = "record_id string, record_type string, page_id long, url string, digest string, n_bytes long, refers_to_id string, refers_to long, payload binary"
@@ -230,20 +230,32 @@ def _fields(headers: dict[str, str], block: bytes) -> tuple:
     return (headers.get("warc-record-id"), headers["warc-type"], number("x-page-id"), url, headers.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-payload-bytes"), headers.get("warc-refers-to"), number("x-refers-to-page-id"), payload if headers["warc-type"] == "response" else None)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below path; a revisit has no payload of its own. A file is read up to the first break of its chain."""
-    entries = cut(split_entries(cut(candidates(spark, path))))
-    odd = entries.where(~F.col("entry").eqNullSafe(F.col("first"))).select("file", "split", "entry")
-    few = odd.count() <= MAX_ODD
-    source = _pieces(spark, path) if few else _in_order(_pieces(spark, path)).join(odd.withColumn("odd", F.lit(True)), ["file", "split"], "left").repartition("file", "split").sortWithinPartitions("file", "split", "k").select("file", "split", "value", "odd", "entry")
-    sent = spark.sparkContext.broadcast({(r["file"], r["split"]): r["entry"] for r in odd.collect()} if few else {})
+def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """All records of the archives below path; a revisit has no payload of its own. Broken chains are an error, or with strict=False end their file.
+
+    What is broadcast is 16 bytes for each split that its chain enters elsewhere than at its first candidate: at most 16 bytes for
+    each spark.sql.files.maxPartitionBytes of the archives (13 MB for 100 TB in splits of 128 MB).
+    """
+    entries, broken = split_entries(cut(candidates(spark, path)))
+    if strict and (some := broken.limit(5).collect()):
+        raise ValueError("broken chains of records: " + ", ".join(f"{r['file']} at {r['at']} of {r['size']}" for r in some) + "; see chain_breaks")
+    entries = cut(entries)
+    odd = entries.where(~F.col("entry").eqNullSafe(F.col("first"))).select(F.xxhash64("file", "split").alias("id"), F.coalesce("entry", F.lit(-1).cast("long")).alias("entry"))
+    table = np.array(sorted((r["id"], r["entry"]) for r in odd.collect()), np.int64).reshape(-1, 2)
+    sent = spark.sparkContext.broadcast(table)
+    source = _pieces(spark, path)
+
+    def entry_of(key: int, first: int | None) -> int | None:
+        at = int(np.searchsorted(sent.value[:, 0], key))
+        if at == len(sent.value) or sent.value[at, 0] != key:
+            return first
+        return None if sent.value[at, 1] < 0 else int(sent.value[at, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, held in _splits(batches):
+        for key, file, split, held in _splits(batches):
             starts, succ = held.successors(split == 0)
             ahead = dict(zip(starts, succ, strict=True))
-            known = held.entry if held.odd else sent.value.get((file, split))
-            at = known if held.odd or (file, split) in sent.value else min(starts, default=None)
+            at = entry_of(key, min(starts, default=None))
             piece_of = {o - len(MAGIC): k for k, o in enumerate(held.at)}
             whole, parts = [], []
             loose = len(held.pieces) if at is None else piece_of[at]
