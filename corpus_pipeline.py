@@ -1,4 +1,10 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, decontamination, packing."""
+"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, decontamination, packing.
+
+Each stage works on all rows that its predecessor kept, whole texts; all but the last return the columns that they were given, of any
+name. Null and empty texts, and texts without letters, go with the first stage; a null doc_id counts as one document, smaller than all
+others, and keeps its row; of rows that share a doc_id near-dedup keeps one; of near copies the least doc_id stays; a text of any
+length is one row throughout; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmill.llm import decontaminate, langid, line_dedup, packing, simhash
-from voxelmill.llm._base import checkpoint_dir, read_table
+from voxelmill.llm._base import checkpoint_dir, delete_folder, read_table
 
 STAGES = [
     ("language_id", langid.stage),
@@ -29,7 +35,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
         if last is not None:
-            path = spark._jvm.org.apache.hadoop.fs.Path(last)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, last)
         last = f"{at}/{name}"
     return docs
