@@ -12,11 +12,13 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset a local session gets a fresh folder, a cluster an error."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxelmill-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
