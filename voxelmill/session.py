@@ -25,8 +25,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str | Non
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset a local session gets a fresh folder, a cluster an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelmill-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxelmill-checkpoint-"))
     return context.getCheckpointDir()
