@@ -1,38 +1,9 @@
-"""Queries that take whole tables, against DuckDB over all rows."""
+"""Queries without SQL, against brute force over all rows of a small table."""
 
-import duckdb
 import numpy as np
-import pytest
-
-from voxelmill import catalog
 from voxelmill.functions import geometry
 from voxelmill.plans import iterative
 
-SF = "/root/testdata/sf0.01"
-SQL = {
-    "clock_and_eta_all": "WITH e AS (SELECT *, CAST(floor(value * 50) AS BIGINT) AS s FROM events) SELECT event_id, lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock, round(value / nullif(event_id % 9, 0) * greatest(10 - event_id % 9, 0), 4) + 0.0 AS eta FROM e",
-    "typed_fields_all": "WITH e AS (SELECT event_id % 5 AS m, event_id, event_type FROM events), t AS (SELECT ['empty', 'bool', 'int', 'float', 'text'][m + 1] AS kind, CASE m WHEN 0 THEN '' WHEN 1 THEN 'true' WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN '2.5' ELSE event_type END AS v FROM e) SELECT kind, count(*) AS n, min(v) AS least FROM t GROUP BY 1",
-    "missing_anti_all": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
-    "except_all": "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier",
-    "positional_zip_all": "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part), b AS (SELECT p_partkey AS priced_partkey, p_size, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey DESC) AS k FROM part) SELECT p_partkey, priced_partkey, p_size FROM a JOIN b USING (k)",
-}
-
-
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_all_rows(spark, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
-    with duckdb.connect() as c:
-        for t in ("customer", "events", "lineitem", "orders", "part", "supplier"):
-            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-        want = c.sql(SQL[name]).df()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns and len(got) == len(want) > 0
-    got, want = [d[columns].sort_values(columns, ignore_index=True) for d in (got, want)]
-    for c in columns:
-        same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
-        assert same.all() or abs(got[c][~same].astype(float) - want[c][~same].astype(float)).max() < 2e-3, c
-
-
 def test_every_volume_is_projected(spark, tmp_path):
     rng = np.random.default_rng(4)
     volumes = {k: rng.normal(size=64).astype(np.float32) for k in (0, 3, 9, 10, 11, 700)}

@@ -49,6 +49,13 @@ class Geometry:
         rows, cols = self.detector_pixels[0] // by, self.detector_pixels[1] // bx
         return replace(self, detector_pixels=(rows, cols), detector_pixel=(self.detector_pixel[0] * by, self.detector_pixel[1] * bx), volume_voxels=tuple(max(1, n // volume) for n in self.volume_voxels), voxel=tuple(v * volume for v in self.voxel), detector_offset_px=(self.detector_offset_px[0] / by, self.detector_offset_px[1] / bx), centre_offset_px=self.centre_offset_px / bx)
 
+    def coarser(self, by: int, bx: int, detector: tuple[int, int], transposed: bool = False) -> Geometry:
+        """The geometry of a quick run: projections of the given size after further binning, voxels coarser by the same factors (z with rows)."""
+        r, c = (bx, by) if transposed else (by, bx)
+        factors = (r, c, c)
+        binned = replace(self, detector_pixel=(self.detector_pixel[0] * r, self.detector_pixel[1] * c), volume_voxels=tuple(max(1, n // f) for n, f in zip(self.volume_voxels, factors, strict=True)), voxel=tuple(v * f for v, f in zip(self.voxel, factors, strict=True)), detector_offset_px=(self.detector_offset_px[0] / r, self.detector_offset_px[1] / c), centre_offset_px=self.centre_offset_px / c)
+        return replace(binned, detector_pixels=tuple(detector))
+
     def low_resolution(self, factor: int) -> Geometry:
         """Everything coarser by a factor, or unchanged if a size does not divide by it."""
         if factor <= 1 or any(n % factor for n in (*self.detector_pixels, *self.volume_voxels)):

@@ -133,3 +133,19 @@ def memory_model_gib(volume_gib: Column, projections_gib: Column, dual_bytes: in
 def batches_per_sweep(views: Column, subsets: Column, batch: Column) -> Column:
     """Batches of a subset."""
     return F.ceil(F.ceil(views / subsets) / batch)
+
+
+def general_number(x: Column, digits: int = 6) -> Column:
+    """A number as C's ``%.<digits>g`` writes it: so many digits at most, no zeros at the end, an exponent below -4 and from digits on."""
+    text = F.format_string(f"%.{digits - 1}e", F.abs(x).cast("double"))
+    power = F.element_at(F.split(text, "e"), -1).try_cast("int")
+    figures = F.replace(F.element_at(F.split(text, "e"), 1), F.lit("."), F.lit(""))
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    point = lambda at: F.concat(figures.substr(F.lit(1), at), F.lit("."), figures.substr(at + 1, F.lit(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    long_exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+    fixed = F.when(power >= 0, bare(point(power + 1))).otherwise(bare(small))
+    body = F.when((power < -4) | (power >= digits), F.concat(bare(point(F.lit(1))), F.when(F.abs(power) < 100, exponent).otherwise(long_exponent))).otherwise(fixed)
+    sign = F.when(F.startswith(x.cast("double").cast("string"), F.lit("-")), "-").otherwise("")
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, body))

@@ -181,12 +181,16 @@ def slabs(depth: int, slab: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def support_mask(x: np.ndarray, sigma: float, dilation: int) -> np.ndarray:
-    """Where the smoothed volume stands out of its fifth percentile, closed and dilated; everywhere if that is nowhere."""
-    smooth = gaussian(x, sigma)
-    low, high = np.percentile(smooth, [5, 95])
-    mask = smooth > low + 0.02 * max(high - low, 1e-6)
-    mask = dilate(close(mask), dilation)
-    return mask if mask.any() else np.ones(x.shape, bool)
+    """Where the smoothed volume stands out of the fifth percentile of the finite values, closed and dilated.
+
+    NaN counts as 0 when smoothing. Everywhere, if no value is finite or none stands out.
+    """
+    finite = x[np.isfinite(x)]
+    if not finite.size:
+        return np.ones(x.shape, bool)
+    low, high = np.percentile(finite, [5, 95])
+    mask = gaussian(np.nan_to_num(x, nan=0.0), sigma) > low + 0.02 * max(high - low, 1e-6)
+    return dilate(close(mask), dilation) if mask.any() else np.ones(x.shape, bool)
 
 
 def mad(x: np.ndarray) -> float:

@@ -65,7 +65,7 @@ def conjugate_gradient(matvec: Callable[[np.ndarray], np.ndarray], b: np.ndarray
     while np.sqrt(square) / size > tolerance and done < iterations:
         ap = matvec(p)
         curve = float(np.vdot(p, ap))
-        if curve <= 1e-30:
+        if abs(curve) <= 1e-30:
             break
         alpha, done = square / curve, done + 1
         x += alpha * p
@@ -234,7 +234,7 @@ def conjugate_gradient_tables(matrix: DataFrame, b: DataFrame, iterations: int,
         ap = matrix.join(p.select(F.col("i").alias("j"), "value"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("value")).alias("q"))
         pq = cut(p.join(ap, "i", "left").select("i", "value", F.coalesce("q", F.lit(0.0)).alias("q")))
         curve = total(pq, F.col("value") * F.col("q"))
-        if curve <= 1e-30:
+        if abs(curve) <= 1e-30:
             break
         alpha, done = square / curve, done + 1
         state = x.withColumnRenamed("value", "x").join(r.withColumnRenamed("value", "r"), "i").join(pq.withColumnRenamed("value", "p"), "i")

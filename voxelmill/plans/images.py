@@ -84,11 +84,11 @@ def image_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gray_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring triples of pixels taken as red, green and blue."""
+    """Every three neighbouring pixels taken as red, green and blue."""
     from voxelmill.functions.scalars import gray
 
     df = images(spark, sf_dir)
-    return long_form(df, F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: gray(F.get("data", k * 3), F.get("data", k * 3 + 1), F.get("data", k * 3 + 2))))
+    return long_form(df, F.transform(F.sequence(F.lit(0), F.lit(61)), lambda k: gray(F.get("data", k), F.get("data", k + 1), F.get("data", k + 2))))
 
 
 def preprocess_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ QUERIES = {
             _MEAN,
         ),
     ),
-    "gray_pixels": (gray_pixels, _sql("SELECT vec_id, i // 3 AS i, round(sum(v * CASE i % 3 WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END), 5) + 0.0 AS value FROM px WHERE i < 63 GROUP BY vec_id, i // 3")),
+    "gray_pixels": (gray_pixels, _sql("SELECT r.vec_id, r.i, round(0.299 * r.v + 0.587 * g.v + 0.114 * b.v, 5) + 0.0 AS value FROM px r JOIN px g ON g.vec_id = r.vec_id AND g.i = r.i + 1 JOIN px b ON b.vec_id = r.vec_id AND b.i = r.i + 2")),
     "preprocess_views": (
         preprocess_views,
         _sql(

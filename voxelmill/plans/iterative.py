@@ -1,10 +1,12 @@
-"""Solver and streaming queries: volumes from embeddings, a fixed phantom, event streams."""
+"""Solver and streaming queries: volumes from embeddings, event streams."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +38,26 @@ def forward_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.forward(eye, px).select("view_idx", "pixel", rounded(F.col("value")).alias("value"))
 
 
-def _phantom() -> np.ndarray:
-    x = np.zeros((6, 6, 6))
-    x[2:4, 2:4, 2:4] = 1.0
-    return x
+def solve_volume(b: np.ndarray) -> list[solvers.Solved]:
+    """The four solvers on one small volume as its own data, with the identity operator."""
+    op, x0 = linear.Identity(len(b)), np.zeros_like(b)
+    return [solvers.admm(op, b, x0, 1e-3, 5e-2, 5), solvers.pdhg(op, b, x0, 1e-3, 5), solvers.subset_tv(op, b, x0, 1e-3, 5, 2), solvers.anchored(op, b, x0, b, np.ones_like(b), sweeps=3, subsets=2)]
 
 
 def solver_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric rows of the four solvers on a cube with the identity operator; a fixed phantom, no table is read."""
-    b, op = _phantom(), linear.Identity(6)
-    x0 = np.zeros_like(b)
-    runs = [solvers.admm(op, b, x0, 1e-3, 5e-2, 5), solvers.pdhg(op, b, x0, 1e-3, 5), solvers.subset_tv(op, b, x0, 1e-3, 5, 2), solvers.anchored(op, b, x0, b, np.ones_like(b), sweeps=3, subsets=2)]
-    tables = [r.table(spark, f"run{k}") for k, r in enumerate(runs)]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3]).drop("elapsed_s")
+    """Metric rows of the four solvers for every volume of embeddings (4 x 4 x 4, absolute values); a volume is solved in its row's task."""
+    names = ["iteration", "objective", "data_fidelity", "tv_term", "relative_x_change"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf["volume_id"], pdf["embedding"], strict=True):
+                b = np.abs(np.asarray(v, np.float64)).reshape(4, 4, 4)
+                out += [(k, r.solver, *(getattr(r, n) for n in names)) for done in solve_volume(b) for r in done.rows]
+            yield pd.DataFrame(out, columns=["volume_id", "solver", *names])
+
+    volumes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("volume_id"), "embedding")
+    return volumes.mapInPandas(run, "volume_id long, solver string, iteration int, objective double, data_fidelity double, tv_term double, relative_x_change double")
 
 
 def cg_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +76,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     df = monitors.event_stream(spark, sf_dir, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     got = monitors.run_once(monitors.window_summary(df, "ts", ["event_type"], "value", "1 day", late="3650 days"), f"w{uuid.uuid4().hex}", "complete")
-    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", rounded(F.col("mean"), 4).alias("mean"))
+    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", rounded(F.col("mean"), 9).alias("mean"))
 
 
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +92,6 @@ QUERIES = {
     "forward_projection": (forward_projection, None),
     "solver_metrics": (solver_metrics, None),
     "cg_tables": (cg_tables, "SELECT c_custkey AS i, round(c_acctbal / 1000 / (2 + c_nationkey % 5), 7) + 0.0 AS value FROM customer"),
-    "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 4) + 0.0 AS mean FROM events GROUP BY 1, 2"),
+    "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 9) + 0.0 AS mean FROM events GROUP BY 1, 2"),
     "stream_history": (stream_history, "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, count(*) AS n, max(event_id) AS last, round(sum(value), 3) + 0.0 AS total FROM e WHERE k <= 30 GROUP BY 1"),
 }

@@ -52,6 +52,15 @@ def _optional(df: DataFrame, column: str | None, label: str, warnings: list[str]
     return name, True
 
 
+def _totals(views: DataFrame) -> dict:
+    """What the summary says of the views themselves: counts, extremes, direction, and whether every view has shifts."""
+    deg = views.withColumn("d", F.degrees(F.col("angle_rad").cast("double"))).withColumn("__one", F.lit(1))
+    way = stats.direction(deg, "d", ["position"], ["__one"]).first()
+    got = views.agg(F.count(F.lit(1)).alias("views"), F.min("angle_deg").alias("angle_min_deg"), F.max("angle_deg").alias("angle_max_deg"), F.min("angle_rad").alias("angle_min_rad"), F.max("angle_rad").alias("angle_max_rad"), F.count("x_shift_px").alias("nx"), F.count("y_shift_px").alias("ny")).first().asDict()
+    n = got["views"]
+    return got | {"direction": way["direction"] if way else "single angle", "has_x": n > 0 and got["nx"] == n, "has_y": n > 0 and got["ny"] == n}
+
+
 def validate(spark: SparkSession, frame: DataFrame, folder: str, filename: str = "", angle: str = "", angle_rad: str | None = None, x_shift: str | None = None, y_shift: str | None = None, remove_endpoint: bool = True, reverse: bool = False, tolerance_deg: float = 1e-3) -> Validation:
     """frame: text columns and row_index, as ``tables.read_csv`` gives them.
 
@@ -115,11 +124,8 @@ def validate(spark: SparkSession, frame: DataFrame, folder: str, filename: str =
     if reverse:
         warnings.append("the order of the views is reversed; names and angles keep together")
     views = views.orderBy("position")
-    deg = views.withColumn("d", F.degrees(F.col("angle_rad").cast("double"))).withColumn("__one", F.lit(1))
-    way = stats.direction(deg, "d", ["position"], ["__one"]).first()
-    totals = views.agg(F.count(F.lit(1)).alias("views"), F.min("angle_deg").alias("angle_min_deg"), F.max("angle_deg").alias("angle_max_deg"), F.min("angle_rad").alias("angle_min_rad"), F.max("angle_rad").alias("angle_max_rad"), F.count("x_shift_px").alias("nx"), F.count("y_shift_px").alias("ny")).first().asDict()
-    n = totals["views"]
-    summary = totals | {"endpoint_detected": detected, "endpoint_removed": detected and remove_endpoint, "direction": way["direction"] if way else "single angle", "angle_source": source, "x_found": x_found, "y_found": y_found, "has_x": n > 0 and totals["nx"] == n, "has_y": n > 0 and totals["ny"] == n}
+    totals = _totals(views)
+    summary = totals | {"endpoint_detected": detected, "endpoint_removed": detected and remove_endpoint, "angle_source": source, "x_found": x_found, "y_found": y_found}
     return Validation(views, repeated, views.where("NOT exists").select("filename"), summary, warnings)
 
 
@@ -139,4 +145,17 @@ def every_nth(v: Validation, n: int) -> Validation:
     if n <= 1:
         return v
     base = v.views.agg(F.min("position")).first()[0]
-    return Validation(v.views.where((F.col("position") - F.lit(base)) % n == 0).orderBy("position"), v.duplicates, v.missing, v.summary, [*v.warnings, f"every {n}th view"])
+    if base is None:
+        raise ValueError("no view is left")
+    kept = v.views.where((F.col("position") - F.lit(base)) % n == 0).orderBy("position")
+    return Validation(kept, v.duplicates, v.missing, v.summary | _totals(kept), [*v.warnings, f"every {n}th view"])
+
+
+def coarser_views(v: Validation, binning: tuple[int, int] = (1, 1), every: int = 1) -> Validation:
+    """For a quick run: every nth view, with shifts in the pixels of further binning (rows, cols); the summary is made anew."""
+    by, bx = (max(1, int(n)) for n in binning)
+    out = every_nth(v, every)
+    if (by, bx) == (1, 1):
+        return out
+    views = out.views.withColumns({"x_shift_px": (F.col("x_shift_px") / bx).cast("float"), "y_shift_px": (F.col("y_shift_px") / by).cast("float")}).orderBy("position")
+    return Validation(views, out.duplicates, out.missing, out.summary | _totals(views), [*out.warnings, f"further binning {by} x {bx}"])

@@ -7,7 +7,7 @@ padding, transposition. Every step is also a column expression of ``operators.ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,11 @@ class Preprocessing:
             raise ValueError(f"unknown drift stage {self.drift_stage}")
 
 
+def coarser(p: Preprocessing, by: int, bx: int) -> Preprocessing:
+    """For a quick run: binning by further factors, margins in the coarser pixels, rounded up."""
+    return replace(p, binning=(p.binning[0] * by, p.binning[1] * bx), crop=tuple(-(-m // f) for m, f in zip(p.crop, (by, by, bx, bx), strict=True)))
+
+
 def field_of(images: DataFrame | None, name: str) -> np.ndarray | None:
     """The mean image of a field's frames, all of one shape. One detector frame: its size does not grow with the views."""
     if images is None:

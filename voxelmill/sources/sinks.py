@@ -40,6 +40,12 @@ def write_rows(spark: SparkSession, rows: Sequence[dict], path: str) -> DataFram
     return df
 
 
+def write_shifts(views: DataFrame, path: str, position: str = "view_idx") -> None:
+    """x_shift_px and y_shift_px in view order, as ``tables.read_shifts`` reads them."""
+    df = views.select(F.col(position).alias("__at"), F.col("x_shift_px").cast("double"), F.col("y_shift_px").cast("double"))
+    df.orderBy("__at").drop("__at").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def union_rows(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators import kernels
 from voxelmill.operators.joins import resolve_files
-from voxelmill.sources.tables import list_files
+from voxelmill.sources.tables import hadoop_path, list_files
 
 PATTERNS = ("*.tif", "*.tiff")
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8}
@@ -86,8 +86,8 @@ def image_2d(a: np.ndarray) -> np.ndarray:
     return a.astype(np.float32)
 
 
-def read_images(spark: SparkSession, folder: str, binning: tuple[int, int] = (1, 1), margins: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
-    """(path, rows, cols, data) of the images of a folder, binned and cropped as they are decoded, so that full frames never leave a task."""
+def read_images(spark: SparkSession, folder: str, binning: tuple[int, int] = (1, 1), margins: tuple[int, int, int, int] = (0, 0, 0, 0), recursive: bool = False) -> DataFrame:
+    """(path, rows, cols, data) of the images of a folder (recursive: and of those below it), binned and cropped as they are decoded, so that full frames never leave a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,7 +96,7 @@ def read_images(spark: SparkSession, folder: str, binning: tuple[int, int] = (1,
                 yield pd.DataFrame({"path": [path], "rows": [image.shape[0]], "cols": [image.shape[1]], "data": [image.reshape(-1)]})
 
     schema = "path string, rows int, cols int, data array<float>"
-    files = list_files(spark, folder, PATTERNS)
+    files = list_files(spark, folder, PATTERNS, recursive)
     if not files:
         return spark.createDataFrame([], schema)
     # one file a row; a few rows a batch, as frames are large
@@ -104,8 +104,11 @@ def read_images(spark: SparkSession, folder: str, binning: tuple[int, int] = (1,
 
 
 def read_stack(spark: SparkSession, views: DataFrame, folder: str, binning: tuple[int, int] = (1, 1), margins: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
-    """views (view_idx, filename, ...) with rows, cols and data; a missing file or a differing shape is an error. Rows keep the views' index."""
-    images = read_images(spark, folder, binning, margins).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    """views (view_idx, filename, ...) with rows, cols and data; names may have folders; a missing file or a differing shape is an error. Rows keep the views' index."""
+    nested = not views.where(F.contains(F.trim("filename"), F.lit("/"))).isEmpty()
+    root = F.lit(hadoop_path(spark, folder)[1].toUri().getPath().rstrip("/") + "/")
+    own = F.element_at(F.split("path", "/"), -1) if not nested else F.expr("path").substr(F.instr(F.col("path"), root) + F.length(root), F.length("path"))
+    images = read_images(spark, folder, binning, margins, nested).withColumn("path", own)
     found = resolve_files(views.drop("path", "exists"), images.select("path")).join(images, "path", "left").withColumn("exists", F.col("data").isNotNull())
     shapes = found.agg(F.count_if(F.col("data").isNull()).alias("missing"), F.count_distinct("rows", "cols").alias("shapes")).first()
     if shapes["missing"]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from voxelmill.session import checkpoint_folder
 from voxelmill.sources.tables import parse_telemetry
 
 
@@ -70,11 +71,22 @@ def latest_only(df: DataFrame, request: str, key: str) -> DataFrame:
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, as a table; for tests and queries."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Everything that is there now, as Parquet below the shared checkpoint folder; nothing of the result is on the driver.
+
+    A batch that is run again writes over what it wrote. Mode "complete" has the last batch only, "update" the updates of all batches
+    under their number ``batch``.
+    """
+    spark = df.sparkSession
+    root = f"{checkpoint_folder(spark)}/{name}"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={0 if mode == 'complete' else batch}")
+
+    writer = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).trigger(availableNow=True)
+    query: StreamingQuery = writer.option("checkpointLocation", checkpoint or f"{root}/state").start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    found = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows") if query.lastProgress else spark.createDataFrame([], df.schema).withColumn("batch", F.lit(0).cast("long"))
+    return found if mode == "update" else found.drop("batch")
 
 
 def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every: str = "2 seconds") -> StreamingQuery:
