@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.plans import cubes, images, iterative, selection, tables
+from voxelmill.plans import cubes, images, iterative, remaining, round_trips, selection, tables
 
-MODULES = [selection, images, cubes, tables, iterative]
+MODULES = [selection, images, cubes, tables, iterative, remaining, round_trips]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

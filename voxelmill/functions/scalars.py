@@ -136,7 +136,10 @@ def batches_per_sweep(views: Column, subsets: Column, batch: Column) -> Column:
 
 
 def general_number(x: Column, digits: int = 6) -> Column:
-    """A number as C's ``%.<digits>g`` writes it: so many digits at most, no zeros at the end, an exponent below -4 and from digits on."""
+    """A number as C's ``%.<digits>g`` writes it: so many digits at most, no zeros at the end, an exponent below -4 and from digits on.
+
+    What is rounded (half up) is the shortest decimal that reads back as x, where C rounds the binary value itself.
+    """
     text = F.format_string(f"%.{digits - 1}e", F.abs(x).cast("double"))
     power = F.element_at(F.split(text, "e"), -1).try_cast("int")
     figures = F.replace(F.element_at(F.split(text, "e"), 1), F.lit("."), F.lit(""))

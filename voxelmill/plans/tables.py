@@ -306,7 +306,19 @@ QUERIES = {
         "WITH e AS (SELECT label, vec_id, pow(1 + vec_id % 3, 2) AS w, embedding FROM embeddings), a AS (SELECT label, round(sum(radians(vec_id) * w) / sum(w), 6) + 0.0 AS angle_rad, round(sqrt(sum(w)), 6) + 0.0 AS weight, count(*) AS merged FROM e GROUP BY 1), p AS (SELECT label, w, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM e) SELECT label, angle_rad, weight, merged, i, round(CAST(CAST(sum(v * w) / sum(w) AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM p JOIN a USING (label) GROUP BY ALL",
     ),
     "angle_sort_split": (angle_sort_split, _SPLIT),
-    "tolerance_cluster": (tolerance_cluster, None),
+    "tolerance_cluster": (
+        tolerance_cluster,
+        # each step takes the first angle left as a seed, with all angles left within the tolerance around the circle
+        """WITH RECURSIVE a AS (SELECT list(s_suppkey ORDER BY angle, s_suppkey) AS ids, list(angle ORDER BY angle, s_suppkey) AS l
+             FROM (SELECT s_suppkey, s_suppkey * CAST(0.37 AS DOUBLE) % CAST(6.2831 AS DOUBLE) AS angle FROM supplier)),
+           r AS (SELECT -1 AS cluster, CAST(NULL AS BIGINT) AS seed, range(1, len(l) + 1) AS rest, CAST([] AS BIGINT[]) AS members FROM a
+             UNION ALL
+             SELECT cluster + 1, rest[1], list_filter(rest, lambda p: p <> rest[1] AND abs((l[p] - l[rest[1]] + pi()) - 2 * pi() * floor((l[p] - l[rest[1]] + pi()) / (2 * pi())) - pi()) > 0.05),
+                    list_filter(rest, lambda p: p = rest[1] OR abs((l[p] - l[rest[1]] + pi()) - 2 * pi() * floor((l[p] - l[rest[1]] + pi()) / (2 * pi())) - pi()) <= 0.05)
+             FROM r, a WHERE len(rest) > 0),
+           m AS (SELECT cluster, seed, unnest(members) AS p FROM r WHERE cluster >= 0)
+           SELECT ids[p] AS view_idx, cluster, ids[seed] AS seed FROM m, a""",
+    ),
     "wrapped_angles": (
         wrapped_angles,
         f"WITH a AS (SELECT s_suppkey AS view_idx, s_suppkey * 2.399963 - 100.0 AS a FROM supplier) SELECT view_idx, round(a - floor(a / {2 * math.pi!r}) * {2 * math.pi!r}, 6) + 0.0 AS wrapped, round(abs((a - 1 + {math.pi!r}) - floor((a - 1 + {math.pi!r}) / {2 * math.pi!r}) * {2 * math.pi!r} - {math.pi!r}), 6) + 0.0 AS distance, round(degrees(a), 4) + 0.0 AS degrees FROM a",

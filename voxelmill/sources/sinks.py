@@ -152,9 +152,10 @@ def report(title: str, sections: dict[str, dict | Sequence[str]]) -> str:
 
 def preview(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """df with ``gray``: the image between its percentiles as 0 to 255."""
-    ends = df.withColumns({"__a": percentile(F.col("data"), low), "__b": percentile(F.col("data"), high)})
-    scaled = F.transform("data", lambda v: F.round(clip((v - F.col("__a")) / F.greatest(F.col("__b") - F.col("__a"), F.lit(1e-12)), 0.0, 1.0) * 255).cast("int"))
-    return ends.withColumn("gray", scaled).drop("__a", "__b")
+    # the ends are bound once, as a one-element array, so that the sort is not repeated per pixel
+    ends = F.array(F.struct(percentile(F.col("data"), low).alias("a"), percentile(F.col("data"), high).alias("b")))
+    scaled = F.transform(ends, lambda e: F.transform("data", lambda v: F.round(clip((v - e["a"]) / F.greatest(e["b"] - e["a"], F.lit(1e-12)), 0.0, 1.0) * 255).cast("int")))
+    return df.withColumn("gray", F.get(scaled, 0))
 
 
 def config_hash(config: dict) -> str:
