@@ -175,6 +175,20 @@ def shannon_entropy(image: Column, bins: int = 256) -> Column:
     return F.get(F.transform(F.array(binned), entropy), 0)
 
 
+def ssim(a: Column, b: Column, rows: int, cols: int) -> Column:
+    """Mean structural similarity of two images over 7 x 7 windows; the span of values is the first image's."""
+    from voxelmill.operators import kernels
+
+    @F.pandas_udf("double")
+    def run(x, y):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series([kernels.ssim(np.asarray(p, float).reshape(rows, cols), np.asarray(q, float).reshape(rows, cols)) for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
 def min_max(df: DataFrame, column: str, out: str, higher_is_better: bool = True) -> DataFrame:
     """column scaled to [0, 1] over the rows (NaN as the least), turned around if lower is better."""
     x = F.when(finite(F.col(column)), F.col(column).cast("double"))

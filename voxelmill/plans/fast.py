@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,10 @@ from voxelmill.functions.geometry import FILTERS, Geometry
 from voxelmill.operators import arrays, kernels, linear, merge, select, stats
 
 
+#: Candidate shifts that a copy of a view's lines is reconstructed with.
+SHIFTS = 16
+
+
 def anchor_weights(views: DataFrame, main_exposure: float | None = None, anchor_exposure: float | None = None, multiplier: float = 1.0, ratio: float = 10.0) -> DataFrame:
     """views (dataset main or anchor, mean_raw) with normalised ``weight``; the main median scales both."""
     parts = []
@@ -101,7 +105,7 @@ def _volume(slices: DataFrame, g: Geometry) -> np.ndarray:
 def prior_candidates(spark: SparkSession, x: np.ndarray, residual: Callable[[np.ndarray], float], tv_weights: Sequence[float] = (0.005, 0.01, 0.02, 0.04), percentiles: tuple[float, float] = (0.5, 99.5), limits: tuple[float, float] = (-0.1, 1.2), sigma: float = 2.0, dilation: int = 8, noise_sigma: float = 1.5, epsilon: float = 1e-4, iterations: int = 50, slab: int = 96, overlap: int = 12, max_ratio: float = 1.10, min_edges: float = 0.85, max_correction: float = 0.15, by_noise: bool = True, confidence: tuple[float, float, float, float] = (0.35, 1.5, 0.05, 1.0)) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """(prior, confidence, scores): denoised candidates of rising strength, the accepted one of least background noise.
 
-    Candidates are tasks of one job; the normalised volume is broadcast to them (the caller holds it on the driver as it is).
+    Every slab is a task of its own, which is given just its slices and denoises them at each strength.
     """
     mask = kernels.support_mask(x, sigma, dilation)
     low, high = np.percentile(x[mask], percentiles)
@@ -112,17 +116,23 @@ def prior_candidates(spark: SparkSession, x: np.ndarray, residual: Callable[[np.
     base = residual(z)
     edges = np.sqrt((kernels.grad3(z) ** 2).sum(axis=0))
     strong = mask & (edges >= np.percentile(edges[mask], 95))
-    sent = spark.sparkContext.broadcast(z)
+    cuts, (ny, nx) = kernels.slabs(len(z), slab, overlap), x.shape[1:]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube, total = np.zeros(sent.value.shape), np.zeros(sent.value.shape[0])
-        for a, b in kernels.slabs(len(cube), slab, overlap):
-            cube[a:b] += kernels.tv_denoise(sent.value[a:b], float(pdf["tv_weight"].iloc[0]), epsilon, iterations)
-            total[a:b] += 1
-        return pd.DataFrame({"candidate": [pdf["candidate"].iloc[0]], "data": [(cube / total[:, None, None]).reshape(-1)]})
-
-    grid = spark.createDataFrame([(k, float(w)) for k, w in enumerate(tv_weights)], "candidate int, tv_weight double")
-    made = {r["candidate"]: np.asarray(r["data"]).reshape(x.shape) for r in grid.groupBy("candidate").applyInPandas(run, "candidate int, data array<double>").toLocalIterator()}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, raw in zip(pdf["a"], pdf["raw"], strict=True):
+                part = np.frombuffer(raw).reshape(-1, ny, nx)
+                for k, w in enumerate(tv_weights):
+                    yield pd.DataFrame({"candidate": [k], "a": [a], "raw": [kernels.tv_denoise(part, float(w), epsilon, iterations).tobytes()]})
+
+    parts = spark.createDataFrame([(a, z[a:b].tobytes()) for a, b in cuts], "a int, raw binary").repartition(len(cuts), "a")
+    made, total = {k: np.zeros(z.shape) for k in range(len(tv_weights))}, np.zeros(len(z))
+    for a, b in cuts:
+        total[a:b] += 1
+    for r in parts.mapInPandas(run, "candidate int, a int, raw binary").toLocalIterator():
+        done = np.frombuffer(bytes(r["raw"])).reshape(-1, ny, nx)
+        made[r["candidate"]][r["a"] : r["a"] + len(done)] += done
+    made = {k: v / total[:, None, None] for k, v in made.items()}
     rows = []
     for k, w in enumerate(tv_weights):
         c = made[k]
@@ -152,33 +162,53 @@ def qc_table(spark: SparkSession, volumes: dict[str, np.ndarray], sets: dict[str
     return spark.createDataFrame(rows, "position int, volume string, split string, residual double")
 
 
+def residual_images(spark: SparkSession, volumes: dict[str, np.ndarray], held_out: tuple[object, np.ndarray, np.ndarray | None]) -> DataFrame:
+    """(volume, view, rows, cols, data): predicted less measured images of the qc set, weighted, for every volume."""
+    op, images, w = held_out
+    ww, rows = 1.0 if w is None else w.reshape(-1, 1, 1), []
+    for name, x in volumes.items():
+        left = np.asarray(ww * (op.forward(x) - images), np.float32)
+        rows += [(name, k, *image.shape, image.reshape(-1).tolist()) for k, image in enumerate(left)]
+    return spark.createDataFrame(rows, "volume string, view int, rows int, cols int, data array<float>")
+
+
 def centre_search(views: DataFrame, g: Geometry, shifts: Sequence[float], name: str = "ram_lak", metric: str = "combined_score") -> tuple[DataFrame, float | None]:
     """(scores, best shift): a one-slice reconstruction for each candidate shift, scored by sharpness.
 
-    The middle detector rows of all views are collected once (rows x cols numbers) and broadcast; candidates are tasks.
+    Views stay where they are: each task filters its views' middle detector rows once for each shift and adds up its part of the slice;
+    the parts of a candidate are added slice row by slice row.
     """
-    spark = views.sparkSession
     rows, cols = g.detector_pixels
     low, high = max(0, rows // 2 - 2), min(rows, rows // 2 + 3)
     line = F.slice("data", low * cols + 1, (high - low) * cols)
-    got = [(r["angle_rad"], np.asarray(r["line"], np.float64).reshape(high - low, cols)) for r in views.select("angle_rad", line.alias("line")).collect()]
-    sent = spark.sparkContext.broadcast(got)
+    ny, nx = g.volume_voxels[1:]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from dataclasses import replace
 
         from voxelmill.functions import geometry
 
-        shift = float(pdf["shift_px"].iloc[0])
-        flat = replace(g, detector_pixels=(high - low, cols), volume_voxels=(1, *g.volume_voxels[1:]), centre_offset_px=shift, detector_offset_px=(0.0, g.detector_offset_px[1]))
-        image = np.zeros(g.volume_voxels[1:])
-        for angle, lines in sent.value:
-            f = geometry.filter_projection(lines, flat, name)
-            image += geometry.backproject_filtered(f, flat, float(flat.angles(np.array([angle]))[0]), np.array([0]))[0]
-        return pd.DataFrame({"candidate": [pdf["candidate"].iloc[0]], "shift_px": [shift], "rows": [image.shape[0]], "cols": [image.shape[1]], "data": [image.reshape(-1).astype(np.float32)]})
-
-    grid = spark.createDataFrame([(k, float(s)) for k, s in enumerate(shifts)], "candidate int, shift_px double")
-    images = grid.groupBy("candidate").applyInPandas(run, "candidate int, shift_px double, rows int, cols int, data array<float>")
+        for pdf in batches:
+            for group, part in pdf.groupby("group"):
+                for k in range(group, min(len(shifts), group + SHIFTS)):
+                    flat = replace(g, detector_pixels=(high - low, cols), volume_voxels=(1, ny, nx), centre_offset_px=float(shifts[k]), detector_offset_px=(0.0, g.detector_offset_px[1]))
+                    image = np.zeros((ny, nx))
+                    for angle, lines in zip(part["angle_rad"], part["line"], strict=True):
+                        f = geometry.filter_projection(np.asarray(lines, np.float64).reshape(high - low, cols), flat, name)
+                        image += geometry.backproject_filtered(f, flat, float(flat.angles(np.array([angle]))[0]), np.array([0]))[0]
+                    yield pd.DataFrame({"candidate": k, "row": np.arange(ny), "data": list(image)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"candidate": [pdf["candidate"].iloc[0]], "row": [pdf["row"].iloc[0]], "data": [np.sum(np.stack(pdf["data"].to_list()), axis=0)]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, image = int(pdf["candidate"].iloc[0]), np.concatenate(pdf.sort_values("row")["data"].to_list()).astype(np.float32)
+        return pd.DataFrame({"candidate": [k], "shift_px": [float(shifts[k])], "rows": [ny], "cols": [nx], "data": [image]})
+
+    groups = F.array(*[F.lit(k) for k in range(0, len(shifts), SHIFTS)])
+    each = views.select("angle_rad", line.alias("line"), F.explode(groups).alias("group"))
+    summed = each.mapInPandas(run, "candidate int, row int, data array<double>").groupBy("candidate", "row").applyInPandas(add, "candidate int, row int, data array<double>")
+    images = summed.groupBy("candidate").applyInPandas(whole, "candidate int, shift_px double, rows int, cols int, data array<float>")
     return score_images(images, metric)
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.functions.geometry import Geometry
+from voxelmill.functions.geometry import Geometry, ray_weights
 from voxelmill.operators import linear, solvers
 from voxelmill.plans.images import rounded
 from voxelmill.streaming import monitors
@@ -31,6 +31,14 @@ def forward_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("volume_id", "view_idx", "pixel", rounded(F.col("value"), 4).alias("value"))
 
 
+def _projection_sql() -> str:
+    """The projections as a join with the relation's rows, which the geometry gives as numbers."""
+    rows = [(view, int(p), int(v), float(w)) for view in range(12) for p, v, w in zip(*ray_weights(PHANTOM, view * (np.pi / 6)), strict=True)]
+    values = ", ".join(f"({a}, {b}, {c}, {w!r}::DOUBLE)" for a, b, c, w in rows)
+    pixels = "px AS (SELECT vec_id, abs(CAST(unnest(embedding) AS DOUBLE)) AS v, generate_subscripts(embedding, 1) - 1 AS voxel FROM embeddings)"
+    return f"WITH m(view_idx, pixel, voxel, w) AS (VALUES {values}), {pixels} SELECT vec_id AS volume_id, CAST(view_idx AS BIGINT) AS view_idx, CAST(pixel AS BIGINT) AS pixel, round(sum(w * v), 4) + 0.0 AS value FROM px JOIN m USING (voxel) GROUP BY 1, 2, 3"
+
+
 def forward_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity relation gives back each pixel."""
     px = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("k", "v")).select((F.col("vec_id") * 64 + F.col("k")).alias("voxel"), F.col("v").cast("double").alias("value"))
@@ -89,7 +97,7 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "forward_identity": (forward_identity, "SELECT vec_id AS view_idx, i AS pixel, round(v, 5) + 0.0 AS value FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"),
-    "forward_projection": (forward_projection, None),
+    "forward_projection": (forward_projection, _projection_sql()),
     "solver_metrics": (solver_metrics, None),
     "cg_tables": (cg_tables, "SELECT c_custkey AS i, round(c_acctbal / 1000 / (2 + c_nationkey % 5), 7) + 0.0 AS value FROM customer"),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 9) + 0.0 AS mean FROM events GROUP BY 1, 2"),

@@ -61,6 +61,37 @@ def _cells(df: DataFrame) -> DataFrame:
     return df.select("volume_id", "z", F.posexplode("data").alias("k", "v")).select("volume_id", (F.col("z") * 16 + F.col("k")).cast("long").alias("i"), rounded(F.col("v").cast("double"), 4).alias("value"))
 
 
+def _with_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = images(spark, sf_dir)
+    return df.join(stats.mean_field(df, keys=["label"]).select("label", F.col("data").cast("array<double>").alias("mean")), "label")
+
+
+def ssim_to_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural similarity of each image to its data set's mean image."""
+    return _with_means(spark, sf_dir).select("vec_id", rounded(stats.ssim(F.col("data"), F.col("mean"), SIDE, SIDE), 5).alias("ssim"))
+
+
+def confidence_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole confidence map of each volume: its distance to the mean volume as correction, a tenth of its values as lost gradient."""
+
+    @F.pandas_udf("array<double>")
+    def run(data, mean):
+        import numpy as np
+        import pandas as pd
+
+        from voxelmill.operators import kernels
+
+        out = []
+        for d, m in zip(data, mean, strict=True):
+            x = np.asarray(d, float).reshape(4, 4, 4)
+            delta = np.abs(x - np.asarray(m, float).reshape(4, 4, 4))
+            out.append(kernels.confidence(delta, np.abs(x) / 10, np.ones(x.shape, bool), 0.35, 0.6, 0.05, 1.0).astype(float).reshape(-1))
+        return pd.Series(out)
+
+    got = _with_means(spark, sf_dir).select("vec_id", run("data", "mean").alias("data"))
+    return got.select("vec_id", F.posexplode("data").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), rounded(F.col("v"), 4).alias("value"))
+
+
 def _pixels(expr) -> callable:
     return lambda spark, sf_dir: long_form(images(spark, sf_dir), expr(F.col("data")))
 
@@ -134,13 +165,31 @@ _KERNEL = """g AS (SELECT k, exp(-k * k / (2 * 0.6 * 0.6)) AS w FROM (SELECT unn
 m AS (SELECT c, CASE WHEN c + k < 0 THEN -c - k - 1 WHEN c + k > 3 THEN 7 - c - k ELSE c + k END AS s, sum(w / (SELECT sum(w) FROM g)) AS w
       FROM g, (SELECT unnest(range(4)) AS c) GROUP BY 1, 2)"""
 
+_MEAN = "mf AS (SELECT label, i, CAST(CAST(avg(v) AS FLOAT) AS DOUBLE) AS m FROM px GROUP BY 1, 2)"
+#: Three passes of the kernel over the table c (vec_id, z, y, x, v).
+_BLUR = "p AS (SELECT vec_id, z, y, m.c AS x, sum(w * v) AS v FROM c JOIN m ON m.s = c.x GROUP BY 1, 2, 3, 4), q AS (SELECT vec_id, z, m.c AS y, x, sum(w * v) AS v FROM p JOIN m ON m.s = p.y GROUP BY 1, 2, 3, 4), r AS (SELECT vec_id, m.c AS z, y, x, sum(w * v) AS v FROM q JOIN m ON m.s = q.z GROUP BY 1, 2, 3, 4)"
+
 QUERIES = {
+    "ssim_to_mean": (
+        ssim_to_mean,
+        f"""WITH {PIXELS}, {_MEAN}, d AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, v AS x, m AS y, max(v) OVER (PARTITION BY vec_id) - min(v) OVER (PARTITION BY vec_id) AS span FROM px JOIN mf USING (label, i)),
+            w AS (SELECT vec_id, a.r AS r0, b.c AS c0, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cv, any_value(span) AS s
+                  FROM d JOIN (SELECT unnest([0, 1]) AS r) a ON d.r BETWEEN a.r AND a.r + 6 JOIN (SELECT unnest([0, 1]) AS c) b ON d.c BETWEEN b.c AND b.c + 6 GROUP BY 1, 2, 3)
+            SELECT vec_id, round(avg((2 * mx * my + pow(0.01 * s, 2)) * (2 * cv + pow(0.03 * s, 2)) / ((mx * mx + my * my + pow(0.01 * s, 2)) * (vx + vy + pow(0.03 * s, 2)))), 5) + 0.0 AS ssim FROM w GROUP BY 1""",
+    ),
+    "confidence_volumes": (
+        confidence_volumes,
+        f"""WITH {PIXELS}, {_MEAN}, d AS (SELECT vec_id, i, v, abs(v - m) AS d FROM px JOIN mf USING (label, i)),
+            t AS (SELECT vec_id, 2 * quantile_cont(d, 0.5) + 1e-12 AS tau FROM d GROUP BY 1),
+            c AS (SELECT vec_id, i // 16 AS z, i // 4 % 4 AS y, i % 4 AS x, exp(-pow(d / tau, 2)) * exp(-pow(abs(v) / 10 / 0.35, 2)) AS v FROM d JOIN t USING (vec_id)),
+            {_KERNEL}, {_BLUR} SELECT vec_id, z * 16 + y * 4 + x AS i, round(CAST(CAST(least(greatest(v, 0.05), 1.0) AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM r""",
+    ),
     "backproject_sparse": (backproject_sparse, f"WITH {_REL} SELECT voxel, round(sum(w * value), 4) + 0.0 AS value FROM a JOIN b USING (view_idx, pixel) GROUP BY 1"),
     "normal_sparse": (normal_sparse, f"WITH {_REL}, {_FWD} SELECT voxel, round(sum(w * p), 3) + 0.0 AS value FROM a JOIN f USING (view_idx, pixel) GROUP BY 1"),
     "batch_gradient_sparse": (batch_gradient_sparse, f"WITH {_REL}, {_FWD} SELECT voxel, round(5 * sum(w * (p - value)), 3) + 0.0 AS value FROM a JOIN f USING (view_idx, pixel) JOIN b USING (view_idx, pixel) WHERE view_idx % 5 = 0 GROUP BY 1"),
     "smooth_volumes": (
         smooth_volumes,
-        f"WITH {_CELLS}, {_KERNEL}, p AS (SELECT vec_id, z, y, m.c AS x, sum(w * v) AS v FROM c JOIN m ON m.s = c.x GROUP BY 1, 2, 3, 4), q AS (SELECT vec_id, z, m.c AS y, x, sum(w * v) AS v FROM p JOIN m ON m.s = p.y GROUP BY 1, 2, 3, 4), r AS (SELECT vec_id, m.c AS z, y, x, sum(w * v) AS v FROM q JOIN m ON m.s = q.z GROUP BY 1, 2, 3, 4) SELECT vec_id AS volume_id, z * 16 + y * 4 + x AS i, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM r",
+        f"WITH {_CELLS}, {_KERNEL}, {_BLUR} SELECT vec_id AS volume_id, z * 16 + y * 4 + x AS i, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM r",
     ),
     "slab_average": (
         slab_average,
