@@ -92,6 +92,46 @@ def confidence_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("vec_id", F.posexplode("data").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), rounded(F.col("v"), 4).alias("value"))
 
 
+def _cube_udf(schema: str, fn):
+    """fn on the 4 x 4 x 4 volume of a row."""
+
+    @F.pandas_udf(schema)
+    def run(data):
+        import numpy as np
+        import pandas as pd
+
+        out = [fn(np.asarray(d, float).reshape(4, 4, 4)) for d in data]
+        return pd.DataFrame(out) if schema.count(" ") else pd.Series(out)
+
+    return run
+
+
+def support_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The support mask of each volume, and its own closing and dilation of what exceeds 0.5."""
+    from voxelmill.operators import kernels
+
+    flat = lambda mask: mask.astype(int).reshape(-1).tolist()
+    run = _cube_udf("support array<int>, closed array<int>, dilated array<int>", lambda x: {"support": flat(kernels.support_mask(x, 0.6, 1)), "closed": flat(kernels.close(x > 0.5)), "dilated": flat(kernels.dilate(x > 0.5, 2))})
+    got = images(spark, sf_dir).select("vec_id", run("data").alias("m")).select("vec_id", F.posexplode(F.arrays_zip("m.support", "m.closed", "m.dilated")).alias("i", "m"))
+    return got.select("vec_id", F.col("i").cast("long").alias("i"), F.col("m.support").alias("support"), F.col("m.closed").alias("closed"), F.col("m.dilated").alias("dilated"))
+
+
+def denoise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each volume: the noise above a Gaussian of 0.6, and what that smoothing changes and keeps of the strongest edges."""
+    from voxelmill.operators import kernels
+
+    def measure(x):
+        import numpy as np
+
+        c = kernels.gaussian(x, 0.6)
+        size = lambda v: np.sqrt((kernels.grad3(v) ** 2).sum(axis=0))
+        strong = size(x) >= np.percentile(size(x), 95)
+        return {"noise": kernels.mad(x - c), "correction": float(np.abs(c - x).sum() / max(np.abs(x).sum(), 1e-12)), "edges": float(np.median(size(c)[strong]) / max(np.median(size(x)[strong]), 1e-12))}
+
+    run = _cube_udf("noise double, correction double, edges double", measure)
+    return images(spark, sf_dir).select("vec_id", run("data").alias("m")).select("vec_id", *[rounded(F.col(f"m.{c}"), 5).alias(c) for c in ("noise", "correction", "edges")])
+
+
 def _pixels(expr) -> callable:
     return lambda spark, sf_dir: long_form(images(spark, sf_dir), expr(F.col("data")))
 
@@ -169,7 +209,40 @@ _MEAN = "mf AS (SELECT label, i, CAST(CAST(avg(v) AS FLOAT) AS DOUBLE) AS m FROM
 #: Three passes of the kernel over the table c (vec_id, z, y, x, v).
 _BLUR = "p AS (SELECT vec_id, z, y, m.c AS x, sum(w * v) AS v FROM c JOIN m ON m.s = c.x GROUP BY 1, 2, 3, 4), q AS (SELECT vec_id, z, m.c AS y, x, sum(w * v) AS v FROM p JOIN m ON m.s = p.y GROUP BY 1, 2, 3, 4), r AS (SELECT vec_id, m.c AS z, y, x, sum(w * v) AS v FROM q JOIN m ON m.s = q.z GROUP BY 1, 2, 3, 4)"
 
+#: Steps to a voxel itself and its six neighbours.
+_STEPS = "o AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS t(dz, dy, dx))"
+
+
+def _morph(to: str, source: str, column: str, what: str) -> str:
+    """A table ``to`` of ``source`` (vec_id, z, y, x, column): grown to face neighbours, or kept where all six are there and set."""
+    value = f"max(n.{column})" if what == "grow" else f"CAST(sum(n.{column}) = 7 AS INTEGER)"
+    return f"{to} AS (SELECT a.vec_id, a.z, a.y, a.x, {value} AS {column} FROM {source} a, o JOIN {source} n ON n.vec_id = a.vec_id AND n.z = a.z + dz AND n.y = a.y + dy AND n.x = a.x + dx GROUP BY 1, 2, 3, 4)"
+
+
 QUERIES = {
+    "support_volumes": (
+        support_volumes,
+        f"""WITH {_CELLS}, {_KERNEL}, {_BLUR}, {_STEPS},
+            t AS (SELECT vec_id, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM px GROUP BY 1),
+            s AS (SELECT vec_id, z, y, x, CAST(v > a + 0.02 * greatest(b - a, 1e-6) AS INTEGER) AS u FROM r JOIN t USING (vec_id)),
+            {_morph("s1", "s", "u", "grow")}, {_morph("s2", "s1", "u", "shrink")}, {_morph("s3", "s2", "u", "grow")},
+            e AS (SELECT vec_id, z, y, x, CAST(v > 0.5 AS INTEGER) AS u FROM c),
+            {_morph("e1", "e", "u", "grow")}, {_morph("e2", "e1", "u", "shrink")}, {_morph("e3", "e1", "u", "grow")}
+            SELECT vec_id, z * 16 + y * 4 + x AS i, CASE WHEN (max(s.u) OVER (PARTITION BY vec_id)) = 0 THEN 1 ELSE s3.u END AS support, e2.u AS closed, e3.u AS dilated
+            FROM s JOIN s3 USING (vec_id, z, y, x) JOIN e2 USING (vec_id, z, y, x) JOIN e3 USING (vec_id, z, y, x)""",
+    ),
+    "denoise_quality": (
+        denoise_quality,
+        f"""WITH {_CELLS}, {_KERNEL}, {_BLUR},
+            d AS (SELECT vec_id, z, y, x, c.v AS v, r.v AS s FROM c JOIN r USING (vec_id, z, y, x)),
+            e AS (SELECT vec_id, v, s, sqrt(pow(coalesce(lead(v) OVER wx - v, 0), 2) + pow(coalesce(lead(v) OVER wy - v, 0), 2) + pow(coalesce(lead(v) OVER wz - v, 0), 2)) AS gv,
+                         sqrt(pow(coalesce(lead(s) OVER wx - s, 0), 2) + pow(coalesce(lead(s) OVER wy - s, 0), 2) + pow(coalesce(lead(s) OVER wz - s, 0), 2)) AS gs FROM d
+                  WINDOW wx AS (PARTITION BY vec_id, z, y ORDER BY x), wy AS (PARTITION BY vec_id, z, x ORDER BY y), wz AS (PARTITION BY vec_id, y, x ORDER BY z)),
+            t AS (SELECT vec_id, quantile_cont(gv, 0.95) AS p, quantile_cont(v - s, 0.5) AS h FROM e GROUP BY 1)
+            SELECT vec_id, round(1.4826 * quantile_cont(abs(v - s - h), 0.5), 5) + 0.0 AS noise, round(sum(abs(s - v)) / sum(abs(v)), 5) + 0.0 AS correction,
+                   round((quantile_cont(gs, 0.5) FILTER (WHERE gv >= p)) / (quantile_cont(gv, 0.5) FILTER (WHERE gv >= p)), 5) + 0.0 AS edges
+            FROM e JOIN t USING (vec_id) GROUP BY vec_id""",
+    ),
     "ssim_to_mean": (
         ssim_to_mean,
         f"""WITH {PIXELS}, {_MEAN}, d AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, v AS x, m AS y, max(v) OVER (PARTITION BY vec_id) - min(v) OVER (PARTITION BY vec_id) AS span FROM px JOIN mf USING (label, i)),
