@@ -140,6 +140,32 @@ def _angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("view_idx"), (F.col("s_suppkey") * 7.7 % 50 - 25).alias("angle"))
 
 
+def shifted_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images moved by a quarter row down and half a column left, edges repeated."""
+    moved = arrays.shift(F.col("data"), F.lit(SIDE), F.lit(SIDE), F.lit(0.25), F.lit(-0.5), 1, "nearest")
+    return long_form(images(spark, sf_dir), moved)
+
+
+def low_resolution_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and geometry coarser by two."""
+    from voxelmill.functions.geometry import Geometry
+    from voxelmill.plans.fast import low_resolution
+
+    views = images(spark, sf_dir).select(F.col("vec_id").alias("view_idx"), F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"), "data")
+    got, g = low_resolution(views, Geometry(200.0, 100.0, (SIDE, SIDE), (0.1, 0.1), (SIDE, SIDE, SIDE), (0.05, 0.05, 0.05)), 2)
+    return got.select("view_idx", "rows", "cols", F.lit(g.detector_pixel[0]).alias("pixel_mm"), F.posexplode("data").alias("i", "v")).select("view_idx", F.col("i").cast("long").alias("i"), "rows", "cols", "pixel_mm", rounded(F.col("v").cast("double")).alias("value"))
+
+
+def stacked_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main views and the anchors of the splits in use as one stack in the order of their angles."""
+    from voxelmill.plans.fast import build_stack
+
+    views = images(spark, sf_dir).select(F.col("vec_id").alias("view_idx"), (F.col("vec_id") * 7.7 % 50 - 25).alias("angle_rad"), F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"), "data", "label")
+    anchors = views.where("label >= 5").withColumn("split", F.when(F.col("view_idx") % 3 == 0, "tune").when(F.col("view_idx") % 3 == 1, "qc").otherwise("recon"))
+    got = build_stack(views.where("label < 5").drop("label"), anchors.drop("label"), combine=False)
+    return got.select(F.col("view_idx").cast("long").alias("view_idx"), rounded(F.col("angle_rad"), 6).alias("angle_rad"), rounded(F.col("data")[0].cast("double"), 5).alias("first"))
+
+
 def raw_angle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.by_angle(_angles(spark, sf_dir), "angle", "view_idx", wrapped=False).select("view_idx", F.col("rank").cast("long").alias("rank"))
 
@@ -220,6 +246,20 @@ def _morph(to: str, source: str, column: str, what: str) -> str:
 
 
 QUERIES = {
+    "shifted_pixels": (
+        shifted_pixels,
+        f"""WITH {PIXELS}, p AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, v FROM px), k AS (SELECT unnest(range(8)) AS k),
+            a AS (SELECT p.vec_id, k.k AS r, p.c, sum(CASE WHEN p.r = k.k THEN 0.75 ELSE 0 END * v + CASE WHEN p.r = greatest(k.k - 1, 0) THEN 0.25 ELSE 0 END * v) AS v FROM p, k WHERE p.r IN (k.k, greatest(k.k - 1, 0)) GROUP BY 1, 2, 3),
+            b AS (SELECT a.vec_id, a.r, k.k AS c, sum(CASE WHEN a.c = k.k THEN 0.5 ELSE 0 END * v + CASE WHEN a.c = least(k.k + 1, 7) THEN 0.5 ELSE 0 END * v) AS v FROM a, k WHERE a.c IN (k.k, least(k.k + 1, 7)) GROUP BY 1, 2, 3)
+            SELECT vec_id, r * 8 + c AS i, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM b""",
+    ),
+    "low_resolution_views": (low_resolution_views, f"WITH {PIXELS} SELECT vec_id AS view_idx, i // 16 * 4 + i % 8 // 2 AS i, 4 AS rows, 4 AS cols, CAST(0.2 AS DOUBLE) AS pixel_mm, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM px GROUP BY 1, 2"),
+    "stacked_views": (
+        stacked_views,
+        f"""WITH e AS (SELECT vec_id, vec_id * CAST(7.7 AS DOUBLE) % 50 - 25 AS a, CAST(label >= 5 AS INTEGER) AS part, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings WHERE label < 5 OR vec_id % 3 <> 1),
+            n AS (SELECT *, row_number() OVER (ORDER BY part, vec_id) AS place FROM e)
+            SELECT row_number() OVER (ORDER BY a, place) - 1 AS view_idx, round(a, 6) + 0.0 AS angle_rad, round(v, 5) + 0.0 AS first FROM n""",
+    ),
     "support_volumes": (
         support_volumes,
         f"""WITH {_CELLS}, {_KERNEL}, {_BLUR}, {_STEPS},

@@ -80,6 +80,14 @@ def winner_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.key_values(spark, path)
 
 
+def angle_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees in a text file, one a line, as radians in the file's order."""
+    path = _folder(spark, "angles")
+    s = _supplier(spark, sf_dir).orderBy("s_suppkey").select((F.col("s_suppkey") * 0.25).cast("string").alias("value"))
+    s.coalesce(1).write.text(path)
+    return tables.angles(spark, path=path).select("view_idx", rounded(F.col("angle_rad"), 8).alias("angle_rad"))
+
+
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.split_table(_views(spark, sf_dir)).select("index", rounded(F.col("angle_rad"), 6).alias("angle_rad"), rounded(F.col("angle_deg"), 6).alias("angle_deg"), "split")
 
@@ -114,6 +122,7 @@ QUERIES = {
     "cached_stack": (cached_stack, _PIXEL + "SELECT vec_id, i, round(v, 5) + 0.0 AS value FROM px"),
     "image_files": (image_files, f"WITH {PIXELS}, p AS (SELECT vec_id, i // 16 * 4 + i % 8 // 2 AS i, v FROM px) SELECT vec_id, i, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM p GROUP BY 1, 2"),
     "winner_round_trip": (winner_round_trip, "WITH s AS (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 1) SELECT 's_suppkey' AS key, CAST(s_suppkey AS VARCHAR) AS value FROM s UNION ALL SELECT 's_name', s_name FROM s UNION ALL SELECT 's_nationkey', CAST(s_nationkey AS VARCHAR) FROM s"),
+    "angle_file": (angle_file, "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS view_idx, round(radians(s_suppkey * 0.25), 8) + 0.0 AS angle_rad FROM supplier"),
     "split_rows": (split_rows, f"WITH {_VIEWS} SELECT k AS index, round(a, 6) + 0.0 AS angle_rad, round(degrees(a), 6) + 0.0 AS angle_deg, CASE k % 3 WHEN 0 THEN 'tune' WHEN 1 THEN 'qc' ELSE 'unused' END AS split FROM v"),
     "drift_manifest": (drift_manifest, f"WITH {_VIEWS} SELECT k AS index, f AS source, 'view_' || lpad(CAST(k AS VARCHAR), 6, '0') || '.tif' AS output_name, round(degrees(a), 6) + 0.0 AS angle_deg, round(-x, 6) + 0.0 AS x_shift_px, round(y, 6) + 0.0 AS y_shift_px FROM v"),
     "preview_gray": (preview_gray, _PIXEL + "SELECT vec_id, i, CAST(round(least(greatest((v - a) / greatest(b - a, 1e-12), 0.0), 1.0) * 255) AS INTEGER) AS gray FROM px JOIN (SELECT vec_id, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b FROM px GROUP BY 1) USING (vec_id)"),
