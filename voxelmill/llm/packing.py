@@ -32,7 +32,7 @@ from voxelmill.llm._base import cut, read_table
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces that one rank bucket holds on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_000
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
