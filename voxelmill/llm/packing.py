@@ -31,6 +31,8 @@ from voxelmill.llm import tokens
 from voxelmill.llm._base import cut, read_table
 
 CAPACITY, END_ID = 1024, 2
+#: Documents whose ids a task holds at a time.
+SLICE_ROWS = 200
 #: Pieces that one rank bucket holds on average.
 BUCKET_ROWS = 8_000
 
@@ -41,15 +43,17 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(tokens.encode(text or "", vocabulary), np.uint32(end_id))
-                first = (len(ids) - 1) % capacity + 1
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    for name, value in zip(out, (doc_id, k, a, b - a, ids[a:b].astype("<u4").tobytes()), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["ids"], pa.binary())], list(out))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = np.append(tokens.encode(text.as_py() or "", vocabulary), np.uint32(end_id))
+                    first = (len(ids) - 1) % capacity + 1
+                    cuts = [0, *range(first, len(ids) + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        for name, value in zip(out, (doc_id, k, a, b - a, ids[a:b].astype("<u4").tobytes()), strict=True):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["ids"], pa.binary())], list(out))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
