@@ -204,7 +204,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     kept = cut(per_term.select("lang", "term", "all"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("in_all"))
     chunks = F.greatest(F.ceil(F.col("v") / CHUNK), F.lit(1)).cast("long")
-    dealt = kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks))
+    dealt = kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks)).repartition("lang", "chunk")
     numbered = dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")).cast("long"))
 
     known = cut(counts.where("term <> ''").select("lang", "source", "term", "n").join(numbered, ["lang", "term"]))
