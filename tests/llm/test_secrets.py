@@ -1,5 +1,6 @@
 import hashlib
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -148,3 +149,16 @@ def test_query_against_plain_loop(spark):
             want.append((r["doc_id"], a, b, hashlib.sha256(t[a:b].encode()).hexdigest(), round(p, 4), p >= 0.5))
     got = [(*tuple(r)[:4], round(r["score"], 4), r["is_secret"]) for r in secrets.query(spark, sf).collect()]
     assert len(want) > 5 and sorted(got) == sorted(want)
+
+
+def test_long_runs_are_linear_and_names_have_no_greatest_length():
+    began = time.perf_counter()
+    for text in ("a" * 2_000_000, "A" * 2_000_000, "ab-" * 700_000, "a_" * 1_000_000 + "=", "key" * 600_000 + " =" * 100, "token:" * 300_000, "=" * 2_000_000, "a=" * 500_000):
+        secrets.candidates(text)
+    assert time.perf_counter() - began < 20
+    began = time.perf_counter()
+    assert secrets.candidates("q" * 2_000_000) == [] and time.perf_counter() - began < 1
+    spans = lambda text: [text[a:b] for a, b in secrets.candidates(text)]
+    assert spans("token_for_the_production_environment_v2 = 'hunter2x'") == ["hunter2x"]
+    assert spans("the_password_" + "of_a_very_long_name_" * 3 + "here: hunter2x") == ["hunter2x"]
+    assert spans('"my.secret-name"  : "abcdefgh"') == ["abcdefgh"] and spans("width = 'hunter2x'") == []

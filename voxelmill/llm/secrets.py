@@ -34,11 +34,11 @@ MIN_TOKEN, MIN_VALUE, AROUND = 12, 6, 48
 #: Labelled findings that a forest learns from at most.
 MAX_FINDINGS = 20_000
 _TOKENS = re.compile(r"[A-Za-z0-9_+/=\-.~]+")
-#: A digit, or an upper-case letter after a lower-case one: what no plain word has.
-_MIXED = re.compile("[0-9]|[a-z][^a-zA-Z]*[a-z]*[A-Z]")
-_ASSIGN = re.compile(r"[=:]")
-_VALUE = re.compile(r"[=:]{1,2}>?[ \t]{0,3}[\"'`]?([^\s\"'`,;<>]{6,})")
-_NAME = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key)[\w.\-]{0,20}[\"'`]?[ \t]{0,3}$")
+_DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
+_OPEN, _STOP = re.compile(r"([=:]{1,2})>?[ \t]{0,3}[\"'`]?"), re.compile(r"[\s\"'`,;<>]")
+#: A whole name before = or :, of any length; it begins where a run begins and is not tried again within it, so the search is linear.
+_NAME = re.compile(r"(?<![\w.\-])([\w.\-]++)[\"'`]?[ \t]{0,3}+(?=[=:])")
+_CREDENTIAL = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key")
 _PEM = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
 _SCHEME = re.compile(r"[\w+.\-]*(?=://)")
 _URL = re.compile(r"://[^\s/?#:@\"<>`]*:([^\s/?#\"<>`]+)@")
@@ -69,8 +69,13 @@ class Finding:
     label: int = 0
 
 
+def _mixed(text: str, a: int, b: int) -> bool:
+    """A digit, or an upper-case letter after a lower-case one: what no plain word has."""
+    return bool(_DIGIT.search(text, a, b)) or bool((low := _LOWER.search(text, a, b)) and _UPPER.search(text, low.end(), b))
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of candidates, in order, none inside another."""
+    """Spans of candidates, in order, none inside another; every search is linear in the text."""
     spans: dict[int, int] = {}
     begin = None
     for m in _PEM.finditer(text):
@@ -90,7 +95,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         spans[m.start(1)] = max(m.end(1), spans.get(m.start(1), 0))
     for m in _TOKENS.finditer(text):
         a, b = m.span()
-        if b - a < MIN_TOKEN or not _MIXED.search(text, a, b):
+        if b - a < MIN_TOKEN or not _mixed(text, a, b):
             continue
         # an assignment's name is no part of the token, padding of base64 is
         eq = text.find("=", a, b - 2)
@@ -98,11 +103,20 @@ def candidates(text: str) -> list[tuple[int, int]]:
             a, eq = eq + 1, text.find("=", eq + 1, b - 2)
         while b > a and text[b - 1] in ".-":
             b -= 1
-        if b - a >= MIN_TOKEN and _MIXED.search(text, a, b):
+        if b - a >= MIN_TOKEN and _mixed(text, a, b):
             spans[a] = max(b, spans.get(a, 0))
-    for m in _ASSIGN.finditer(text):
-        if _NAME.search(text, max(0, m.start() - 40), m.start()) and (v := _VALUE.match(text, m.start())) and not ((u := _SCHEME.match(text, v.start(1))) and u.end() in urls):
-            spans[v.start(1)] = max(v.end(1), spans.get(v.start(1), 0))
+    stop = 0  # values of one run end where it does, so each run's end is looked for once
+    for m in _NAME.finditer(text):
+        if not _CREDENTIAL.search(text, m.start(1), m.end(1)):
+            continue
+        o = _OPEN.match(text, m.end())
+        for a in [o.end()] + ([m.end() + 1] if len(o.group(1)) == 2 else []):  # a second sign may belong to the value
+            if a >= stop:
+                stop = end.start() if (end := _STOP.search(text, a)) else len(text)
+            if stop - a >= MIN_VALUE:
+                if not ((u := _SCHEME.match(text, a)) and u.end() in urls):
+                    spans[a] = max(stop, spans.get(a, 0))
+                break
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans.items(), key=lambda x: (x[0], -x[1])):
         if not out or a >= out[-1][1]:
