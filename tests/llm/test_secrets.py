@@ -159,6 +159,7 @@ def test_long_runs_are_linear_and_names_have_no_greatest_length():
     began = time.perf_counter()
     assert secrets.candidates("q" * 2_000_000) == [] and time.perf_counter() - began < 1
     spans = lambda text: [text[a:b] for a, b in secrets.candidates(text)]
-    assert spans("token_for_the_production_environment_v2 = 'hunter2x'") == ["hunter2x"]
+    # a name with a digit is itself a token, for the forest to judge; the value comes beside it
+    assert spans("token_for_the_production_environment_v2 = 'hunter2x'") == ["token_for_the_production_environment_v2", "hunter2x"]
     assert spans("the_password_" + "of_a_very_long_name_" * 3 + "here: hunter2x") == ["hunter2x"]
     assert spans('"my.secret-name"  : "abcdefgh"') == ["abcdefgh"] and spans("width = 'hunter2x'") == []
