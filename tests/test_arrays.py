@@ -79,8 +79,9 @@ def test_shifts_move_rows_by_y_and_columns_by_x(spark, stage):
 
 
 @pytest.mark.parametrize("mode", ["nearest", "wrap", "reflect", "mirror", "constant"])
-@pytest.mark.parametrize("order", [0, 1, 3])
+@pytest.mark.parametrize("order", [0, 1])
 def test_whole_shifts_in_every_mode(mode, order):
+    """Higher orders smooth, as there is no filter before: tests/test_slices.py."""
     a = np.random.default_rng(0).normal(size=(5, 6)).astype(np.float32)
     pad = {"nearest": "edge", "wrap": "wrap", "reflect": "symmetric", "mirror": "reflect", "constant": "constant"}[mode]
     want = np.pad(a, 2, mode=pad)[2 - 1 : 2 - 1 + 5, 2 + 2 : 2 + 2 + 6]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelmill.functions.scalars import safe_key
+from voxelmill.operators.ordering import number_rows
 
 
 def resolve_files(views: DataFrame, files: DataFrame, name: str = "filename") -> DataFrame:
@@ -29,16 +30,16 @@ def missing(views: DataFrame, files: DataFrame, on: str) -> DataFrame:
 def positional(left: DataFrame, right: DataFrame, left_order: str, right_order: str, dropped_endpoint: bool = False, reverse: bool = False) -> DataFrame:
     """Rows joined by their place in either order; counts must agree, but for one row more on the right if an endpoint was dropped on the left.
 
-    reverse: the right side runs backwards. For tables of views; one task numbers each side.
+    reverse: the right side runs backwards. Both sides are numbered by ranges of their order.
     """
     n, m = left.count(), right.count()
     if dropped_endpoint and m == n + 1:
         m -= 1
     elif m != n:
         raise ValueError(f"{m} rows do not match {n}")
-    a = left.withColumn("__k", F.row_number().over(Window.orderBy(left_order)))
-    b = right.withColumn("__k", F.row_number().over(Window.orderBy(right_order))).where(F.col("__k") <= m).drop(right_order)
-    b = b.withColumn("__k", F.lit(m + 1) - F.col("__k")) if reverse else b
+    a = number_rows(left, [left_order], "__k")
+    b = number_rows(right, [right_order], "__k").where(F.col("__k") < m).drop(right_order)
+    b = b.withColumn("__k", F.lit(m - 1) - F.col("__k")) if reverse else b
     return a.join(b, "__k").drop("__k")
 
 

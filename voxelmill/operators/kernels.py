@@ -63,24 +63,34 @@ def _source_index(x: np.ndarray, n: int, mode: str) -> tuple[np.ndarray, np.ndar
     raise ValueError(f"unknown boundary mode {mode}")
 
 
+def bspline(x: np.ndarray, order: int) -> np.ndarray:
+    """The centred cardinal B-spline."""
+    if order == 0:
+        return ((x >= -0.5) & (x < 0.5)).astype(np.float64)
+    half = (order + 1) / 2
+    return ((half + x) * bspline(x + 0.5, order - 1) + (half - x) * bspline(x - 0.5, order - 1)) / order
+
+
 def _shift_axis(a: np.ndarray, by: float, axis: int, order: int, mode: str) -> np.ndarray:
-    """a moved by a number of pixels along an axis: output i takes what lies at i - by. Order 0, 1 or 3 (cubic convolution)."""
+    """a moved by a number of pixels along an axis: output i takes what lies at i - by.
+
+    Orders 0 to 5: the pixels are the coefficients of a B-spline, there is no filter before. Places beyond the ends are drawn to the end
+    (nearest), are 0 (constant), or are folded; a constant outside is mirrored for the pixels that reach over the end from inside.
+    """
+    if order not in range(6):
+        raise ValueError("orders 0 to 5 only")
     n = a.shape[axis]
-    at = np.arange(n) - by
-    base = np.rint(at).astype(int) if order == 0 else np.floor(at).astype(int)
-    t = at - base
-    if order == 0:
-        taps = {0: np.ones(n)}
-    elif order == 1:
-        taps = {0: 1 - t, 1: t}
-    elif order == 3:
-        taps = {-1: ((-0.5 * t + 1) * t - 0.5) * t, 0: (1.5 * t - 2.5) * t * t + 1, 1: ((-1.5 * t + 2) * t + 0.5) * t, 2: (0.5 * t - 0.5) * t * t}
-    else:
-        raise ValueError("orders 0, 1 and 3 only")
+    at, inside = np.arange(n) - by, np.ones(n)
+    if mode == "nearest":
+        at = np.clip(at, 0, n - 1)
+    elif mode == "constant":
+        inside, mode = ((at >= 0) & (at <= n - 1)).astype(np.float64), "mirror"
+    base = (np.rint(at) if order == 0 else np.floor(at + (0.5 if order % 2 == 0 else 0.0)) - order // 2).astype(int)
     out = np.zeros(a.shape, np.float64)
     shape = [n if k == axis else 1 for k in range(a.ndim)]
-    for k, w in taps.items():
-        index, inside = _source_index(base + k, n, mode)
+    for k in range(order + 1):
+        index, _ = _source_index(base + k, n, mode)
+        w = np.ones(n) if order == 0 else bspline(at - base - k, order)
         out += np.take(a, index, axis=axis) * (w * inside).reshape(shape)
     return out
 
@@ -205,20 +215,23 @@ def confidence(delta: np.ndarray, loss: np.ndarray, support: np.ndarray, tau_los
     return np.clip(gaussian(np.exp(-((delta / tau) ** 2)) * np.exp(-((loss / tau_loss) ** 2)), sigma), low, high).astype(np.float32)
 
 
-def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(rows, cols) that move b onto a, by phase correlation with a parabola through the peak."""
+def phase_shift(a: np.ndarray, b: np.ndarray, upsample: int = 10) -> tuple[float, float]:
+    """(rows, cols) that move b onto a, by phase correlation, to 1 / upsample of a pixel.
+
+    The whole-pixel peak comes from an inverse transform; round it, over three quarters of a pixel either way, the transform is taken on the finer grid
+    as two matrix products.
+    """
     cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    corr = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
-    peak = np.unravel_index(np.argmax(corr), corr.shape)
-    out = []
-    for axis, k in enumerate(peak):
-        n = corr.shape[axis]
-        line = np.take(corr, peak[1 - axis], axis=1 - axis)
-        l, c, r = line[(k - 1) % n], line[k], line[(k + 1) % n]
-        bend = l - 2 * c + r
-        at = k + (0.5 * (l - r) / bend if abs(bend) > 1e-12 and n > 2 else 0.0)
-        out.append(float(at - n if at > n / 2 else at))
-    return out[0], out[1]
+    cross /= np.maximum(np.abs(cross), 100 * np.finfo(np.float64).eps)
+    peak = np.unravel_index(np.argmax(np.abs(np.fft.ifft2(cross))), cross.shape)
+    at = [float(k - n if k > n // 2 else k) for k, n in zip(peak, cross.shape, strict=True)]
+    if upsample > 1:
+        reach = int(np.ceil(1.5 * upsample)) // 2
+        grids = [k + np.arange(-reach, reach + 1) / upsample for k in at]
+        rows, cols = [np.exp(2j * np.pi * np.outer(g, np.fft.fftfreq(n))) for g, n in zip(grids, cross.shape, strict=True)]
+        fine = np.unravel_index(np.argmax(np.abs(rows @ cross @ cols.T)), (len(grids[0]), len(grids[1])))
+        at = [float(g[k]) for g, k in zip(grids, fine, strict=True)]
+    return tuple(0.0 if n == 1 else k for k, n in zip(at, cross.shape, strict=True))
 
 
 def ssim(a: np.ndarray, b: np.ndarray, span: float | None = None) -> float:

@@ -4,53 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def seed_clusters(angles: np.ndarray, tolerance: float) -> np.ndarray:
-    """Cluster number of each angle: in ascending order each angle not yet taken is a seed and takes all angles within tolerance of itself, around the circle."""
-    order = np.argsort(angles.astype(np.float64), kind="stable")
-    a, n = angles.astype(np.float64)[order], len(angles)
-    out, taken = np.full(n, -1), np.zeros(n, bool)
-    number = 0
-    tol = max(float(tolerance), 0.0)
-    for k in range(n):
-        if taken[k]:
-            continue
-        # in sorted order what lies within reach is next to k, or next to its images a turn away
-        reach = [np.arange(np.searchsorted(a, a[k] + turn - tol - 1e-9), np.searchsorted(a, a[k] + turn + tol + 1e-9, "right")) for turn in np.arange(np.ceil((a[0] - a[k]) / (2 * np.pi)) - 1, np.floor((a[-1] - a[k]) / (2 * np.pi)) + 2) * 2 * np.pi]
-        near = np.unique(np.concatenate(reach)).astype(int)
-        distance = np.abs(np.mod(a[near] - a[k] + np.pi, 2 * np.pi) - np.pi)
-        members = near[(distance <= tol) & ~taken[near]]
-        members = np.union1d(members, [k])
-        taken[members] = True
-        out[order[members]] = number
-        number += 1
-    return out
-
-
-def angle_clusters(views: DataFrame, angle: str, position: str, tolerance: float, keys: list[str] | None = None) -> DataFrame:
-    """(keys, position, cluster, seed): greedy clusters of near-equal angles. One task a key: a scan of views is sequential by its rule, and pixels stay out of it."""
-    keys = keys or []
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(position, kind="stable")
-        a = pdf[angle].to_numpy()
-        cluster = seed_clusters(a, tolerance)
-        order = np.argsort(a, kind="stable")
-        first = {}
-        for k in order:
-            first.setdefault(cluster[k], pdf[position].iloc[k])
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, position: pdf[position], "cluster": cluster, "seed": [first[c] for c in cluster]})
-
-    kinds = dict(views.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{position}` {kinds[position]}", "cluster int", f"seed {kinds[position]}"])
-    narrow = views.select(*keys, position, angle)
-    return (narrow.groupBy(*keys) if keys else narrow.withColumn("__all", F.lit(0)).groupBy("__all")).applyInPandas(run, schema)
+from voxelmill.operators.clusters import angle_clusters as angle_clusters
 
 
 def merge_clusters(views: DataFrame, data: str, angle: str, weight: str | None, cluster: list[str]) -> DataFrame:

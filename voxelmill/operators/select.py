@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelmill.functions.scalars import finite, wrap_angle
+from voxelmill.operators.ordering import number_rows, order_statistics
 
 
 def robust_z_score(df: DataFrame, weights: dict[str, float], out: str = "score_total") -> DataFrame:
-    """Weighted sum of (v - median) / max(q75 - q25, 1e-12) per metric. The quartiles are one row, so they are broadcast."""
-    quartiles = df.agg(*[F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q_{m}") for m in weights])
+    """Weighted sum of (v - median) / max(q75 - q25, 1e-12) per metric; quartiles are of its finite values, in one row, which is broadcast."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in weights])).alias("m")).select("m.*")
+    found = order_statistics(each, "v", [0.25, 0.5, 0.75], ["metric"])
+    quartiles = found.agg(*[F.max_by("q", F.when(F.col("metric") == m, 1)).alias(f"__q_{m}") for m in weights])
     joined = df.crossJoin(F.broadcast(quartiles))
     z = [F.lit(float(w)) * (F.col(m) - F.col(f"__q_{m}")[1]) / F.greatest(F.col(f"__q_{m}")[2] - F.col(f"__q_{m}")[0], F.lit(1e-12)) for m, w in weights.items()]
     return joined.withColumn(out, reduce(lambda a, b: a + b, z)).drop(*[f"__q_{m}" for m in weights])
@@ -50,8 +53,8 @@ def select_named(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column | str], out: str = "rank", keys: list[str] | None = None) -> DataFrame:
-    """df with its row number from 0. Without keys one task numbers all rows: for views and candidates, not for pixels."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order)) - 1)
+    """df with its row number from 0, per key or, by ranges of the order, over the whole table."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) if keys else number_rows(df, order, out)
 
 
 def by_angle(df: DataFrame, angle: str, position: str, wrapped: bool = True) -> DataFrame:
@@ -65,14 +68,15 @@ def reverse(df: DataFrame, position: str) -> DataFrame:
 
 
 def pick_evenly(df: DataFrame, rank: str, count: int) -> DataFrame:
-    """count rows spread evenly over the ranks 0 to n - 1: rounded half to even, filled up with the lowest ranks not used."""
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
-    k = F.least(F.lit(max(0, count)), F.col("__n"))
-    step = F.when(k > 1, (F.col("__n") - 1) / (k - 1)).otherwise(F.lit(0.0))
-    ideal = F.array_distinct(F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.rint(i * step).cast("long"))).otherwise(F.array().cast("array<long>")))
-    spare = F.when(F.col("__n") > 0, F.array_except(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1), ideal)).otherwise(F.array().cast("array<long>"))
-    chosen = total.select(F.explode(F.concat(ideal, F.slice(spare, F.lit(1), (k - F.size(ideal)).cast("int")))).alias(rank))
-    return df.join(F.broadcast(chosen), rank, "left_semi")
+    """count rows spread evenly over the ranks 0 to n - 1, rounded half to even.
+
+    The ranks are rows. They differ by (n - 1) / (count - 1), which is one at least, so no two of them round to the same.
+    """
+    n = df.count()
+    k = min(max(0, count), n)
+    step = (n - 1) / (k - 1) if k > 1 else 0.0
+    chosen = df.sparkSession.range(k).select(F.rint(F.col("id") * F.lit(step)).cast("long").alias(rank))
+    return df.join(chosen, rank, "left_semi")
 
 
 def split_views(views: DataFrame, angle: str, position: str, tune: int, qc: int, recon: int | None = None, seed: int | None = None) -> DataFrame:

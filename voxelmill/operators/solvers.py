@@ -219,17 +219,32 @@ def residual_of(op, b: np.ndarray, views: np.ndarray, weights: np.ndarray | None
     return run
 
 
-def conjugate_gradient_tables(matrix: DataFrame, b: DataFrame, iterations: int, tolerance: float, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, float, int]:
+def _saved_iterations(spark: SparkSession, folder: str) -> list[int]:
+    """Iterations whose state was written to the end, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/iteration_*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().rpartition("_")[2]) for f in found)
+
+
+def conjugate_gradient_tables(matrix: DataFrame, b: DataFrame, iterations: int, tolerance: float, cut: Callable[[DataFrame], DataFrame] | None = None, folder: str | None = None) -> tuple[DataFrame, float, int]:
     """Solve M x = b for a symmetric M as a table (i, j, w) and b (i, value), from x = 0; vectors are tables, only norms reach the driver.
 
-    cut: how lineage is cut after each iteration; a checkpoint if none is given.
+    cut: how lineage is cut after each iteration; a checkpoint if none is given. folder: each iteration's state is written there instead, and
+    a call with the same folder goes on from the last one that was written to the end; only the newest two stay.
     """
+    spark = b.sparkSession
+    saved = _saved_iterations(spark, folder) if folder else []
     cut = cut or (lambda df: df.checkpoint())
     total = lambda df, e: df.agg(F.sum(e)).first()[0] or 0.0
     r = p = cut(b.select("i", F.col("value").cast("double").alias("value")))
     x = r.select("i", F.lit(0.0).alias("value"))
     square = total(r, F.col("value") * F.col("value"))
     size, done = max(square**0.5, 1e-30), 0
+    if saved:
+        done = saved[-1]
+        state = spark.read.parquet(f"{folder}/iteration_{done:06d}")
+        x, r, p = [state.select("i", F.col(c).alias("value")) for c in ("x", "r", "p")]
+        square = state.agg(F.max("square")).first()[0]
     while square**0.5 / size > tolerance and done < iterations:
         ap = matrix.join(p.select(F.col("i").alias("j"), "value"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("value")).alias("q"))
         pq = cut(p.join(ap, "i", "left").select("i", "value", F.coalesce("q", F.lit(0.0)).alias("q")))
@@ -240,7 +255,13 @@ def conjugate_gradient_tables(matrix: DataFrame, b: DataFrame, iterations: int,
         state = x.withColumnRenamed("value", "x").join(r.withColumnRenamed("value", "r"), "i").join(pq.withColumnRenamed("value", "p"), "i")
         state = cut(state.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p"))
         new = total(state, F.col("r") * F.col("r"))
-        x, r = state.select("i", F.col("x").alias("value")), state.select("i", F.col("r").alias("value"))
-        p = state.select("i", (F.col("r") + new / max(square, 1e-30) * F.col("p")).alias("value"))
+        state = state.select("i", "x", "r", (F.col("r") + new / max(square, 1e-30) * F.col("p")).alias("p"))
         square = new
+        if folder:
+            state.withColumn("square", F.lit(square)).write.mode("overwrite").parquet(f"{folder}/iteration_{done:06d}")
+            state = spark.read.parquet(f"{folder}/iteration_{done:06d}")
+            for old in _saved_iterations(spark, folder)[:-2]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/iteration_{old:06d}")
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        x, r, p = [state.select("i", F.col(c).alias("value")) for c in ("x", "r", "p")]
     return x, square**0.5 / size, done

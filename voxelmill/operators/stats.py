@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelmill.functions.scalars import finite
+from voxelmill.operators.ordering import order_statistics, with_previous
 
 
 def mean_field(images: DataFrame, data: str = "data", keys: list[str] | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def view_weights(views: DataFrame, mean_raw: str, exposure_s: str | None = None,
     The floor is the fifth percentile of the positive means: one row, broadcast.
     """
     raw = F.when(finite(F.col(mean_raw)), F.col(mean_raw).cast("double")).otherwise(F.lit(0.0))
-    floor = views.select(F.when(raw > 0, raw).alias("r")).agg(F.percentile("r", 0.05).alias("__p5"))
+    floor = order_statistics(views.select(F.when(raw > 0, raw).alias("r")), "r", [0.05]).agg(F.max(F.get("q", F.lit(0))).alias("__p5"))
     with_floor = views.crossJoin(F.broadcast(floor))
     counted = F.when(F.col("__p5").isNotNull(), multiplier * F.sqrt(F.greatest(raw, F.col("__p5"), F.lit(1e-6)))).otherwise(F.lit(float(multiplier)))
     weight = counted if exposure_s is None else F.when(F.col(exposure_s) > 0, multiplier * F.sqrt(F.col(exposure_s))).otherwise(counted)
@@ -61,7 +62,8 @@ def view_weights(views: DataFrame, mean_raw: str, exposure_s: str | None = None,
 def normalise_weights(views: DataFrame, weight: str, is_main: Column, ratio: float = 10.0) -> DataFrame:
     """weight over the median of the main views' positive finite weights, not finite to 1, clipped to [1 / ratio, ratio]."""
     w = F.col(weight).cast("double")
-    median = views.agg(F.greatest(F.coalesce(F.percentile(F.when(is_main & finite(w) & (w > 0), w), 0.5), F.lit(1.0)), F.lit(1e-6)).alias("__median"))
+    middle = order_statistics(views.select(F.when(is_main & (w > 0), w).alias("w")), "w", [0.5])
+    median = middle.agg(F.greatest(F.coalesce(F.max(F.get("q", F.lit(0))), F.lit(1.0)), F.lit(1e-6)).alias("__median"))
     scaled = w / F.col("__median")
     fixed = F.when(finite(scaled), scaled).otherwise(F.lit(1.0))
     top = float(ratio)
@@ -72,9 +74,11 @@ def mad_noise(df: DataFrame, column: str, keys: list[str] | None = None) -> Data
     """(mad): 1.4826 times the median distance from the median of the finite values; 0 if there are none."""
     keys = keys or []
     x = df.select(*keys, F.when(finite(F.col(column)), F.col(column).cast("double")).alias("x"))
-    medians = x.groupBy(*keys).agg(F.percentile("x", 0.5).alias("m"))
+    medians = order_statistics(x, "x", [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("m"))
     joined = x.join(medians, keys) if keys else x.crossJoin(F.broadcast(medians))
-    return joined.groupBy(*keys).agg((1.4826 * F.coalesce(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5), F.lit(0.0))).alias("mad"))
+    spread = order_statistics(joined.select(*keys, F.abs(F.col("x") - F.col("m")).alias("d")), "d", [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("d"))
+    mad = (1.4826 * F.coalesce("d", F.lit(0.0))).alias("mad")
+    return df.select(*keys).distinct().join(spread, keys, "left").select(*keys, mad) if keys else spread.agg(F.max("d").alias("d")).select(mad)
 
 
 def weighted_residual(df: DataFrame, predicted: str, measured: str, weight: str | None, keys: list[str]) -> DataFrame:
@@ -229,8 +233,8 @@ def histogram(df: DataFrame, column: str, bins: int = 96, every: int = 1, positi
 
 def median_step(df: DataFrame, angle: str, order: str) -> DataFrame:
     """(step): median absolute difference of neighbouring angles."""
-    ordered = df.select(F.col(angle).cast("double").alias("a"), F.lag(F.col(angle).cast("double")).over(Window.orderBy(order)).alias("b"))
-    return ordered.agg(F.percentile(F.abs(F.col("a") - F.col("b")), 0.5).alias("step"))
+    ordered = with_previous(df.select(F.col(angle).cast("double").alias("a"), F.col(order).alias("o")), "a", ["o"], "b")
+    return order_statistics(ordered.select(F.abs(F.col("a") - F.col("b")).alias("d")), "d", [0.5]).agg(F.max(F.get("q", F.lit(0))).alias("step"))
 
 
 def gpu_totals(gpus: DataFrame, wanted: list[int] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ to voxels unless they have to meet by coordinate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window
 
 from voxelmill.operators import kernels
 from voxelmill.operators.arrays import _div, _indexes
+from voxelmill.operators.ordering import order_statistics
 
 
 
@@ -153,8 +156,8 @@ def tv_roughness(df: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, ps: list[float]) -> DataFrame:
-    """(volume_id, p): exact percentiles of the voxels."""
-    return voxels(df).groupBy("volume_id").agg(F.percentile(F.col("value").cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias("p"))
+    """(volume_id, p): exact percentiles of the finite voxels."""
+    return order_statistics(voxels(df), "value", ps, ["volume_id"]).select("volume_id", F.col("q").alias("p"))
 
 
 def overlap_average(df: DataFrame, depth: int, slab: int, overlap: int, fn, schema_extra: str = "") -> DataFrame:
@@ -209,3 +212,74 @@ def smooth(df: DataFrame, depth: int, sigma: float, slab: int = 96) -> DataFrame
 def shape(df: DataFrame) -> DataFrame:
     """(volume_id, nz, ny, nx)."""
     return df.groupBy("volume_id").agg((F.max("z") + 1).alias("nz"), F.max("ny").alias("ny"), F.max("nx").alias("nx"))
+
+
+def _mix(data: str, ny: Column, nx: Column, axis: str, n: Column, taps: Column, index: Callable[[Column, Column], Column], weight: Callable[[Column, Column], Column]) -> Column:
+    """A slice with n places along y or x, each the weighted sum of ``taps`` places: tap t of place k is at index(k, t)."""
+
+    def mixed(d: Column) -> Column:
+        total = lambda k, at: F.aggregate(_indexes(taps), F.lit(0.0), lambda a, t: a + weight(k, t) * F.get(d, at(index(k, t)).cast("int")).cast("double"))
+        if axis == "x":
+            return F.transform(_indexes(ny * n), lambda k: total(k % n, lambda i: _div(k, n) * nx + i))
+        return F.transform(_indexes(n * nx), lambda k: total(_div(k, nx), lambda i: i * nx + k % nx))
+
+    # bound, as a one-element array: what data is computed from is not worked out again for each tap
+    return F.get(F.transform(F.array(F.col(data)), mixed), 0)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """Slices of parts (volume_id, z, ny, nx, source, weight, data): weighted sums of the few slices that feed each, in the order of their sources."""
+    lists = parts.groupBy("volume_id", "z", "ny", "nx").agg(F.array_sort(F.collect_list(F.struct("source", "weight", "data"))).alias("all"))
+    zero = F.transform(F.get("all", 0)["data"], lambda _: F.lit(0.0))
+    return lists.select("volume_id", "z", "ny", "nx", F.aggregate("all", zero, lambda a, s: F.zip_with(a, s["data"], lambda x, y: x + s["weight"] * y.cast("double"))).alias("data"))
+
+
+def gaussian(df: DataFrame, depth: int, sigma: float) -> DataFrame:
+    """Gaussian smoothing by expressions: along x and y within the slice, along z by a relation of slices; cut at four sigma, edges reflected."""
+    if sigma <= 0:
+        return df.select("volume_id", "z", "ny", "nx", F.transform("data", lambda v: v.cast("double")).alias("data"))
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    w = (w / w.sum()).tolist()
+
+    def at(n: Column) -> Callable[[Column, Column], Column]:
+        folded = lambda k, t: F.pmod(k + t - r, n * 2)
+        return lambda k, t: F.when(folded(k, t) < n, folded(k, t)).otherwise(n * 2 - 1 - folded(k, t))
+
+    weight = lambda _, t: F.get(F.array(*[F.lit(x) for x in w]), t)
+    ny, nx, taps = F.col("ny"), F.col("nx"), F.lit(2 * r + 1)
+    flat = df.withColumn("data", _mix("data", ny, nx, "x", nx, taps, at(nx), weight)).withColumn("data", _mix("data", ny, nx, "y", ny, taps, at(ny), weight))
+    feeds: dict[tuple[int, int], float] = {}
+    for z in range(depth):
+        for t, x in enumerate(w):
+            source = (z + t - r) % (2 * depth)
+            source = source if source < depth else 2 * depth - 1 - source
+            feeds[source, z] = feeds.get((source, z), 0.0) + x
+    relation = df.sparkSession.createDataFrame([(a, b, x) for (a, b), x in feeds.items()], "source int, to int, weight double")
+    parts = flat.select("volume_id", F.col("z").alias("source"), "ny", "nx", "data").join(F.broadcast(relation), "source")  # a row per slice and tap
+    return _summed(parts.select("volume_id", F.col("to").alias("z"), "ny", "nx", "source", "weight", "data"))
+
+
+def resample(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Volumes of any shapes on a grid of the given shape: block means where all sizes divide by it, else linear between neighbours, ends on ends."""
+    counts = df.groupBy("volume_id").agg((F.max("z") + 1).alias("__nz"))
+    rows = df.join(counts, "volume_id")
+    old = {"z": F.col("__nz"), "y": F.col("ny"), "x": F.col("nx")}
+    new = dict(zip("zyx", shape, strict=True))
+    rows = rows.withColumn("__block", (old["z"] % new["z"] == 0) & (old["y"] % new["y"] == 0) & (old["x"] % new["x"] == 0))
+    rows = rows.withColumns({f"__{a}": n for a, n in old.items()})
+
+    def taps(axis: str) -> tuple:
+        n, m, block = F.col(f"__{axis}"), new[axis], F.col("__block")
+        place = lambda k: k * (n - 1) / (m - 1) if m > 1 else k * 0.0
+        low = lambda k: F.least(F.floor(place(k)), F.greatest(n - 2, F.lit(0)))
+        index = lambda k, t: F.when(block, k * _div(n, m) + t).otherwise(F.least(low(k) + t, n - 1))
+        weight = lambda k, t: F.when(block, F.lit(float(m)) / n).when(t == 0, 1 - (place(k) - low(k))).otherwise(place(k) - low(k))
+        return F.when(block, _div(n, m)).otherwise(F.lit(2)), index, weight
+
+    flat = rows.withColumn("data", _mix("data", F.col("__y"), F.col("__x"), "x", F.lit(new["x"]), *taps("x"))).withColumn("data", _mix("data", F.col("__y"), F.lit(new["x"]), "y", F.lit(new["y"]), *taps("y")))
+    count, index, weight = taps("z")
+    share = lambda to: F.aggregate(_indexes(count), F.lit(0.0), lambda a, t: a + F.when(index(to, t) == F.col("z"), weight(to, t)).otherwise(F.lit(0.0)))
+    fed = F.filter(F.transform(_indexes(F.lit(new["z"])), lambda to: F.struct(to.alias("to"), share(to).alias("w"))), lambda s: s["w"] != 0)
+    parts = flat.select("volume_id", F.col("z").alias("source"), "data", F.explode(fed).alias("f"))
+    return _summed(parts.select("volume_id", F.col("f.to").alias("z"), F.lit(new["y"]).alias("ny"), F.lit(new["x"]).alias("nx"), "source", F.col("f.w").alias("weight"), "data"))

@@ -126,8 +126,19 @@ def projection_range(views: DataFrame) -> DataFrame:
     return views.agg(F.min(F.array_min(clean)).alias("least"), F.max(F.array_max(clean)).alias("greatest"))
 
 
+def pair_shifts(pairs: DataFrame, key: str, upsample: int = 10) -> DataFrame:
+    """(key, x_shift_px, y_shift_px) of pairs (key, rows, cols, reference, data): the shift that moves data onto reference, to 1 / upsample of a pixel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            moved = [kernels.phase_shift(np.asarray(a, np.float64).reshape(r, c), np.asarray(b, np.float64).reshape(r, c), upsample) for a, b, r, c in zip(pdf["reference"], pdf["data"], pdf["rows"], pdf["cols"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "x_shift_px": [x for _, x in moved], "y_shift_px": [y for y, _ in moved]})
+
+    return pairs.select(key, "rows", "cols", "reference", "data").mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, x_shift_px double, y_shift_px double")
+
+
 def estimate_drift(views: DataFrame, median_width: int = 1) -> DataFrame:
-    """(view_idx, x_shift_px, y_shift_px): the shift that moves each view onto the first, by phase correlation; smoothed by a running median if wider than 1.
+    """(view_idx, x_shift_px, y_shift_px): the shift that moves each view onto the first, by phase correlation, to a tenth of a pixel; smoothed by a running median if wider than 1.
 
     The first view is one detector frame, which is broadcast.
     """

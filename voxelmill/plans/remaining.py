@@ -107,13 +107,16 @@ def _cube_udf(schema: str, fn):
 
 
 def support_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The support mask of each volume, and its own closing and dilation of what exceeds 0.5."""
-    from voxelmill.operators import kernels
-
-    flat = lambda mask: mask.astype(int).reshape(-1).tolist()
-    run = _cube_udf("support array<int>, closed array<int>, dilated array<int>", lambda x: {"support": flat(kernels.support_mask(x, 0.6, 1)), "closed": flat(kernels.close(x > 0.5)), "dilated": flat(kernels.dilate(x > 0.5, 2))})
-    got = images(spark, sf_dir).select("vec_id", run("data").alias("m")).select("vec_id", F.posexplode(F.arrays_zip("m.support", "m.closed", "m.dilated")).alias("i", "m"))
-    return got.select("vec_id", F.col("i").cast("long").alias("i"), F.col("m.support").alias("support"), F.col("m.closed").alias("closed"), F.col("m.dilated").alias("dilated"))
+    """The support mask of each volume, and its own closing and dilation of what exceeds 0.5, in slabs of two slices."""
+    from voxelmill.operators import masks
+
+    df = cubes(spark, sf_dir)
+    marked = masks.pack(df, lambda v: v > 0.5)
+    found = {"support": masks.support(df, 4, 0.6, 1, slab=2), "closed": masks.close(marked, slab=2), "dilated": masks.dilate(marked, 2, slab=2)}
+    parts = [m.select("volume_id", "z", F.lit(name).alias("kind"), masks.unpack(F.col("bits"), F.col("ny"), F.col("nx")).alias("mask")) for name, m in found.items()]
+    slices = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("volume_id", "z").agg(*[F.max(F.when(F.col("kind") == name, F.col("mask"))).alias(name) for name in found])
+    got = slices.select("volume_id", "z", F.posexplode(F.arrays_zip(*found)).alias("k", "m"))
+    return got.select(F.col("volume_id").alias("vec_id"), (F.col("z") * 16 + F.col("k")).cast("long").alias("i"), "m.support", "m.closed", "m.dilated")
 
 
 def denoise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
