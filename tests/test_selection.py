@@ -79,13 +79,15 @@ def plain_clusters(a, tol):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_clusters_around_the_circle(spark, seed):
-    rng = np.random.default_rng(seed)
-    a = np.concatenate([rng.uniform(-1, 14, 40), [0.0, 2 * np.pi, 2 * np.pi - 0.01, 0.01, 4 * np.pi]])
-    df = spark.createDataFrame(list(enumerate(a.tolist())), "view_idx long, angle_rad double")
-    got = {r["view_idx"]: r["seed"] for r in merge.angle_clusters(df, "angle_rad", "view_idx", 0.1).collect()}
-    assert got == plain_clusters(a, 0.1)
+def test_greedy_clusters_around_the_circle(spark):
+    """Four sets of angles at once, and one of them without keys."""
+    sets = [np.concatenate([np.random.default_rng(seed).uniform(-1, 14, 40), [0.0, 2 * np.pi, 2 * np.pi - 0.01, 0.01, 4 * np.pi]]) for seed in range(4)]
+    df = spark.createDataFrame([(s, k, v) for s, a in enumerate(sets) for k, v in enumerate(a.tolist())], "dataset int, view_idx long, angle_rad double")
+    got = merge.angle_clusters(df, "angle_rad", "view_idx", 0.1, ["dataset"]).collect()
+    for s, a in enumerate(sets):
+        assert {r["view_idx"]: r["seed"] for r in got if r["dataset"] == s} == plain_clusters(a, 0.1)
+    alone = merge.angle_clusters(df.where("dataset = 0"), "angle_rad", "view_idx", 0.1).collect()
+    assert {r["view_idx"]: r["seed"] for r in alone} == plain_clusters(sets[0], 0.1)
 
 
 def test_weighted_merge(spark):

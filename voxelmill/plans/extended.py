@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.operators import arrays, table_functions, volumes
-from voxelmill.plans.cubes import cubes
+from voxelmill.plans.cubes import _GRAD, _adjoint, cubes
 from voxelmill.plans.images import PIXELS, SIDE, images, long_form, rounded
 from voxelmill.session import checkpoint_folder
 from voxelmill.sources import tiff_source
@@ -102,6 +102,90 @@ def stream_throttle_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_type", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a geometry table under names that have to be found: a full turn whose last angle is the first one again, shifts in two columns."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal", "s_nationkey")
+    ends = s.agg(F.min("k").alias("a"), F.max("k").alias("b"))
+    turn = s.crossJoin(F.broadcast(ends))  # one row
+    return turn.select("k", F.concat(F.lit(" p"), F.col("k").cast("string"), F.lit(".tif ")).alias("Projection Image"), (360.0 * (F.col("k") - F.col("a")) / (F.col("b") - F.col("a"))).alias("Theta_Deg (stage)"), (F.col("s_acctbal") / 100).alias("u_shift_px"), F.col("s_nationkey").cast("double").alias("row_shift_px"))
+
+
+def _validated(spark: SparkSession, sf_dir: str):
+    from voxelmill.plans.metadata import validate
+    from voxelmill.sources import sinks, tables
+
+    path = _new_folder(spark, "geometry")
+    sinks.write_csv(_geometry(spark, sf_dir), path, ["k"])
+    return validate(spark, tables.read_csv(spark, tables.find_csv(spark, path)), path, x_shift="u_shift_px", y_shift="row_shift_px")
+
+
+def _view_rows(views: DataFrame) -> DataFrame:
+    return views.select(F.col("view_idx").cast("long").alias("view_idx"), "filename", *[rounded(F.col(c).cast("double"), 3).alias(c) for c in ("angle_deg", "angle_rad", "x_shift_px", "y_shift_px")], "exists")
+
+
+def validated_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of a geometry table whose columns are found by hints; the last row, which repeats the first angle, is dropped; no file is there."""
+    return _view_rows(_validated(spark, sf_dir).views)
+
+
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the summary and the warnings say, a row each."""
+    v = _validated(spark, sf_dir)
+    facts = {k: v.summary[k] for k in ("views", "direction", "has_x", "has_y", "endpoint_detected", "endpoint_removed", "angle_source")} | {"warnings": len(v.warnings), "missing": v.missing.count(), "duplicates": v.duplicates.count()}
+    return spark.createDataFrame([(k, str(x).lower()) for k, x in facts.items()], "fact string, value string")
+
+
+def coarser_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third view, with shifts in pixels of 2 x 4."""
+    from voxelmill.plans.metadata import coarser_views
+
+    return _view_rows(coarser_views(_validated(spark, sf_dir), (2, 4), 3).views)
+
+
+def aliased_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts under other names than their own, found by their aliases."""
+    from voxelmill.sources import sinks, tables
+
+    path = _new_folder(spark, "aliases")
+    sinks.write_csv(_geometry(spark, sf_dir).select("k", "u_shift_px", F.col("row_shift_px").alias(" Row_Shift_Px ")), path, ["k"])
+    got = tables.read_shifts(spark, tables.find_csv(spark, path))
+    return got.select(F.col("row_index").cast("long").alias("row_index"), *[rounded(F.col(c).cast("double"), 3).alias(c) for c in ("x_shift_px", "y_shift_px")])
+
+
+def resumed_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's saved prior, its confidence and, as none was saved, a support of ones."""
+    from voxelmill.sources import resume, sinks
+
+    run, df = _new_folder(spark, "run"), cubes(spark, sf_dir)
+    folder = sinks.fast_folder(spark, run, "prior")
+    sinks.write_volume(df, f"{folder}/{resume.PRIOR}")
+    sinks.write_volume(df.withColumn("data", F.transform("data", lambda v: v / 2)), f"{folder}/{resume.CONFIDENCE}")
+    got = resume.saved_prior(spark, run, required=True)
+    named = lambda d, c: d.select("volume_id", "z", F.col("data").alias(c))
+    both = named(got.volume, "prior").join(named(got.confidence, "confidence"), ["volume_id", "z"]).join(named(got.support, "support"), ["volume_id", "z"])
+    cells = both.select("volume_id", "z", F.posexplode(F.arrays_zip("prior", "confidence", "support")).alias("k", "c"))
+    return cells.select("volume_id", (F.col("z") * 16 + F.col("k")).cast("long").alias("i"), *[rounded(F.col(f"c.{c}").cast("double")).alias(c) for c in ("prior", "confidence", "support")])
+
+
+def dictionary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as dictionaries, those of odd keys without a region, as one CSV under the union of their keys, read back."""
+    from voxelmill.sources import sinks, tables
+
+    path = _new_folder(spark, "rows")
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    sinks.write_rows(spark, [r.asDict() if r["n_nationkey"] % 2 == 0 else {"n_nationkey": r["n_nationkey"], "n_name": r["n_name"]} for r in rows], path)
+    return tables.read_csv(spark, tables.find_csv(spark, path)).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+def denoised_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of total-variation denoising."""
+    return _cells(volumes.tv_denoise(cubes(spark, sf_dir), 4, 0.1, 0.01, iterations=1).withColumn("data", F.transform("data", lambda v: v.cast("double"))))
+
+
 #: Places and weights of an axis of four resampled to n, ends on ends.
 _AXIS = "{a} AS (SELECT k, low + d AS s, CASE d WHEN 0 THEN 1 - (p - low) ELSE p - low END AS w FROM (SELECT k, p, least(floor(p), 2) AS low FROM (SELECT k, k * 3.0 / ({n} - 1) AS p FROM (SELECT unnest(range({n})) AS k))), (SELECT unnest([0, 1]) AS d))"
 _VOX = f"{PIXELS}, c AS (SELECT vec_id, i // 16 AS z, i // 4 % 4 AS y, i % 4 AS x, v FROM px)"
@@ -124,6 +208,10 @@ def _grid_sql(key: str, source: str) -> str:
         SELECT {key}, CAST(place AS INTEGER) AS place, round(CASE WHEN place = last AND abs(round(a + step * place, 10) - b) <= hair THEN b ELSE a + step * place END, 8) + 0.0 AS value FROM g"""
 
 
+_GEOMETRY = """g AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row, 'p' || s_suppkey || '.tif' AS f,
+                CAST(CAST(360.0 * (s_suppkey - min(s_suppkey) OVER ()) / (max(s_suppkey) OVER () - min(s_suppkey) OVER ()) AS FLOAT) AS DOUBLE) AS a, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier)"""
+_VIEW = "row AS view_idx, f AS filename, round(a, 3) + 0.0 AS angle_deg, round(CAST(CAST(radians(a) AS FLOAT) AS DOUBLE), 3) + 0.0 AS angle_rad, round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 3) + 0.0 AS x_shift_px, round(CAST(CAST({y} AS FLOAT) AS DOUBLE), 3) + 0.0 AS y_shift_px, false AS exists"
+
 QUERIES = {
     "resampled_volumes": (
         resampled_volumes,
@@ -149,4 +237,17 @@ QUERIES = {
              UNION ALL SELECT t.event_type, min(e.ts) FROM t JOIN events e ON e.event_type = t.event_type AND e.ts >= t.ts + INTERVAL 900 SECOND GROUP BY 1)
            SELECT event_type, min(event_id) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM t JOIN events USING (event_type, ts) GROUP BY event_type, ts""",
     ),
+    "validated_views": (validated_views, f"WITH {_GEOMETRY} SELECT {_VIEW.format(x='x', y='y')} FROM g WHERE row <> (SELECT max(row) FROM g)"),
+    "validation_summary": (
+        validation_summary,
+        "WITH n AS (SELECT CAST(count(*) - 1 AS VARCHAR) AS n FROM supplier) SELECT unnest(['views', 'direction', 'has_x', 'has_y', 'endpoint_detected', 'endpoint_removed', 'angle_source', 'warnings', 'missing', 'duplicates']) AS fact, unnest([n, 'ascending', 'true', 'true', 'true', 'true', 'degrees of theta_deg (stage)', '2', n, '0']) AS value FROM n",
+    ),
+    "coarser_run": (coarser_run, f"WITH {_GEOMETRY} SELECT {_VIEW.format(x='x / 4', y='y / 2')} FROM g WHERE row <> (SELECT max(row) FROM g) AND row % 3 = 0"),
+    "aliased_shifts": (aliased_shifts, f"WITH {_GEOMETRY} SELECT row AS row_index, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) + 0.0 AS x_shift_px, round(y, 3) + 0.0 AS y_shift_px FROM g"),
+    "resumed_prior": (resumed_prior, f"WITH {PIXELS} SELECT vec_id AS volume_id, i, round(v, 5) + 0.0 AS prior, round(v / 2, 5) + 0.0 AS confidence, CAST(1.0 AS DOUBLE) AS support FROM px"),
+    "dictionary_rows": (dictionary_rows, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS BIGINT) END AS n_regionkey FROM nation"),
+    "denoised_volumes": (
+        denoised_volumes,
+        f"WITH {_GRAD}, u AS (SELECT volume_id, i, z, y, x, gx / m AS gx, gy / m AS gy, gz / m AS gz FROM (SELECT *, sqrt(gx * gx + gy * gy + gz * gz + 0.0001) AS m FROM g)) SELECT s.volume_id, s.i, round(CAST(CAST(v - 0.2 * 0.1 * w AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM s JOIN ({_adjoint('u')}) a ON a.volume_id = s.volume_id AND a.i = s.i",
+    ),
 }
