@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.operators import kernels, linear, masks, volumes
+from voxelmill.operators import kernels, linear, masks, quality, volumes
 from voxelmill.plans.preprocess import pair_shifts
 
 
@@ -104,3 +104,13 @@ def test_drift_to_a_tenth_of_a_pixel(spark):
     got = pair_shifts(spark.createDataFrame(rows, "k long, rows int, cols int, reference array<double>, data array<double>"), "k").orderBy("k").collect()
     assert np.allclose([(r["y_shift_px"], r["x_shift_px"]) for r in got], known, atol=0.051)
     assert kernels.phase_shift(a, a, 1) == (0.0, 0.0) and kernels.phase_shift(a[:1], a[:1])[0] == 0.0
+
+
+def test_confidence_over_a_support(spark):
+    rng = np.random.default_rng(8)
+    delta, loss, inside = rng.uniform(0, 1, (4, 3, 5)), rng.uniform(0, 1, (4, 3, 5)), rng.integers(0, 2, (4, 3, 5))
+    rows = [(v, z, 3, 5, delta[z].reshape(-1).tolist(), loss[z].reshape(-1).tolist(), (inside[z] * (1 - v)).reshape(-1).tolist()) for v in range(2) for z in range(4)]
+    df = spark.createDataFrame(rows, "volume_id long, z int, ny int, nx int, delta array<double>, loss array<double>, support array<int>")
+    got = back(quality.confidence(df, 4, 0.35, 0.6, 0.05, 1.0), "data", 2)
+    assert np.allclose(got[0], kernels.confidence(delta, loss, inside == 1, 0.35, 0.6, 0.05, 1.0), atol=1e-6)
+    assert np.allclose(got[1], 0.05)  # nothing is support

@@ -73,37 +73,13 @@ def ssim_to_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confidence_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole confidence map of each volume: its distance to the mean volume as correction, a tenth of its values as lost gradient."""
+    from voxelmill.operators import quality
 
-    @F.pandas_udf("array<double>")
-    def run(data, mean):
-        import numpy as np
-        import pandas as pd
-
-        from voxelmill.operators import kernels
-
-        out = []
-        for d, m in zip(data, mean, strict=True):
-            x = np.asarray(d, float).reshape(4, 4, 4)
-            delta = np.abs(x - np.asarray(m, float).reshape(4, 4, 4))
-            out.append(kernels.confidence(delta, np.abs(x) / 10, np.ones(x.shape, bool), 0.35, 0.6, 0.05, 1.0).astype(float).reshape(-1))
-        return pd.Series(out)
-
-    got = _with_means(spark, sf_dir).select("vec_id", run("data", "mean").alias("data"))
-    return got.select("vec_id", F.posexplode("data").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), rounded(F.col("v"), 4).alias("value"))
-
-
-def _cube_udf(schema: str, fn):
-    """fn on the 4 x 4 x 4 volume of a row."""
-
-    @F.pandas_udf(schema)
-    def run(data):
-        import numpy as np
-        import pandas as pd
-
-        out = [fn(np.asarray(d, float).reshape(4, 4, 4)) for d in data]
-        return pd.DataFrame(out) if schema.count(" ") else pd.Series(out)
-
-    return run
+    z = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z")
+    df = _with_means(spark, sf_dir).select(F.col("vec_id").alias("volume_id"), "data", "mean", z)
+    part = lambda c: F.slice(c, F.col("z") * 16 + 1, 16)
+    cut = df.select("volume_id", "z", F.lit(4).alias("ny"), F.lit(4).alias("nx"), F.zip_with(part("data"), part("mean"), lambda x, m: F.abs(x - m)).alias("delta"), F.transform(part("data"), lambda x: F.abs(x) / 10).alias("loss"))
+    return _cells(quality.confidence(cut, 4, 0.35, 0.6, 0.05, 1.0)).withColumnRenamed("volume_id", "vec_id")
 
 
 def support_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,18 +97,11 @@ def support_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def denoise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each volume: the noise above a Gaussian of 0.6, and what that smoothing changes and keeps of the strongest edges."""
-    from voxelmill.operators import kernels
-
-    def measure(x):
-        import numpy as np
+    from voxelmill.operators import quality
 
-        c = kernels.gaussian(x, 0.6)
-        size = lambda v: np.sqrt((kernels.grad3(v) ** 2).sum(axis=0))
-        strong = size(x) >= np.percentile(size(x), 95)
-        return {"noise": kernels.mad(x - c), "correction": float(np.abs(c - x).sum() / max(np.abs(x).sum(), 1e-12)), "edges": float(np.median(size(c)[strong]) / max(np.median(size(x)[strong]), 1e-12))}
-
-    run = _cube_udf("noise double, correction double, edges double", measure)
-    return images(spark, sf_dir).select("vec_id", run("data").alias("m")).select("vec_id", *[rounded(F.col(f"m.{c}"), 5).alias(c) for c in ("noise", "correction", "edges")])
+    df = cubes(spark, sf_dir)
+    got = quality.denoise_quality(df, volumes.gaussian(df, 4, 0.6))
+    return got.select(F.col("volume_id").alias("vec_id"), *[rounded(F.col(c), 5).alias(c) for c in ("noise", "correction", "edges")])
 
 
 def _pixels(expr) -> callable:
