@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.plans import cubes, extended, images, iterative, remaining, round_trips, selection, tables
+from voxelmill.plans import cubes, extended, images, iterative, remaining, round_trips, selection, solved, tables
 
-MODULES = [selection, images, cubes, tables, iterative, remaining, round_trips, extended]
+MODULES = [selection, images, cubes, tables, iterative, remaining, round_trips, extended, solved]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

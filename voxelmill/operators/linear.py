@@ -35,10 +35,10 @@ def forward(matrix: DataFrame, x: DataFrame, keys: list[str] | None = None) -> D
     return matrix.join(x, "voxel").groupBy(*(keys or []), "view_idx", "pixel").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def backproject(matrix: DataFrame, y: DataFrame, views: Column | None = None, scale: float = 1.0) -> DataFrame:
-    """(voxel, value) of y (view_idx, pixel, value); over a subset of the views, scaled."""
+def backproject(matrix: DataFrame, y: DataFrame, views: Column | None = None, scale: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+    """(voxel, value) of y (view_idx, pixel, value); over a subset of the views, scaled; of several volumes as ``forward``."""
     rows = matrix if views is None else matrix.where(views)
-    return rows.join(y, ["view_idx", "pixel"]).groupBy("voxel").agg((scale * F.sum(F.col("w") * F.col("value"))).alias("value"))
+    return rows.join(y, ["view_idx", "pixel"]).groupBy(*(keys or []), "voxel").agg((scale * F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
 def normal(matrix: DataFrame, x: DataFrame) -> DataFrame:

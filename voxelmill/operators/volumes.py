@@ -82,17 +82,25 @@ def across(df: DataFrame, plane: str, at: int | None = None) -> DataFrame:
 
 def gradient(df: DataFrame) -> DataFrame:
     """df with gx, gy, gz: forward differences, 0 at the far ends."""
+    return differences(df.withColumn("__next", F.lead("data").over(_by_z())))
+
+
+def differences(ahead: DataFrame) -> DataFrame:
+    """The gradient of slices that hold the next slice's data as ``__next``, null at the last."""
     k_of = lambda f: F.transform("data", lambda v, k: f(v.cast("double"), k))
     gx = k_of(lambda v, k: F.when(k % F.col("nx") < F.col("nx") - 1, F.get("data", k + 1).cast("double") - v).otherwise(F.lit(0.0)))
     gy = k_of(lambda v, k: F.when(_div(k, F.col("nx")) < F.col("ny") - 1, F.get("data", (k + F.col("nx")).cast("int")).cast("double") - v).otherwise(F.lit(0.0)))
-    ahead = df.withColumn("__next", F.lead("data").over(_by_z()))
     gz = F.when(F.col("__next").isNull(), F.transform("data", lambda v: F.lit(0.0))).otherwise(F.zip_with("__next", "data", lambda b, a: b.cast("double") - a.cast("double")))
     return ahead.withColumns({"gx": gx, "gy": gy, "gz": gz}).drop("__next")
 
 
 def gradient_adjoint(df: DataFrame, out: str = "adjoint") -> DataFrame:
     """df (gx, gy, gz) with the adjoint of gradient applied: what flows into a voxel less what flows out."""
-    behind = df.withColumns({"__before": F.lag("gz").over(_by_z()), "__last": F.lead("z").over(_by_z()).isNull()})
+    return inflow(df.withColumns({"__before": F.lag("gz").over(_by_z()), "__last": F.lead("z").over(_by_z()).isNull()}), out)
+
+
+def inflow(behind: DataFrame, out: str) -> DataFrame:
+    """The adjoint for slices that hold the former slice's gz as ``__before``, null at the first, and whether they are the ``__last``."""
 
     def value(v: Column, k: Column) -> Column:
         x, y = k % F.col("nx"), _div(k, F.col("nx"))
