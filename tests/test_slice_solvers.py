@@ -63,27 +63,26 @@ def check(got, want, fields=("objective", "data_fidelity", "tv_term", "relative_
 def test_pdhg(problem):
     op, truth, b, matrix, data, x0 = problem
     size = np.sqrt(solvers.power_iteration(lambda v: op.backproject(op.forward(v)) + kernels.grad3_adjoint(kernels.grad3(v)), SHAPE, 3, 17))
-    want = {k: solvers.pdhg(op, y, np.zeros(SHAPE), 0.01, 4) for k, y in b.items()}
+    want = {k: solvers.pdhg(op, y, np.zeros(SHAPE), 0.01, 3) for k, y in b.items()}
     assert len(want[9].rows) == 2  # it has nothing to do and leaves
-    check(slice_solvers.pdhg(matrix, data, x0, 0.01, 4, step=0.95 / size), want)
+    check(slice_solvers.pdhg(matrix, data, x0, 0.01, 3, step=0.95 / size), want)
 
 
 def test_pdhg_without_a_penalty_and_bounds(problem):
     op, truth, b, matrix, data, x0 = problem
     largest = np.linalg.norm(op.a.reshape(-1, 60), 2) ** 2
     assert largest <= slice_solvers.norm_bound(matrix) * (1 + 1e-9)
-    assert 0.99 * largest <= slice_solvers.power_norm(matrix, 12) <= largest * (1 + 1e-9)
-    got = slice_solvers.pdhg(matrix, data, x0, 0.0, 3)
-    size = np.sqrt(slice_solvers.norm_bound(matrix) + 12)
+    assert 0.97 * largest <= slice_solvers.power_norm(matrix, 6) <= largest * (1 + 1e-9)
+    got = slice_solvers.pdhg(matrix, data.where("volume_id = 7"), x0.where("volume_id = 7"), 0.0, 2)
     objective = {(r["volume_id"], r["iteration"]): r["objective"] for r in got[1].collect()}
-    assert objective[7, 3] < objective[7, 1] and size > 0
+    assert objective[7, 2] < objective[7, 1]
 
 
 def test_subsets(problem):
     op, truth, b, matrix, data, x0 = problem
     bend = solvers.power_iteration(lambda v: op.backproject(op.forward(v)), SHAPE, 2, 23)
-    want = {k: solvers.subset_tv(op, y, np.zeros(SHAPE), 0.01, 3, batch=1, subsets=2) for k, y in b.items()}
-    check(slice_solvers.subset_tv(matrix, data, x0, VIEWS, 0.01, 3, batch=1, subsets=2, step=0.7 / bend), want)
+    want = {k: solvers.subset_tv(op, y, np.zeros(SHAPE), 0.01, 2, batch=1, subsets=2) for k, y in b.items()}
+    check(slice_solvers.subset_tv(matrix, data, x0, VIEWS, 0.01, 2, batch=1, subsets=2, step=0.7 / bend), want)
 
 
 def test_anchored(spark, problem):

@@ -6,13 +6,14 @@ step; what depends on a volume (norms, CG's steps) is a row per volume. Neighbou
 volume is spread over all tasks. Each volume leaves the loop when its change is small enough, and the work shrinks with it.
 
 Every solver returns the slices and a table of metrics (volume_id, iteration, objective, data_fidelity, tv_term, primal_residual,
-dual_residual, relative_x_change, cg_residual, cg_iterations, prior_term); what a solver has no use for is null. State is cut by
-``checkpoint`` in the shared folder after each step, so a lost executor costs a step at most. A volume without projections keeps its start;
+dual_residual, relative_x_change, cg_residual, cg_iterations, prior_term); what a solver has no use for is null. State is
+written to the shared folder after each step, so a lost executor costs a step at most; the metrics read it, so it stays there. A volume without projections keeps its start;
 a pixel that no ray of the relation names only adds to the fidelity; a null voxel or pixel makes its volume's metrics null.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -27,9 +28,12 @@ VOLUME, RAY = ["volume_id"], ["volume_id", "view_idx", "pixel"]
 METRICS = ["objective", "data_fidelity", "tv_term", "primal_residual", "dual_residual", "relative_x_change", "cg_residual", "cg_iterations", "prior_term"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Unlike a checkpoint it is read by column, and hands on no constraints, which pile up in a loop."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/slices-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _plus(a: str | Column, b: str | Column, scale: Column | float = 1.0) -> Column:
@@ -113,7 +117,7 @@ def power_norm(matrix: DataFrame, iterations: int = 10) -> float:
     v, value = matrix.select("voxel").distinct().withColumn("value", F.lit(1.0)), 0.0
     for _ in range(max(1, iterations)):
         size = (v.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0) ** 0.5
-        v = _cut(linear.normal(matrix, v.withColumn("value", F.col("value") / max(size, 1e-30))))
+        v = written(linear.normal(matrix, v.withColumn("value", F.col("value") / max(size, 1e-30))))
         value = (v.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0) ** 0.5
     return value
 
@@ -141,7 +145,7 @@ def _metrics(k: int, matrix: DataFrame, df: DataFrame, b: DataFrame, lam: float,
 
 def _start(x0: DataFrame, positivity: bool) -> DataFrame:
     data = F.transform("data", lambda v: v.cast("double"))
-    return _cut(x0.select("volume_id", F.col("z").cast("int").alias("z"), "ny", "nx", _clip(data, positivity).alias("data")))
+    return written(x0.select("volume_id", F.col("z").cast("int").alias("z"), "ny", "nx", _clip(data, positivity).alias("data")))
 
 
 def _loop(state: DataFrame, iterations: int, step: Callable[[int, DataFrame], tuple[DataFrame, DataFrame, DataFrame]], going: Column) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +159,7 @@ def _loop(state: DataFrame, iterations: int, step: Callable[[int, DataFrame], tu
         stay = scalars.withColumn("__k", F.lit(k)).select("volume_id", F.coalesce(going, F.lit(True)).alias("__go"))
         if not stay.where(~F.col("__go")).isEmpty():
             ended.append(_with_scalars(state, stay.where(~F.col("__go"))).select("volume_id", "z", "ny", "nx", "data"))
-            state = _cut(_with_scalars(state, stay.where("__go")).drop("__go"))
+            state = written(_with_scalars(state, stay.where("__go")).drop("__go"))
             if state.isEmpty():
                 break
     final = state.select("volume_id", "z", "ny", "nx", "data")
@@ -175,18 +179,18 @@ def pdhg(matrix: DataFrame, b: DataFrame, x0: DataFrame, lam: float, iterations:
     """min |Ax - b|^2 / 2 + lam TV(x) by the primal-dual hybrid gradient method; step: safety / the norm of (A, gradient) if none is given."""
     tau = step or safety / max((norm_bound(matrix) + 12.0) ** 0.5, 1e-12)
     state = _start(x0, positivity).withColumn("ahead", F.col("data")).withColumns({g: _zeros() for g in ("gx", "gy", "gz")})
-    duals = [_cut(b.select(*RAY, "value").withColumn("y", F.lit(0.0)))]
+    duals = [written(b.select(*RAY, "value").withColumn("y", F.lit(0.0)))]
 
     def one(k: int, state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         here = duals[-1].join(state.select("volume_id").distinct(), "volume_id", "left_semi") if k > 1 else duals[-1]
-        duals.append(_cut(_residual(matrix, state, here, "ahead").select(*RAY, "value", ((F.col("y") + tau * F.col("left")) / (1 + tau)).alias("y"))))
+        duals.append(written(_residual(matrix, state, here, "ahead").select(*RAY, "value", ((F.col("y") + tau * F.col("left")) / (1 + tau)).alias("y"))))
         moved = gradient(state.withColumnsRenamed({"gx": "px", "gy": "py", "gz": "pz"}), "ahead")
         moved = moved.withColumns({g: _plus(p, g, tau) for g, p in (("gx", "px"), ("gy", "py"), ("gz", "pz"))}).drop("px", "py", "pz")
-        field = adjoint(_cut(volumes.project_ball(moved, lam)), "pull")
+        field = adjoint(written(volumes.project_ball(moved, lam)), "pull")
         whole = backprojected(matrix, duals[-1].select(*RAY, F.col("y").alias("value")), field, "data_pull", state)
         new = whole.withColumn("old", F.col("data")).withColumn("data", _clip(_plus("data", _plus("data_pull", "pull"), -tau), positivity))
-        new = _cut(new.withColumn("ahead", F.zip_with("data", "old", lambda n, o: n + theta * (n - o))).drop("pull", "data_pull"))
-        scalars = _cut(new.groupBy("volume_id").agg(_change(_moved("old", "data"), _dot("old", "old"))))
+        new = written(new.withColumn("ahead", F.zip_with("data", "old", lambda n, o: n + theta * (n - o))).drop("pull", "data_pull"))
+        scalars = written(new.groupBy("volume_id").agg(_change(_moved("old", "data"), _dot("old", "old"))))
         return new.drop("old"), scalars, _metrics(k, matrix, new, b, lam, epsilon, scalars)
 
     return _loop(state, iterations, one, (F.col("__k") == 1) | (F.col("relative_x_change") > tolerance))
@@ -202,7 +206,7 @@ def subset_tv(matrix: DataFrame, b: DataFrame, x0: DataFrame, n_views: int, lam:
     state = _start(x0, positivity)
     if prior is not None:
         known = prior.select("volume_id", F.col("z").cast("int").alias("z"), *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("prior", "trust")])
-        state = _cut(state.join(known, ["volume_id", "z"]))
+        state = written(state.join(known, ["volume_id", "z"]))
     weight = F.col("weight") if weighted else None
     value = F.col("left") if weight is None else weight * weight * F.col("left")
 
@@ -220,12 +224,12 @@ def subset_tv(matrix: DataFrame, b: DataFrame, x0: DataFrame, n_views: int, lam:
             if prior is not None:
                 g = g.withColumn("g", _plus("g", F.zip_with("trust", F.zip_with("data", "prior", lambda a, p: a - p), lambda t, d: t * d), rho))
             t = tau / len(used)
-            state = _cut(g.withColumns({"moved": F.col("moved") + t * t * _dot("g", "g"), "data": _clip(_plus("data", "g", -t), positivity)}).drop("g"))
+            state = written(g.withColumns({"moved": F.col("moved") + t * t * _dot("g", "g"), "data": _clip(_plus("data", "g", -t), positivity)}).drop("g"))
         sums = [_change(F.col("moved"), F.col("before"))]
         if prior is not None:
             off = F.zip_with("data", "prior", lambda a, p: (a - p) * (a - p))
             sums.append((0.5 * rho * F.sum(_dot("trust", off))).alias("prior_term"))
-        scalars = _cut(state.groupBy("volume_id").agg(*sums))
+        scalars = written(state.groupBy("volume_id").agg(*sums))
         return state.drop("moved", "before"), scalars, _metrics(k, matrix, state, b, lam, epsilon, scalars, weight)
 
     return _loop(state, iterations, one, (F.col("__k") == 1) | (F.col("relative_x_change") > tolerance))
@@ -247,20 +251,20 @@ def _normal(matrix: DataFrame, df: DataFrame, column: str, rho: float, out: str)
 def _cg(matrix: DataFrame, df: DataFrame, rho: float, iterations: int, tolerance: float) -> DataFrame:
     """df (data, rhs) with data solved for and ``cg_left``, ``cg_used`` of its volume; a volume that is done, or has no curvature, stands still."""
     work = _normal(matrix, df, "data", rho, "r").withColumn("r", _plus("rhs", "r", -1.0)).withColumn("p", F.col("r"))
-    work = _cut(work)
+    work = written(work)
     first = work.groupBy("volume_id").agg(F.sum(_dot("r", "r")).alias("square"), F.greatest(F.sqrt(F.sum(_dot("rhs", "rhs"))), F.lit(1e-30)).alias("size"))
-    work = _cut(_with_scalars(work, first).withColumn("cg_used", F.lit(0)))
+    work = written(_with_scalars(work, first).withColumn("cg_used", F.lit(0)))
     for _ in range(iterations):
-        work = _cut(_normal(matrix, work, "p", rho, "q"))
+        work = written(_normal(matrix, work, "p", rho, "q"))
         curve = work.groupBy("volume_id").agg(F.sum(_dot("p", "q")).alias("curve"))
         work = _with_scalars(work, curve).withColumn("__go", (F.sqrt("square") / F.col("size") > tolerance) & (F.abs("curve") > 1e-30))
         alpha = F.when(F.col("__go"), F.col("square") / F.col("curve")).otherwise(F.lit(0.0))
         work = work.withColumn("__alpha", alpha)
-        work = _cut(work.withColumns({"data": _plus("data", "p", F.col("__alpha")), "r": _plus("r", "q", -F.col("__alpha")), "cg_used": F.col("cg_used") + F.col("__go").cast("int")}).drop("__alpha", "q", "curve"))
+        work = written(work.withColumns({"data": _plus("data", "p", F.col("__alpha")), "r": _plus("r", "q", -F.col("__alpha")), "cg_used": F.col("cg_used") + F.col("__go").cast("int")}).drop("__alpha", "q", "curve"))
         new = work.groupBy("volume_id").agg(F.sum(_dot("r", "r")).alias("__new"))
         work = _with_scalars(work, new).withColumn("__beta", F.when(F.col("__go"), F.col("__new") / F.greatest("square", F.lit(1e-30))).otherwise(F.lit(0.0)))
         turned = F.when(F.col("__go"), _plus("r", "p", F.col("__beta"))).otherwise(F.col("p"))
-        work = _cut(work.withColumn("p", turned).withColumn("square", F.col("__new")).drop("__new", "__beta", "__go"))
+        work = written(work.withColumn("p", turned).withColumn("square", F.col("__new")).drop("__new", "__beta", "__go"))
     return work.withColumn("cg_left", F.sqrt("square") / F.col("size")).drop("r", "p", "square", "size", "rhs")
 
 
@@ -270,22 +274,22 @@ def admm(matrix: DataFrame, b: DataFrame, x0: DataFrame, lam: float, rho: float,
         raise ValueError("rho must be positive and lam not negative")
     parts = ("x", "y", "z")
     state = _start(x0, positivity).withColumns({f"{f}{a}": _zeros() for f in ("d", "u") for a in parts})
-    state = _cut(backprojected(matrix, b.select(*RAY, "value"), state, "full"))
+    state = written(backprojected(matrix, b.select(*RAY, "value"), state, "full"))
 
     def one(k: int, state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         wanted = adjoint(state.withColumns({f"g{a}": _plus(f"d{a}", f"u{a}", -1.0) for a in parts}), "back").drop("gx", "gy", "gz")
-        ready = _cut(wanted.withColumns({"rhs": _plus("full", "back", rho), "old": F.col("data")}).drop("back"))
+        ready = written(wanted.withColumns({"rhs": _plus("full", "back", rho), "old": F.col("data")}).drop("back"))
         solved = _cg(matrix, ready, rho, cg_iterations, cg_tolerance)
-        solved = _cut(solved.withColumn("data", _clip("data", positivity)))
+        solved = written(solved.withColumn("data", _clip("data", positivity)))
         split = gradient(solved).withColumnsRenamed({f"g{a}": f"v{a}" for a in parts})
         shrunk = volumes.shrink(split.withColumns({f"g{a}": _plus(f"v{a}", f"u{a}") for a in parts}), lam / rho)
         # u + gradient - d; then the change of d, whose adjoint is the dual residual
         new = shrunk.withColumns({f"u{a}": _plus(_plus(f"u{a}", f"v{a}"), f"g{a}", -1.0) for a in parts})
         new = new.withColumn("gap", reduce(lambda s, a: s + _moved(f"v{a}", f"g{a}"), parts, F.lit(0.0)))
         new = new.withColumns({f"d{a}": F.col(f"g{a}") for a in parts} | {f"g{a}": _plus(f"g{a}", f"d{a}", -1.0) for a in parts})
-        new = _cut(adjoint(_cut(new.drop(*[f"v{a}" for a in parts])), "turn").drop("gx", "gy", "gz"))
+        new = written(adjoint(written(new.drop(*[f"v{a}" for a in parts])), "turn").drop("gx", "gy", "gz"))
         sums = [_change(_moved("old", "data"), _dot("old", "old")), F.sqrt(F.sum("gap")).alias("primal_residual"), (rho * F.sqrt(F.sum(_dot("turn", "turn")))).alias("dual_residual"), F.max("cg_left").alias("cg_residual"), F.max("cg_used").alias("cg_iterations")]
-        scalars = _cut(new.groupBy("volume_id").agg(*sums))
+        scalars = written(new.groupBy("volume_id").agg(*sums))
         return new.drop("old", "gap", "turn", "cg_left", "cg_used"), scalars, _metrics(k, matrix, new, b, lam, epsilon, scalars)
 
     over = (F.col("primal_residual") > tolerances[0]) | (F.col("dual_residual") > tolerances[1]) | (F.col("relative_x_change") > tolerances[2])

@@ -15,14 +15,14 @@ VIEWS, LAM = 4, 0.01
 
 
 def _problem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The relation (one fixed geometry, some thousand rows, so it is broadcast), projections, the slices to start from, and the true slices."""
+    """The relation, written once so that Spark broadcasts it by its size or not, projections, the slices to start from, and the true slices."""
     angles = spark.range(VIEWS).select(F.col("id").alias("view_idx"), (F.col("id") * (np.pi / VIEWS)).alias("angle_rad"))
-    matrix = F.broadcast(linear.system_matrix(angles, PHANTOM))
+    matrix = slice_solvers.written(linear.system_matrix(angles, PHANTOM))
     cube = F.transform("embedding", lambda v: F.abs(v.cast("double")))
     whole = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("volume_id"), cube.alias("cube"))
     truth = whole.select("volume_id", "cube", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"))
     truth = truth.select("volume_id", "z", F.lit(4).alias("ny"), F.lit(4).alias("nx"), F.slice("cube", F.col("z") * 16 + 1, 16).alias("data"))
-    b = slice_solvers._cut(slice_solvers.project(matrix, truth))
+    b = slice_solvers.written(slice_solvers.project(matrix, truth))
     return matrix, b, truth.withColumn("data", F.transform("data", lambda _: F.lit(0.1))), truth
 
 
@@ -124,7 +124,7 @@ class _Sql:
         names = list(self.rows[0][1])
         number = lambda e: f"round({e}, 4) + 0.0"
         out = [f"SELECT vec_id AS volume_id, {k} AS iteration, -1 AS voxel, NULL::DOUBLE AS value, " + ", ".join(f"{number(e)} AS {c}" for c, e in row.items()) + f" FROM t{self.n}" for k, row in self.rows]
-        out.append(f"SELECT vec_id, 0, j - 1, {number(f'{x}[j]')}, {', '.join('NULL' for _ in names)} FROM t{self.n}, (SELECT unnest(range(1, 65)) AS j)")
+        out.append(f"SELECT vec_id, 0, (j - 1)::INTEGER, {number(f'{x}[j]')}, {', '.join('NULL' for _ in names)} FROM t{self.n}, (SELECT unnest(range(1, 65)) AS j)")
         return f"WITH {', '.join(self.parts)} " + " UNION ALL ".join(out)
 
 
