@@ -3,7 +3,7 @@
 Volumes are one row per slice (volume_id, z, ny, nx, data), projections one row per pixel (volume_id, view_idx, pixel, value), the projector is
 a relation (view_idx, pixel, voxel, w) that all volumes share, with voxels counted through the slices. The driver holds the loop and the
 step; what depends on a volume (norms, CG's steps) is a row per volume. Neighbouring slices meet by a join on (volume_id, z), so one large
-volume is spread over all tasks. Each volume leaves the loop when its change is small enough, and the work shrinks with it.
+volume is spread over all tasks. Small volumes on a small relation are rows of their own instead (``row_solvers``). Each volume leaves the loop when its change is small enough, and the work shrinks with it.
 
 Every solver returns the slices and a table of metrics (volume_id, iteration, objective, data_fidelity, tv_term, primal_residual,
 dual_residual, relative_x_change, cg_residual, cg_iterations, prior_term); what a solver has no use for is null. State is
@@ -82,10 +82,9 @@ def _tv(df: DataFrame, epsilon: float) -> DataFrame:
 
 
 def _with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """df with the columns of its volume's one row; rows are dealt by slice too, so a large volume is no hot key."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = scalars.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return df.withColumn("__part", F.pmod(F.col("z"), F.lit(parts)).cast("int")).join(copies, ["volume_id", "__part"]).drop("__part")
+    """df, a written table, with the columns of its volume's one row; that is copied for each slice there is, so a large volume is no hot key."""
+    copies = df.select("volume_id", "z").join(scalars, "volume_id")
+    return df.join(copies, ["volume_id", "z"])
 
 
 def project(matrix: DataFrame, df: DataFrame, column: str = "data") -> DataFrame:
@@ -178,6 +177,10 @@ def _moved(old: str, new: str) -> Column:
 def pdhg(matrix: DataFrame, b: DataFrame, x0: DataFrame, lam: float, iterations: int, step: float | None = None, safety: float = 0.95, theta: float = 1.0, tolerance: float = 1e-5, epsilon: float = 1e-8, positivity: bool = True) -> tuple[DataFrame, DataFrame]:
     """min |Ax - b|^2 / 2 + lam TV(x) by the primal-dual hybrid gradient method; step: safety / the norm of (A, gradient) if none is given."""
     tau = step or safety / max((norm_bound(matrix) + 12.0) ** 0.5, 1e-12)
+    from voxelmill.operators import row_solvers  # it takes its helpers from here
+
+    if (packed := row_solvers.pack(matrix, b, x0, ["data"], positivity)) is not None:
+        return row_solvers.pdhg(packed, lam, iterations, tau, theta, tolerance, epsilon, positivity)
     state = _start(x0, positivity).withColumn("ahead", F.col("data")).withColumns({g: _zeros() for g in ("gx", "gy", "gz")})
     duals = [written(b.select(*RAY, "value").withColumn("y", F.lit(0.0)))]
 
@@ -203,9 +206,14 @@ def subset_tv(matrix: DataFrame, b: DataFrame, x0: DataFrame, n_views: int, lam:
     (0 to 1), for + rho/2 |sqrt(trust) (x - prior)|^2. The curvature of the data is bounded by ``norm_bound``.
     """
     tau = step or safety / max(norm_bound(matrix) + (rho if prior is not None else 0.0), 1e-12)
+    known = None if prior is None else prior.select("volume_id", F.col("z").cast("int").alias("z"), *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("prior", "trust")])
+    slices = x0 if known is None else x0.withColumn("z", F.col("z").cast("int")).join(known, ["volume_id", "z"])
+    from voxelmill.operators import row_solvers  # it takes its helpers from here
+
+    if (packed := row_solvers.pack(matrix, b, slices, ["data"] if known is None else ["data", "prior", "trust"], positivity, weighted)) is not None:
+        return row_solvers.subset_tv(packed, n_views, lam, iterations, batch, subsets, tau, tolerance, epsilon, positivity, rho, all_subsets)
     state = _start(x0, positivity)
-    if prior is not None:
-        known = prior.select("volume_id", F.col("z").cast("int").alias("z"), *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("prior", "trust")])
+    if known is not None:
         state = written(state.join(known, ["volume_id", "z"]))
     weight = F.col("weight") if weighted else None
     value = F.col("left") if weight is None else weight * weight * F.col("left")
@@ -272,6 +280,10 @@ def admm(matrix: DataFrame, b: DataFrame, x0: DataFrame, lam: float, rho: float,
     """The same problem by the alternating direction method, with conjugate gradients inside."""
     if rho <= 0 or lam < 0:
         raise ValueError("rho must be positive and lam not negative")
+    from voxelmill.operators import row_solvers  # it takes its helpers from here
+
+    if (packed := row_solvers.pack(matrix, b, x0, ["data"], positivity)) is not None:
+        return row_solvers.admm(packed, lam, rho, iterations, cg_iterations, cg_tolerance, tolerances, epsilon, positivity)
     parts = ("x", "y", "z")
     state = _start(x0, positivity).withColumns({f"{f}{a}": _zeros() for f in ("d", "u") for a in parts})
     state = written(backprojected(matrix, b.select(*RAY, "value"), state, "full"))
