@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.operators.ordering import order_statistics
+from voxelmill.operators.ordering import _kept, order_statistics
 from voxelmill.operators.stats import mad_noise
 from voxelmill.operators.volumes import gaussian, gradient, magnitude
-from voxelmill.session import checkpoint_folder
 
 
 def _median(rows: DataFrame, column: str, out: str, p: float = 0.5) -> DataFrame:
@@ -23,11 +22,11 @@ def denoise_quality(df: DataFrame, smoothed: DataFrame, share: float = 0.95) ->
     """
     sized = lambda d, x, g: gradient(d).select("volume_id", "z", F.transform("data", lambda v: v.cast("double")).alias(x), magnitude().alias(g))
     both = sized(df, "x", "gx").join(sized(smoothed, "c", "gc"), ["volume_id", "z"])
-    checkpoint_folder(df.sparkSession)
-    cells = both.select("volume_id", F.explode(F.arrays_zip("x", "gx", "c", "gc")).alias("v")).select("volume_id", "v.*").checkpoint(eager=True)
-    noise = mad_noise(cells.select("volume_id", (F.col("x") - F.col("c")).alias("d")), "d", ["volume_id"]).withColumnRenamed("mad", "noise")
-    change = cells.groupBy("volume_id").agg((F.sum(F.abs(F.col("c") - F.col("x"))) / F.greatest(F.sum(F.abs("x")), F.lit(1e-12))).alias("correction"))
-    strong = cells.join(_median(cells, "gx", "least", share), "volume_id").where("gx >= least")
+    cells = _kept(both.select("volume_id", F.explode(F.arrays_zip("x", "gx", "c", "gc")).alias("v")).select("volume_id", "v.*"))
+    # each number by itself: together their sorts and sums would be a hundred operators in each task
+    noise = mad_noise(cells.select("volume_id", (F.col("x") - F.col("c")).alias("d")), "d", ["volume_id"]).withColumnRenamed("mad", "noise").transform(_kept)
+    change = cells.groupBy("volume_id").agg((F.sum(F.abs(F.col("c") - F.col("x"))) / F.greatest(F.sum(F.abs("x")), F.lit(1e-12))).alias("correction")).transform(_kept)
+    strong = _kept(cells.join(_median(cells, "gx", "least", share).transform(_kept), "volume_id").where("gx >= least"))
     edges = _median(strong, "gc", "after").join(_median(strong, "gx", "before"), "volume_id").select("volume_id", (F.col("after") / F.greatest("before", F.lit(1e-12))).alias("edges"))
     return noise.join(change, "volume_id").join(edges, "volume_id", "left").withColumn("edges", F.coalesce("edges", F.lit(1.0)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelmill.functions.scalars import finite
-from voxelmill.operators.ordering import order_statistics, with_previous
+from voxelmill.operators.ordering import _kept, order_statistics, with_previous
 
 
 def mean_field(images: DataFrame, data: str = "data", keys: list[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def mad_noise(df: DataFrame, column: str, keys: list[str] | None = None) -> Data
     keys = keys or []
     x = df.select(*keys, F.when(finite(F.col(column)), F.col(column).cast("double")).alias("x"))
     medians = order_statistics(x, "x", [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("m"))
-    joined = x.join(medians, keys) if keys else x.crossJoin(F.broadcast(medians))
+    joined = x.join(_kept(medians), keys) if keys else x.crossJoin(F.broadcast(medians))
     spread = order_statistics(joined.select(*keys, F.abs(F.col("x") - F.col("m")).alias("d")), "d", [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("d"))
     mad = (1.4826 * F.coalesce("d", F.lit(0.0))).alias("mad")
     return df.select(*keys).distinct().join(spread, keys, "left").select(*keys, mad) if keys else spread.agg(F.max("d").alias("d")).select(mad)
