@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelmill.operators.arrays import _div, _indexes
-from voxelmill.operators.ordering import order_statistics
+from voxelmill.operators.ordering import _kept, order_statistics
 from voxelmill.operators.volumes import gaussian, voxels
 
 WORD = 60
@@ -99,8 +99,8 @@ def support(df: DataFrame, depth: int, sigma: float, dilation: int, slab: int =
     known = df.withColumn("data", F.transform("data", lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))))
     smooth = gaussian(known, depth, sigma).join(ends, "volume_id", "left")
     level = F.col("__low") + 0.02 * F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-6))
-    marked = pack(smooth.withColumn("__level", level), lambda v: v > F.col("__level"))
+    marked = _kept(pack(smooth.withColumn("__level", level), lambda v: v > F.col("__level")).select("volume_id", "z", "ny", "nx", "bits"))  # bits are few, and read twice
     found = marked.groupBy("volume_id").agg(F.max(F.exists("bits", lambda w: w != 0)).alias("__any"))
-    done = morph(marked.select("volume_id", "z", "ny", "nx", "bits"), [True, False, *[True] * dilation], slab).join(found, "volume_id")
+    done = morph(marked, [True, False, *[True] * dilation], slab).join(found, "volume_id")
     full = pack(done.withColumns({"__bits": F.col("bits"), "data": F.array_repeat(F.lit(1), F.col("ny") * F.col("nx"))}), lambda v: v == 1)
     return full.select("volume_id", "z", "ny", "nx", F.when(F.col("__any"), F.col("__bits")).otherwise(F.col("bits")).alias("bits"))
