@@ -63,6 +63,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TIFF per image, read back by name as a stack with bins of 2 x 2."""
     folder = _folder(spark, "images").removeprefix("file:")
     df = images(spark, sf_dir).select(F.col("vec_id").alias("view_idx"), F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"), F.col("data").cast("array<float>").alias("data"))
+    df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "view_idx")  # rows are small, their files are work
     sinks.write_volume(tiff.write_images(df, folder), f"{folder}-names")  # each task writes its files, and their names here
     names = spark.read.parquet(f"{folder}-names").select(F.element_at(F.split("path", "/"), -1).alias("filename"))
     views = names.select(F.regexp_extract("filename", r"(\d+)\.tif$", 1).cast("long").alias("view_idx"), "filename")

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.operators import kernels
 from voxelmill.operators.joins import resolve_files
-from voxelmill.sources.tables import hadoop_path, list_files
+from voxelmill.session import checkpoint_folder
+from voxelmill.sources.tables import hadoop_path
 
-PATTERNS = ("*.tif", "*.tiff")
+GLOB = "*.{[tT][iI][fF],[tT][iI][fF][fF]}"
+SCHEMA = "path string, rows int, cols int, data array<float>"
+#: What a task reads: files, or bytes of them; and pixels of decoded images in a batch.
+FILES, BYTES, PIXELS = 4096, 128 << 20, 1 << 20
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8}
 _CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 
@@ -86,34 +91,70 @@ def image_2d(a: np.ndarray) -> np.ndarray:
     return a.astype(np.float32)
 
 
-def read_images(spark: SparkSession, folder: str, binning: tuple[int, int] = (1, 1), margins: tuple[int, int, int, int] = (0, 0, 0, 0), recursive: bool = False) -> DataFrame:
-    """(path, rows, cols, data) of the images of a folder (recursive: and of those below it), binned and cropped as they are decoded, so that full frames never leave a task."""
-
+def _decoded(files: DataFrame, binning: tuple[int, int], margins: tuple[int, int, int, int]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda held: pd.DataFrame({"path": [p for p, _ in held], "rows": [i.shape[0] for _, i in held], "cols": [i.shape[1] for _, i in held], "data": [i.reshape(-1) for _, i in held]})
         for pdf in batches:
+            held, size = [], 0
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                image = kernels.crop(kernels.block_mean(image_2d(decode(content)), binning), *margins)
-                yield pd.DataFrame({"path": [path], "rows": [image.shape[0]], "cols": [image.shape[1]], "data": [image.reshape(-1)]})
+                held.append((path, kernels.crop(kernels.block_mean(image_2d(decode(content)), binning), *margins)))
+                size += held[-1][1].size
+                if size >= PIXELS:
+                    yield table(held)
+                    held, size = [], 0
+            if held:
+                yield table(held)
 
-    schema = "path string, rows int, cols int, data array<float>"
-    files = list_files(spark, folder, PATTERNS, recursive)
-    if not files:
-        return spark.createDataFrame([], schema)
     # one file a row; a few rows a batch, as frames are large
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_images(spark: SparkSession, folder: str, binning: tuple[int, int] = (1, 1), margins: tuple[int, int, int, int] = (0, 0, 0, 0), recursive: bool = False) -> DataFrame:
+    """(path, rows, cols, data) of the images of a folder (recursive: and of those below it), binned and cropped as they are decoded, so that full frames never leave a task."""
+
+    files = _files(spark, folder, recursive)
+    return spark.createDataFrame([], SCHEMA) if files is None else _decoded(files, binning, margins)
+
+
+def _below(spark: SparkSession, folder: str) -> Column:
+    """The path of a file below the folder."""
+    root = F.lit(hadoop_path(spark, folder)[1].toUri().getPath().rstrip("/") + "/")
+    return F.expr("path").substr(F.instr(F.col("path"), root) + F.length(root), F.length("path"))
+
+
+def _files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame | None:
+    """(path, content, length) of the images of a folder, None if there are none. Spark lists the folder itself, and is not handed each path.
+
+    When Spark deals files out, each counts as 4 MB at least, so that small ones would be a task for a few; its partitions are put together to FILES files
+    or BYTES, as long as every core has some.
+    """
+    fs, p = hadoop_path(spark, folder)
+    if not fs.exists(p):
+        return None
+    # without the look into subfolders their names could be taken for columns
+    found = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(folder)
+    found = found if recursive else found.where(~F.contains(_below(spark, folder), F.lit("/")))
+    least = 4 * spark.sparkContext.defaultParallelism
+    size = found.coalesce(least).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+    return found.coalesce(max(-(-size["n"] // FILES), -(-size["bytes"] // BYTES), least)) if size["n"] else None
 
 
 def read_stack(spark: SparkSession, views: DataFrame, folder: str, binning: tuple[int, int] = (1, 1), margins: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
     """views (view_idx, filename, ...) with rows, cols and data; names may have folders; a missing file or a differing shape is an error. Rows keep the views' index."""
     nested = not views.where(F.contains(F.trim("filename"), F.lit("/"))).isEmpty()
-    root = F.lit(hadoop_path(spark, folder)[1].toUri().getPath().rstrip("/") + "/")
-    own = F.element_at(F.split("path", "/"), -1) if not nested else F.expr("path").substr(F.instr(F.col("path"), root) + F.length(root), F.length("path"))
-    images = read_images(spark, folder, binning, margins, nested).withColumn("path", own)
-    found = resolve_files(views.drop("path", "exists"), images.select("path")).join(images, "path", "left").withColumn("exists", F.col("data").isNotNull())
-    shapes = found.agg(F.count_if(F.col("data").isNull()).alias("missing"), F.count_distinct("rows", "cols").alias("shapes")).first()
-    if shapes["missing"]:
-        raise FileNotFoundError(f"{shapes['missing']} images of {folder} are missing")
-    if shapes["shapes"] > 1:
+    own = F.element_at(F.split("path", "/"), -1) if not nested else _below(spark, folder)
+    files = _files(spark, folder, nested)
+    paths = spark.createDataFrame([], "path string") if files is None else files.select(own.alias("path"))
+    known = resolve_files(views.drop("path", "exists"), paths)
+    lost = known.agg(F.count_if(~F.col("exists")).alias("missing")).first()["missing"]
+    if lost:
+        raise FileNotFoundError(f"{lost} images of {folder} are missing")
+    images = (spark.createDataFrame([], SCHEMA) if files is None else _decoded(files, binning, margins)).withColumn("path", own)
+    kept = f"{checkpoint_folder(spark)}/stack-{uuid.uuid4().hex}"
+    joined = known.drop("exists").join(images, "path", "left").withColumn("exists", F.col("data").isNotNull())
+    joined.write.parquet(kept)  # files are decoded once, for the shapes and for what comes after
+    found = spark.read.schema(joined.schema).parquet(kept)
+    if found.agg(F.count_distinct("rows", "cols").alias("shapes")).first()["shapes"] > 1:
         raise ValueError("the images differ in shape")
     return found
 
