@@ -20,6 +20,7 @@ def _problem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     matrix = slice_solvers.written(linear.system_matrix(angles, PHANTOM))
     cube = F.transform("embedding", lambda v: F.abs(v.cast("double")))
     whole = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("volume_id"), cube.alias("cube"))
+    whole = whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "volume_id")  # a small file is one task, whose voxels and rays are many
     truth = whole.select("volume_id", "cube", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"))
     truth = truth.select("volume_id", "z", F.lit(4).alias("ny"), F.lit(4).alias("nx"), F.slice("cube", F.col("z") * 16 + 1, 16).alias("data"))
     b = slice_solvers.written(slice_solvers.project(matrix, truth))
